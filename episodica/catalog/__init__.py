@@ -1,6 +1,6 @@
 """Queries over the sample tables."""
 
-from episodica.catalog import feature_queries  # noqa: F401
+from episodica.catalog import feature_queries, stats_queries  # noqa: F401
 from episodica.catalog.registry import BUILDERS, ORACLES
 
 
