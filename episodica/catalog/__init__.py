@@ -1,6 +1,6 @@
 """Queries over the sample tables."""
 
-from episodica.catalog import clean_queries, feature_queries, stats_queries, ward  # noqa: F401
+from episodica.catalog import clean_queries, feature_queries, model_queries, stats_queries, ward  # noqa: F401
 from episodica.catalog.registry import BUILDERS, ORACLES
 
 

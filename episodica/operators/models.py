@@ -84,9 +84,10 @@ def fit_logistic(
 ) -> LogisticFit:
     """Maximum likelihood by iteratively reweighted least squares, complete cases.
 
-    ``collapse`` first merges equal covariate patterns into one weighted row. With
-    discrete covariates (age, sex, integer scores) every iteration then reads the
-    patterns instead of the persons; the estimates are the same.
+    ``collapse`` first merges equal covariate patterns into one row with the share
+    of events, weighted by its number of persons. With discrete covariates (age,
+    sex, integer scores) every iteration then reads the patterns instead of the
+    persons; the estimates are the same.
     """
     terms = design.terms()
     cases = design.complete(df).where(F.col(outcome).isNotNull())
@@ -96,7 +97,9 @@ def fit_logistic(
     )
     columns = [f"_x{i}" for i in range(len(terms))]
     if collapse:
-        rows = rows.groupBy("_label", *columns).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+        rows = rows.groupBy(*columns).agg(
+            F.avg("_label").alias("_label"), F.count(F.lit(1)).cast("double").alias("_weight")
+        )
     else:
         rows = rows.withColumn("_weight", F.lit(1.0))
     assembler = VectorAssembler(inputCols=columns, outputCol="_features")
