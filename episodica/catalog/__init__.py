@@ -1,6 +1,13 @@
 """Queries over the sample tables."""
 
-from episodica.catalog import clean_queries, feature_queries, model_queries, stats_queries, ward  # noqa: F401
+from episodica.catalog import (  # noqa: F401
+    clean_queries,
+    feature_queries,
+    model_queries,
+    stats_queries,
+    study_queries,
+    ward,
+)
 from episodica.catalog.registry import BUILDERS, ORACLES
 
 

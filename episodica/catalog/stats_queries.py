@@ -63,7 +63,7 @@ def _numeric_base(s: Sample) -> DataFrame:
 NUMERIC_VARIABLES = ["price", "score", "visits"]
 
 
-def _numeric_sql(variable: str) -> str:
+def numeric_sql(variable: str, base: str = NUMERIC_BASE, grp: str = "grp") -> str:
     stats = (
         f"'{variable}' AS variable, CAST(count({variable}) AS BIGINT) AS n, "
         f"CAST(count(*) - count({variable}) AS BIGINT) AS missing, "
@@ -72,12 +72,12 @@ def _numeric_sql(variable: str) -> str:
         f"round(quantile_cont({variable}, 0.75), 4) AS q3"
     )
     return (
-        f"SELECT coalesce(grp, 'Total') AS stratum, {stats} FROM ({NUMERIC_BASE}) "
-        "GROUP BY GROUPING SETS ((grp), ())"
+        f"SELECT coalesce(CAST({grp} AS VARCHAR), 'Total') AS stratum, {stats} FROM ({base}) "
+        f"WHERE {grp} IS NOT NULL GROUP BY GROUPING SETS (({grp}), ())"
     )
 
 
-@register("table_numeric", " UNION ALL ".join(_numeric_sql(v) for v in NUMERIC_VARIABLES))
+@register("table_numeric", " UNION ALL ".join(numeric_sql(v) for v in NUMERIC_VARIABLES))
 def table_numeric(s: Sample) -> DataFrame:
     out = summary.numeric_table(_numeric_base(s), "grp", NUMERIC_VARIABLES)
     return rounded(out, "mean", "sd", "q1", "median", "q3", digits=4)
@@ -101,7 +101,7 @@ def table_categorical(s: Sample) -> DataFrame:
 
 
 # --- tests --------------------------------------------------------------------
-def _chi_square_sql(base: str, row: str, col: str) -> str:
+def chi_square_sql(base: str, row: str, col: str) -> str:
     return f"""
     WITH c AS (SELECT r.{row} AS r, k.{col} AS k, count(b.{row}) AS o
                FROM (SELECT DISTINCT {row} FROM ({base})) r CROSS JOIN (SELECT DISTINCT {col} FROM ({base})) k
@@ -112,7 +112,7 @@ def _chi_square_sql(base: str, row: str, col: str) -> str:
     """
 
 
-@register("chisq_stat", _chi_square_sql(STAYS_SQL, "grp", "status") + f"""
+@register("chisq_stat", chi_square_sql(STAYS_SQL, "grp", "status") + f"""
     SELECT 'status' AS variable, round(plain, 6) AS statistic, CAST((nr - 1) * (nk - 1) AS INTEGER) AS df,
            CAST(total AS BIGINT) AS total, round({chi2_tail_sql('plain', '8')}, 6) AS p FROM s
 """)
@@ -120,7 +120,7 @@ def chisq_stat(s: Sample) -> DataFrame:
     return rounded(summary.categorical_tests(stays(s), "grp", ["status"]), "statistic", "p")
 
 
-@register("chisq_yates", _chi_square_sql(STAYS_SQL, "treated", "outcome") + f"""
+@register("chisq_yates", chi_square_sql(STAYS_SQL, "treated", "outcome") + f"""
     SELECT 'treated x outcome' AS test, round(corrected, 6) AS statistic, CAST(1 AS INTEGER) AS df,
            CAST(total AS BIGINT) AS total, round({chi2_tail_sql('corrected', '1')}, 6) AS p FROM s
 """)
@@ -128,22 +128,22 @@ def chisq_yates(s: Sample) -> DataFrame:
     return rounded(hypothesis.independence(stays(s), "treated", "outcome"), "statistic", "p")
 
 
-def _kruskal_sql(variable: str) -> str:
+def kruskal_sql(variable: str, base: str = NUMERIC_BASE, grp: str = "grp") -> str:
     return f"""
     SELECT '{variable}' AS variable, round(h, 6) AS statistic, CAST(4 AS INTEGER) AS df,
            round(exp(-h / 2) * (1 + h / 2), 6) AS p
     FROM (SELECT (12 / (n * (n + 1)) * w - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h
           FROM (SELECT sum(rs * rs / sz) AS w, sum(sz) AS n, sum(ts) AS ties
-                FROM (SELECT grp, sum(mid) AS rs, CAST(count(*) AS DOUBLE) AS sz, sum(t * t - 1) AS ts
-                      FROM (SELECT grp, CAST(t AS DOUBLE) AS t, rk + (t - 1) / 2.0 AS mid
-                            FROM (SELECT grp, rank() OVER (ORDER BY {variable}) AS rk,
+                FROM (SELECT {grp}, sum(mid) AS rs, CAST(count(*) AS DOUBLE) AS sz, sum(t * t - 1) AS ts
+                      FROM (SELECT {grp}, CAST(t AS DOUBLE) AS t, rk + (t - 1) / 2.0 AS mid
+                            FROM (SELECT {grp}, rank() OVER (ORDER BY {variable}) AS rk,
                                          count(*) OVER (PARTITION BY {variable}) AS t
-                                  FROM ({NUMERIC_BASE}) WHERE {variable} IS NOT NULL))
-                      GROUP BY grp)))
+                                  FROM ({base}) WHERE {variable} IS NOT NULL AND {grp} IS NOT NULL))
+                      GROUP BY {grp})))
     """
 
 
-@register("kruskal_h", " UNION ALL ".join(f"({_kruskal_sql(v)})" for v in NUMERIC_VARIABLES))
+@register("kruskal_h", " UNION ALL ".join(f"({kruskal_sql(v)})" for v in NUMERIC_VARIABLES))
 def kruskal_h(s: Sample) -> DataFrame:
     return rounded(hypothesis.kruskal(_numeric_base(s), "grp", NUMERIC_VARIABLES), "statistic", "p")
 
@@ -198,20 +198,23 @@ def qq_points(s: Sample) -> DataFrame:
 
 
 # --- survival -----------------------------------------------------------------
-KM_STEPS = f"""
+def km_sql(base: str) -> str:
+    """Curve of a frame with columns grp, days and outcome."""
+    steps = f"""
     SELECT grp, days, sum(m) OVER (PARTITION BY grp ORDER BY days DESC) AS n_risk, d AS n_event, m - d AS n_censor
-    FROM (SELECT grp, days, count(*) AS m, sum(outcome) AS d FROM ({FOLLOW_UP_SQL}) GROUP BY grp, days)
-"""
-
-
-@register("km_curve", f"""
+    FROM (SELECT grp, days, count(*) AS m, sum(outcome) AS d FROM ({base}) GROUP BY grp, days)
+    """
+    return f"""
     SELECT grp AS "group", days AS time, CAST(n_risk AS BIGINT) AS n_risk, CAST(n_event AS BIGINT) AS n_event,
            CAST(n_censor AS BIGINT) AS n_censor,
            round(100 * CASE WHEN max(CASE WHEN n_event = n_risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0
                 ELSE exp(sum(CASE WHEN n_event = n_risk THEN 0 ELSE ln(1 - n_event * 1.0 / n_risk) END) OVER w) END, 6)
              AS survival_pct
-    FROM ({KM_STEPS}) WINDOW w AS (PARTITION BY grp ORDER BY days)
-""")
+    FROM ({steps}) WINDOW w AS (PARTITION BY grp ORDER BY days)
+    """
+
+
+@register("km_curve", km_sql(FOLLOW_UP_SQL))
 def km_curve(s: Sample) -> DataFrame:
     return rounded(survival.km_curve(follow_up(s), "days", "outcome", "grp"), "survival_pct")
 
