@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from episodica.functions.columns import any_of
 
 
+def _like(code: Column, pattern: str) -> Column:
+    """LIKE whose fixed start and end are tested first: few texts reach the regular expression."""
+    head, *_, tail = pattern.split("%")
+    test = code.like(pattern)
+    if tail:
+        test = code.endswith(tail) & test
+    return code.startswith(head) & test if head else test
+
+
 @dataclass(frozen=True)
 class CodeRule:
     """One flag and the code texts that raise it.
@@ -29,7 +38,7 @@ class CodeRule:
 
     def positive(self, code: Column) -> Column:
         tests = [code.startswith(p) for p in self.prefixes]
-        tests += [code.like(p) for p in self.patterns]
+        tests += [_like(code, p) for p in self.patterns]
         if self.exact:
             tests.append(code.isin(*self.exact))
         return any_of(tests)
@@ -43,9 +52,30 @@ class CodeRule:
         return F.when(any_of([code.startswith(p) for p in self.veto]), 0).otherwise(positive)
 
 
+def rule_mask(code: str | Column, rules: Sequence[CodeRule], first_bit: int = 0) -> Column:
+    """All rules of one event as bits of a long: rule i sets bit ``first_bit + i``."""
+    if first_bit + len(rules) > 62:
+        raise ValueError("at most 62 flags fit one mask")
+    mask = F.lit(0).cast("bigint")
+    for i, rule in enumerate(rules, first_bit):
+        mask = mask.bitwiseOR(F.when(rule.hit(code) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    return mask
+
+
+def mask_flag(mask: str | Column, bit: int) -> Column:
+    """0/1 of one bit; a missing mask has no bits."""
+    mask = F.col(mask) if isinstance(mask, str) else mask
+    return F.coalesce(F.shiftright(mask, bit).bitwiseAND(F.lit(1)), F.lit(0)).cast("int")
+
+
 def event_flags(events: DataFrame, key: str, code: str, rules: Sequence[CodeRule]) -> DataFrame:
-    """Any-match flags per key, in one pass with map-side partial maxima."""
-    return events.groupBy(key).agg(*[F.max(r.hit(code)).cast("int").alias(r.flag) for r in rules])
+    """Any-match flags per key in one pass.
+
+    All flags of an event travel as one long, so the map-side combine and the
+    shuffle carry a key and a mask, however many rules there are.
+    """
+    masks = events.select(key, rule_mask(code, rules).alias("_mask")).groupBy(key).agg(F.bit_or("_mask").alias("_mask"))
+    return masks.select(key, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
 
 
 def classify_codes(codes: DataFrame, code: str, rules: Sequence[CodeRule]) -> DataFrame:
@@ -66,12 +96,16 @@ def event_flags_by_dictionary(
     Keys whose events raise nothing are absent; ``flags_for_all`` adds them.
     """
     dictionary = classify_codes(events, code, rules)
-    return (
+    bits = F.lit(0).cast("bigint")
+    for i, r in enumerate(rules):
+        bits = bits.bitwiseOR(F.shiftleft(F.col(r.flag).cast("bigint"), i))
+    masks = (
         events.select(key, code)
-        .join(dictionary, code)
+        .join(dictionary.select(code, bits.alias("_mask")), code)
         .groupBy(key)
-        .agg(*[F.max(r.flag).cast("int").alias(r.flag) for r in rules])
+        .agg(F.bit_or("_mask").alias("_mask"))
     )
+    return masks.select(key, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
 
 
 def flags_for_all(base: DataFrame, flags: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.columns import guarded_ratio, keep_range_by_name
+from episodica.functions.columns import guarded_ratio
 
 AGGREGATES = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum}
 
@@ -30,14 +30,20 @@ def summarise_window(
 
 
 def pivot_extremes(
-    df: DataFrame, keys: Sequence[str], name: str, value: str | Column,
-    outputs: Mapping[str, tuple[str, str]],
+    df: DataFrame, keys: Sequence[str], name: str, value: str, outputs: Mapping[str, tuple[str, str]],
+    limits: Mapping[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """Long to wide in one aggregation: result name -> (aggregate, measurement name)."""
-    v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*keys).agg(
-        *[AGGREGATES[how](F.when(F.col(name) == m, v)).alias(out) for out, (how, m) in outputs.items()]
-    )
+    """Long to wide in one aggregation: result name -> (aggregate, measurement name).
+
+    Values outside the inclusive limits of their measurement are left out.
+    """
+    aggs = []
+    for out, (how, measurement) in outputs.items():
+        wanted = F.col(name) == measurement
+        if limits and measurement in limits:
+            wanted = wanted & F.col(value).between(*limits[measurement])
+        aggs.append(AGGREGATES[how](F.when(wanted, F.col(value))).alias(out))
+    return df.groupBy(*keys).agg(*aggs)
 
 
 def measurement_extremes(
@@ -47,7 +53,7 @@ def measurement_extremes(
     """Window filter, plausibility limits, pivot; keys without events get NULLs."""
     wanted = sorted({m for _, m in outputs.values()})
     rows = in_window(events, offset, bounds).where(F.col(name).isin(wanted))
-    wide = pivot_extremes(rows, [key], name, keep_range_by_name(name, value, limits), outputs)
+    wide = pivot_extremes(rows, [key], name, value, outputs, limits)
     return base.select(key).distinct().join(wide, key, "left")
 
 

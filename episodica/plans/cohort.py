@@ -15,17 +15,15 @@ from pyspark.sql import functions as F
 from episodica.functions.columns import (
     MINUTES_PER_DAY,
     MINUTES_PER_HOUR,
-    guarded_ratio,
-    keep_range_by_name,
     present,
     sex_code,
     vital_status,
     whole_hours,
 )
 from episodica.operators.episodes import lookup, number_episodes, qualifying_keys
-from episodica.operators.rules import event_flags, flags_for_all
+from episodica.operators.rules import CodeRule, event_flags, flags_for_all, mask_flag, rule_mask
 from episodica.operators.windows import (
-    attach_series_summary,
+    AGGREGATES,
     extreme_ratio,
     in_window,
     merge_series,
@@ -95,16 +93,21 @@ def _flag_any(condition: Column, name: str) -> Column:
     return F.max(F.when(condition, 1).otherwise(0)).alias(name)
 
 
+TREATMENT_EXPOSURES = (
+    CodeRule("acetaminophen_tx", exact=fixed.ACETAMINOPHEN_TREATMENTS),
+    CodeRule("nsaid_tx", exact=fixed.NSAID_TREATMENTS),
+    CodeRule("cooling_tx", exact=fixed.COOLING_TREATMENTS),
+)
+
+
 def treatment_flags(t: Tables) -> DataFrame:
     """Interventions (any time) and treatment-coded exposures (windowed), in one pass."""
-    code = F.col("treatmentstring")
+    rules = (*fixed.TREATMENT_RULES, *TREATMENT_EXPOSURES)
     near = F.col("treatmentoffset").between(*EXPOSURE_WINDOW)
-    return t["treatment"].groupBy(STAY).agg(
-        *[F.max(r.hit(code)).alias(r.flag) for r in fixed.TREATMENT_RULES],
-        _flag_any(near & code.isin(*fixed.ACETAMINOPHEN_TREATMENTS), "acetaminophen_tx"),
-        _flag_any(near & code.isin(*fixed.NSAID_TREATMENTS), "nsaid_tx"),
-        _flag_any(near & code.isin(*fixed.COOLING_TREATMENTS), "cooling_tx"),
-    )
+    exposures = rule_mask("treatmentstring", TREATMENT_EXPOSURES, len(fixed.TREATMENT_RULES))
+    mask = rule_mask("treatmentstring", fixed.TREATMENT_RULES).bitwiseOR(F.when(near, exposures).otherwise(F.lit(0)))
+    masks = t["treatment"].select(STAY, mask.alias("_mask")).groupBy(STAY).agg(F.bit_or("_mask").alias("_mask"))
+    return masks.select(STAY, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
 
 
 def medication_flags(t: Tables) -> DataFrame:
@@ -125,22 +128,27 @@ def cooling_care(t: Tables) -> DataFrame:
     return rows.groupBy(STAY).agg(F.lit(1).alias("cooling_care"))
 
 
+def _either(*names: str) -> Column:
+    known = [F.coalesce(F.col(n), F.lit(0)) for n in names]
+    return (F.greatest(*known) if len(known) > 1 else known[0]).cast("int")
+
+
+def _care_columns() -> dict[str, Column]:
+    """Completed flags of a stay row that has been left-joined to the event flags."""
+    return {
+        **{n: _either(n) for n in INTERVENTIONS},
+        "acetaminophen_flag": _either("acetaminophen_rx", "acetaminophen_tx"),
+        "nsaid_flag": _either("nsaid_rx", "nsaid_tx"),
+        "cooling_flag": _either("cooling_care", "cooling_tx"),
+    }
+
+
 def interventions_and_exposures(t: Tables) -> DataFrame:
     """Ten intervention flags and three exposure flags for every stay."""
-    parts = t["patient"].select(STAY).distinct()
+    out = t["patient"].select(STAY).distinct()
     for frame in (treatment_flags(t), medication_flags(t), cooling_care(t)):
-        parts = parts.join(frame, STAY, "left")
-
-    def either(*names: str) -> Column:
-        return F.greatest(*[F.coalesce(F.col(n), F.lit(0)) for n in names]).cast("int")
-
-    return parts.select(
-        STAY,
-        *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in INTERVENTIONS],
-        either("acetaminophen_rx", "acetaminophen_tx").alias("acetaminophen_flag"),
-        either("nsaid_rx", "nsaid_tx").alias("nsaid_flag"),
-        either("cooling_care", "cooling_tx").alias("cooling_flag"),
-    )
+        out = out.join(frame, STAY, "left")
+    return out.select(STAY, *[c.alias(n) for n, c in _care_columns().items()])
 
 
 def lab_extremes(t: Tables, faithful: bool = True) -> DataFrame:
@@ -169,8 +177,7 @@ def lab_extremes(t: Tables, faithful: bool = True) -> DataFrame:
     rows = in_window(t["lab"], "labresultoffset", DAY_1).where(
         F.col("labname").isin([m for _, m in outputs.values()])
     )
-    clean = keep_range_by_name("labname", "labresult", fixed.LAB_LIMITS)
-    wide = pivot_extremes(rows, [STAY], "labname", clean, outputs)
+    wide = pivot_extremes(rows, [STAY], "labname", "labresult", outputs, fixed.LAB_LIMITS)
     return ratio_of_extremes(wide, "_polys", "_lymphs", "NLR_max").drop("_polys", "_lymphs")
 
 
@@ -212,10 +219,23 @@ VITAL_OUTPUTS = {
 
 
 def vital_summary(t: Tables, faithful: bool = True) -> DataFrame:
-    """Day-1 vital signs; only stays with a day-1 vital row have a pressure summary."""
-    day1 = summarise_window(t["pivoted_vital"], STAY, "chartoffset", DAY_1, VITAL_OUTPUTS)
-    return attach_series_summary(
-        day1, pressure_series(t, faithful), STAY, {"MAP_min": ("min", "MAP"), "MAP_avg": ("avg", "MAP")}
+    """Day-1 vital signs; only stays with a day-1 vital row have a record.
+
+    The pressure of ``pressure_series`` is summarised in the same aggregation, so
+    the vitals are read and shuffled once.
+    """
+    day1 = F.col("chartoffset").between(*DAY_1)
+    invasive = F.col("ibp_mean") if faithful else F.when(day1, F.col("ibp_mean"))
+    cuff = F.when(day1, F.col("nibp_mean"))
+    used = day1 | F.col("ibp_mean").isNotNull() if faithful else day1
+    signs = [AGGREGATES[how](F.when(day1, F.col(c))).alias(n) for n, (how, c) in VITAL_OUTPUTS.items()]
+    total = F.coalesce(F.sum(invasive), F.lit(0.0)) + F.coalesce(F.sum(cuff), F.lit(0.0))
+    return (
+        t["pivoted_vital"].where(used).groupBy(STAY)
+        .agg(F.max(F.when(day1, 1)).alias("_seen"), *signs,
+             F.min(F.least(invasive, cuff)).alias("MAP_min"),
+             (total / F.nullif(F.count(invasive) + F.count(cuff), F.lit(0))).alias("MAP_avg"))
+        .where("_seen = 1").drop("_seen")
     )
 
 
@@ -250,75 +270,6 @@ def _temperature_columns() -> list[Column]:
     return out
 
 
-def vitals_and_temperature(t: Tables, faithful: bool = True) -> DataFrame:
-    """``vital_summary`` and ``temperature_extremes`` from a single scan of the vitals.
-
-    Events are first reduced per stay and charted location, which leaves a few
-    rows per stay and combines map-side, then merged per stay. Temperature
-    columns are NULL for stays without a mapped day-1 temperature.
-    """
-    day1 = F.col("chartoffset").between(*DAY_1)
-    invasive = F.col("ibp_mean") if faithful else F.when(day1, F.col("ibp_mean"))
-    cuff = F.when(day1, F.col("nibp_mean"))
-    sums = []
-    for c in ("heartrate", "respiratoryrate", "spo2"):
-        v = F.when(day1, F.col(c))
-        sums += [F.max(v).alias(f"{c}_hi"), F.min(v).alias(f"{c}_lo"), F.sum(v).alias(f"{c}_sum"),
-                 F.count(v).alias(f"{c}_n")]
-    warm = F.when(day1, F.col("temperature"))
-    per_place = t["pivoted_vital"].groupBy(STAY, "temperaturelocation").agg(
-        F.max(F.when(day1, 1)).alias("seen"),
-        *sums,
-        F.min(F.least(invasive, cuff)).alias("map_lo"),
-        F.sum(invasive).alias("inv_sum"), F.count(invasive).alias("inv_n"),
-        F.sum(cuff).alias("cuff_sum"), F.count(cuff).alias("cuff_n"),
-        F.max(warm).alias("t_hi"), F.min(warm).alias("t_lo"),
-    )
-
-    def mean(*parts: str) -> Column:
-        total = sum((F.coalesce(F.sum(f"{p}_sum"), F.lit(0.0)) for p in parts[1:]),
-                    F.coalesce(F.sum(f"{parts[0]}_sum"), F.lit(0.0)))
-        count = sum((F.sum(f"{p}_n") for p in parts[1:]), F.sum(f"{parts[0]}_n"))
-        return total / F.nullif(count, F.lit(0))
-
-    def extreme(how, value: str, tag: str, mapped: str) -> Column:
-        known = (F.col(mapped) == 1) & F.col(value).isNotNull()
-        return how(F.when(known, F.struct(F.col(value), F.col(tag).alias("site"))))
-
-    parts = ("all", "peri", "core")
-    merged = per_place.join(site_classes(t), "temperaturelocation", "left").groupBy(STAY).agg(
-        F.max("seen").alias("seen"),
-        F.max("heartrate_hi").alias("HR_max"), mean("heartrate").alias("HR_avg"),
-        F.max("respiratoryrate_hi").alias("RR_max"), mean("respiratoryrate").alias("RR_avg"),
-        F.min("spo2_lo").alias("SpO2_min"), mean("spo2").alias("SpO2_avg"),
-        F.min("map_lo").alias("MAP_min"), mean("inv", "cuff").alias("MAP_avg"),
-        *[extreme(F.max, "t_hi", f"hi_{p}", f"has_{p}").alias(f"_max_{p}") for p in parts],
-        *[extreme(F.min, "t_lo", f"lo_{p}", f"has_{p}").alias(f"_min_{p}") for p in parts],
-    ).where("seen = 1")
-    picked = [
-        c for p in parts for c in (
-            F.col(f"_max_{p}.t_hi").alias(f"max_{p}"), F.col(f"_max_{p}.site").alias(f"max_{p}_tempsite_flag"),
-            F.col(f"_min_{p}.t_lo").alias(f"min_{p}"), F.col(f"_min_{p}.site").alias(f"min_{p}_tempsite_flag"),
-        )
-    ]
-    signs = [*VITAL_OUTPUTS, "MAP_min", "MAP_avg"]
-    return merged.select(STAY, *signs, *picked).select(STAY, *signs, *_temperature_columns())
-
-
-def site_classes(t: Tables) -> DataFrame:
-    """Per charted location: its mapped sites, all together and split by core/peripheral."""
-    site = F.col("tempsite_flag")
-    core = F.coalesce(site.isin(*fixed.CORE_SITES), F.lit(False))
-    aggs = []
-    for part, member in (("all", F.lit(True)), ("peri", ~core), ("core", core)):
-        aggs += [
-            F.max(F.when(member, site)).alias(f"hi_{part}"),
-            F.min(F.when(member, site)).alias(f"lo_{part}"),
-            F.max(F.when(member, 1)).alias(f"has_{part}"),
-        ]
-    return t["tempsite"].groupBy("temperaturelocation").agg(*aggs)
-
-
 def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> DataFrame:
     """The 84-column record of every eligible stay, or of first stays only.
 
@@ -326,14 +277,13 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     numbered per person among the eligible ones, before any other filter.
     """
     patient = t["patient"]
-    flags = comorbidities(t)
-    vitals = vitals_and_temperature(t, faithful)
+    diagnosed = event_flags(t["diagnosis"], STAY, "diagnosisstring", fixed.DIAGNOSIS_RULES)
     eligible = (
-        flags.where("exclusion_flag = 0").drop("exclusion_flag")
-        .join(vitals.where(F.col("T_max").isNotNull()), STAY)
+        patient.join(temperature_extremes(t), STAY).join(diagnosed, STAY, "left")
+        .where(_either("exclusion_flag") == 0).drop("exclusion_flag")
     )
     order = ["patienthealthsystemstayid", STAY, "unitvisitnumber"]
-    numbered = number_episodes(patient.join(eligible, STAY), PERSON, order)
+    numbered = number_episodes(eligible, PERSON, order)
     if first_only:
         numbered = numbered.where("seqnum = 1")
     one_score = t["apachepatientresult"].groupBy(STAY).agg(F.max("apachescore").alias("apache_iv"))
@@ -341,8 +291,8 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     one_sofa = infection_cohort(t).groupBy(STAY).agg(F.max("sofa").alias("sofa"))
     out = numbered
     for frame in (
-        one_sofa, one_score, one_group, interventions_and_exposures(t), lab_extremes(t, faithful),
-        urine_output(t), oxygenation(t), haemodynamics(t),
+        one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t), cooling_care(t),
+        lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t), vital_summary(t, faithful),
     ):
         out = out.join(frame, STAY, "left")
     # One row per hospital; adaptive execution broadcasts it when its size allows.
@@ -354,6 +304,8 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
         "icu_los_hours": whole_hours("unitdischargeoffset"),
         "hosp_los_hours": whole_hours(F.col("hospitaldischargeoffset") - F.col("hospitaladmitoffset")),
         "sepsis_flag": present("sofa"),
+        **{n: _either(n) for n in COMORBIDITIES if n != "exclusion_flag"},
+        **_care_columns(),
     }
     return out.select(*[derived[c].alias(c) if c in derived else F.col(c) for c in COHORT_COLUMNS])
 

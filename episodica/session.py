@@ -18,6 +18,9 @@ def local_session(cpus: int | str = "*", app: str = "episodica", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never compiles methods above 8000 bytes of bytecode; rule sets with
+        # many code texts would run interpreted inside one such generated method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
