@@ -23,7 +23,7 @@ from episodica.operators.ranks import (
 def kruskal(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H of each variable across the groups."""
     long = long_values(df.where(F.col(group).isNotNull()), variables, [group])
-    hist = histogram(with_buckets(long), [VARIABLE, group])
+    hist = with_buckets(histogram(long, [VARIABLE, group]))
     ranked = running_totals(hist, [VARIABLE], "value", {"n": "n"})
     tied = F.sum("n").over(Window.partitionBy(VARIABLE, BUCKET, "value"))
     ranked = ranked.withColumn("tied", tied).withColumn("midrank", F.col("n_upto") - (F.col("tied") - 1) / 2.0)
@@ -173,7 +173,7 @@ def pairwise_chi_square(
 
 def qq_points(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Sample against theoretical normal quantiles, one row per observation."""
-    hist = histogram(with_buckets(long_values(df, variables)), [VARIABLE])
+    hist = with_buckets(histogram(long_values(df, variables), [VARIABLE]))
     ranked = running_totals(hist, [VARIABLE], "value", {"n": "n"})
     points = repeat_rows(ranked, "n", "_copy", [VARIABLE, "value"])
     position = F.col("n_upto") - F.col("n") + F.col("_copy") + 1

@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+# Buckets are found in two steps, SPLIT x SPLIT.
+SPLIT = 8
 CHUNK = 100_000
 
 VARIABLE = "variable"
@@ -27,19 +28,33 @@ def long_values(df: DataFrame, variables: Sequence[str], keep: Sequence[str] = (
     return wide.unpivot(list(keep), list(variables), VARIABLE, "value").where(F.col("value").isNotNull())
 
 
-def with_buckets(long: DataFrame, value: str = "value", buckets: int = BUCKETS) -> DataFrame:
-    """Adds the value-range bucket. Broadcasts one row per named variable, nothing more."""
-    probs = [i / buckets for i in range(1, buckets)]
-    limits = long.groupBy(VARIABLE).agg(
-        F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("_limits")
+def histogram(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """Row count of each distinct value per ``by`` group."""
+    return long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_buckets(hist: DataFrame, value: str = "value", weight: str = "n") -> DataFrame:
+    """Adds the value-range bucket to rows of distinct values.
+
+    Broadcasts one row per named variable, nothing more. ``weight`` is read only
+    so that both uses of the histogram share one shuffle.
+    """
+    probs = [i / SPLIT**2 for i in range(1, SPLIT**2)]
+    seen = F.when(F.col(weight).isNotNull(), F.col(value))
+    limits = hist.groupBy(VARIABLE).agg(F.percentile_approx(seen, probs, 1000).alias("_limits")).select(
+        VARIABLE,
+        F.transform(F.sequence(F.lit(1), F.lit(SPLIT - 1)), lambda i: F.element_at("_limits", i * SPLIT)).alias("_outer"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.slice("_limits", i * SPLIT + 1, SPLIT - 1)
+        ).alias("_inner"),
     )
-    bucket = F.size(F.filter("_limits", lambda limit: limit < F.col(value)))
-    return long.join(F.broadcast(limits), VARIABLE).withColumn(BUCKET, bucket).drop("_limits")
 
+    def below(limit):
+        return limit < F.col(value)
 
-def histogram(bucketed: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Row count of each distinct value per (by..., bucket)."""
-    return bucketed.groupBy(*by, BUCKET, value).agg(F.count(F.lit(1)).alias("n"))
+    outer = hist.join(F.broadcast(limits), VARIABLE).withColumn("_part", F.size(F.filter("_outer", below)))
+    inner = F.size(F.filter(F.element_at("_inner", F.col("_part") + 1), below))
+    return outer.withColumn(BUCKET, F.col("_part") * SPLIT + inner).drop("_outer", "_inner", "_part")
 
 
 def running_totals(
@@ -67,9 +82,13 @@ def running_totals(
 def exact_quantiles(
     hist: DataFrame, within: Sequence[str], probs: Mapping[str, float], value: str = "value"
 ) -> DataFrame:
-    """Quantiles with linear interpolation between the order statistics."""
-    ranked = running_totals(hist, within, value, {"n": "n"})
-    before = F.col("n_upto") - F.col("n")
+    """Quantiles with linear interpolation between the order statistics.
+
+    A value may come in several rows of a group; they count together.
+    """
+    same = Window.partitionBy(*within, BUCKET, value)
+    ranked = running_totals(hist, within, value, {"n": "n"}).withColumn("_same", F.sum("n").over(same))
+    before = F.col("n_upto") - F.col("_same")
     parts, results = [], []
     for name, p in probs.items():
         position = (F.col("n_all") - 1) * F.lit(p)

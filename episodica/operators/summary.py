@@ -44,9 +44,9 @@ def numeric_table(
     if approximate:
         quartiles = [F.col("quartiles")[i].alias(n) for i, n in enumerate(QUARTILES)]
         return moments.select(VARIABLE, STRATUM, "n", "missing", "mean", "sd", *quartiles)
-    hist = histogram(with_buckets(long_values(rows, variables, [STRATUM])), [VARIABLE, STRATUM])
-    pooled = hist.groupBy(VARIABLE, "_bucket", "value").agg(F.sum("n").alias("n"))
-    both = hist.unionByName(pooled.withColumn(STRATUM, F.lit(TOTAL)))
+    hist = with_buckets(histogram(long_values(rows, variables, [STRATUM]), [VARIABLE, STRATUM]))
+    # Each row counts for its stratum and for the total.
+    both = hist.withColumn(STRATUM, F.explode(F.array(STRATUM, F.lit(TOTAL))))
     quartiles = exact_quantiles(both, [VARIABLE, STRATUM], QUARTILES)
     return moments.join(quartiles, [VARIABLE, STRATUM], "left").select(
         VARIABLE, STRATUM, "n", "missing", "mean", "sd", *QUARTILES

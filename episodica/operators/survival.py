@@ -16,19 +16,19 @@ from episodica.operators.ranks import BUCKET, VARIABLE, running_totals, with_buc
 
 
 def _timed(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """Complete cases as (group, time, event) in time-range buckets."""
-    rows = df.select(
+    """Complete cases as (group, time, event), with a name for the time column."""
+    return df.select(
         F.lit(time).alias(VARIABLE), F.col(group).alias("group"),
         F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
     ).na.drop(subset=["group", "time", "event"])
-    return with_buckets(rows, "time")
 
 
 def km_curve(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """Product-limit estimate at every observed time of each group, in percent."""
-    steps = _timed(df, time, event, group).groupBy("group", BUCKET, "time").agg(
+    steps = _timed(df, time, event, group).groupBy(VARIABLE, "group", "time").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event").alias("n_event")
     )
+    steps = with_buckets(steps, "time")
     seen = running_totals(steps, ["group"], "time", {"n": "n"})
     at_risk = (F.col("n_all") - F.col("n_upto") + F.col("n")).alias("n_risk")
     seen = seen.select("group", BUCKET, "time", at_risk, "n_event", (F.col("n") - F.col("n_event")).alias("n_censor"))
@@ -63,11 +63,12 @@ def _levels(df: DataFrame, group: str, levels: Sequence | None) -> list:
 def _at_risk_by_time(df: DataFrame, time: str, event: str, group: str, levels: Sequence) -> DataFrame:
     """Per distinct time: d<i> events and r<i> at risk of every level, as columns."""
     g = F.col("group")
-    steps = _timed(df, time, event, group).where(g.isin(list(levels))).groupBy(VARIABLE, BUCKET, "time").agg(
+    steps = _timed(df, time, event, group).where(g.isin(list(levels))).groupBy(VARIABLE, "time").agg(
         *[F.count_if(g == lv).alias(f"n{i}") for i, lv in enumerate(levels)],
         *[F.sum(F.when(g == lv, F.col("event")).otherwise(0)).alias(f"d{i}") for i, lv in enumerate(levels)],
     )
     k = range(len(levels))
+    steps = with_buckets(steps, "time", "n0")
     seen = running_totals(steps, [VARIABLE], "time", {f"n{i}": f"n{i}" for i in k})
     return seen.select(
         *[F.col(f"d{i}").cast("double").alias(f"d{i}") for i in k],
