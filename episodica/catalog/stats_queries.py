@@ -130,10 +130,10 @@ def chisq_yates(s: Sample) -> DataFrame:
 
 def kruskal_sql(variable: str, base: str = NUMERIC_BASE, grp: str = "grp") -> str:
     return f"""
-    SELECT '{variable}' AS variable, round(h, 6) AS statistic, CAST(4 AS INTEGER) AS df,
-           round(exp(-h / 2) * (1 + h / 2), 6) AS p
-    FROM (SELECT (12 / (n * (n + 1)) * w - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h
-          FROM (SELECT sum(rs * rs / sz) AS w, sum(sz) AS n, sum(ts) AS ties
+    SELECT '{variable}' AS variable, round(h, 6) AS statistic, CAST(df AS INTEGER) AS df,
+           round({chi2_tail_sql('h', 'df')}, 6) AS p
+    FROM (SELECT k - 1 AS df, (12 / (n * (n + 1)) * w - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h
+          FROM (SELECT sum(rs * rs / sz) AS w, sum(sz) AS n, sum(ts) AS ties, count(*) AS k
                 FROM (SELECT {grp}, sum(mid) AS rs, CAST(count(*) AS DOUBLE) AS sz, sum(t * t - 1) AS ts
                       FROM (SELECT {grp}, CAST(t AS DOUBLE) AS t, rk + (t - 1) / 2.0 AS mid
                             FROM (SELECT {grp}, rank() OVER (ORDER BY {variable}) AS rk,

@@ -47,11 +47,13 @@ class Design:
 
 @dataclass(frozen=True)
 class LogisticFit:
+    """Terms that are constant among the cases have no estimate (None)."""
+
     names: list[str]
-    estimates: list[float]
-    errors: list[float]
-    z: list[float]
-    p: list[float]
+    estimates: list[float | None]
+    errors: list[float | None]
+    z: list[float | None]
+    p: list[float | None]
     design: Design
     model: GeneralizedLinearRegressionModel
     spark: SparkSession
@@ -74,7 +76,8 @@ class LogisticFit:
         """Adds the fitted probability as a plain column expression."""
         eta = F.lit(self.estimates[0])
         for (_, term), b in zip(self.design.terms().items(), self.estimates[1:]):
-            eta = eta + F.lit(b) * term
+            if b is not None:
+                eta = eta + F.lit(b) * term
         return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)))
 
 
@@ -102,26 +105,29 @@ def fit_logistic(
         )
     else:
         rows = rows.withColumn("_weight", F.lit(1.0))
-    assembler = VectorAssembler(inputCols=columns, outputCol="_features")
     # Every iteration reads these few columns again; spills to disk if large.
-    train = assembler.transform(rows).select("_label", "_weight", "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # A level nobody has gives a constant column, which no model can estimate.
+        spread = rows.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
+        used = [c for c in columns if spread[c]]
+        train = VectorAssembler(inputCols=used, outputCol="_features").transform(rows)
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", solver="irls", maxIter=max_iter, tol=tol,
             labelCol="_label", weightCol="_weight", featuresCol="_features",
         ).fit(train)
         summary = model.summary
         # Spark lists the intercept last in the summary arrays.
-        errors, z, p = (list(x) for x in (
-            summary.coefficientStandardErrors, summary.tValues, summary.pValues,
-        ))
+        arrays = [list(model.coefficients) + [model.intercept]] + [
+            list(x) for x in (summary.coefficientStandardErrors, summary.tValues, summary.pValues)
+        ]
     finally:
-        train.unpersist()
-    turn = [len(terms), *range(len(terms))]
-    return LogisticFit(
-        [INTERCEPT, *terms], [float(model.intercept), *map(float, model.coefficients)],
-        [errors[i] for i in turn], [z[i] for i in turn], [p[i] for i in turn], design, model, df.sparkSession,
+        rows.unpersist()
+    place = {c: i for i, c in enumerate([*used, INTERCEPT])}
+    estimates, errors, z, p = (
+        [float(values[place[c]]) if c in place else None for c in [INTERCEPT, *columns]] for values in arrays
     )
+    return LogisticFit([INTERCEPT, *terms], estimates, errors, z, p, design, model, df.sparkSession)
 
 
 def propensity_score(

@@ -162,3 +162,12 @@ def test_logistic_score_equations(spark):
     assert sum((r.y - r.distance) * r.age for r in scored) == pytest.approx(0, abs=1e-4)
     assert fit.names == ["(Intercept)", "age", "sex=M"]
     assert fit.z == pytest.approx([e / s for e, s in zip(fit.estimates, fit.errors)])
+
+
+def test_level_without_cases_has_no_estimate(spark):
+    rows = [(i % 2, float(i % 7), "a" if i % 3 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, x double, g string")
+    fit = fit_logistic(df, "y", Design(numeric=("x",), factors={"g": (("a", "b", "c"), "a")}))
+    table = {r.term: r.estimate for r in fit.coefficients().collect()}
+    assert table["g=c"] is None and table["g=b"] is not None
+    assert fit.score(df).where("distance BETWEEN 0 AND 1").count() == 60
