@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.catalog.registry import Sample, register
 from episodica.functions import columns as fn
+from episodica.session import ensure_checkpoint_dir
+from episodica.sources.tables import emit, read_csv, write_dataset
 
 # Text-coded ages with the top code, unreadable text and gaps.
 AGE_SQL = """
@@ -184,3 +188,31 @@ def level_order(s: Sample) -> DataFrame:
 def label_map(s: Sample) -> DataFrame:
     labels = {"click": "Clicks, n", "view": "Views, n"}
     return s.table("events").select("event_id", fn.labelled("event_type", labels).alias("label"))
+
+
+def _stage_path(s: Sample, name: str) -> str:
+    """A new place in the shared folder for a stage result."""
+    return f"{ensure_checkpoint_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+STAGE_SQL = """
+    SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+"""
+
+
+def _stage(s: Sample) -> DataFrame:
+    return s.table("orders").where("o_orderstatus = 'F'").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"
+    )
+
+
+@register("csv_import", STAGE_SQL)
+def csv_import(s: Sample) -> DataFrame:
+    rows, path = _stage(s), _stage_path(s, "csv")
+    emit(rows, path, "csv")
+    return read_csv(s.spark, path, rows.schema)
+
+
+@register("dataset_checkpoint", STAGE_SQL)
+def dataset_checkpoint(s: Sample) -> DataFrame:
+    return write_dataset(_stage(s), _stage_path(s, "stage"))

@@ -148,9 +148,11 @@ def kruskal_h(s: Sample) -> DataFrame:
     return rounded(hypothesis.kruskal(_numeric_base(s), "grp", NUMERIC_VARIABLES), "statistic", "p")
 
 
-@register("pairwise_t", f"""
-    WITH g AS (SELECT grp, count(score) AS n, avg(score) AS m, var_samp(score) AS v
-               FROM ({NUMERIC_BASE}) WHERE score IS NOT NULL GROUP BY grp),
+def pairwise_t_sql(base: str, value: str, grp: str) -> str:
+    """CTEs g to h of the t tests of all level pairs."""
+    return f"""
+    g AS (SELECT {grp} AS grp, count({value}) AS n, avg({value}) AS m, var_samp({value}) AS v
+          FROM ({base}) WHERE {value} IS NOT NULL AND {grp} IS NOT NULL GROUP BY {grp}),
     k AS (SELECT sum(n - 1) AS dof, sum((n - 1) * v) / sum(n - 1) AS pooled FROM g),
     t AS (SELECT a.grp AS level_a, b.grp AS level_b, CAST(dof AS BIGINT) AS df,
                  (b.m - a.m) / (sqrt(pooled) * sqrt(1.0 / a.n + 1.0 / b.n)) AS statistic
@@ -158,15 +160,20 @@ def kruskal_h(s: Sample) -> DataFrame:
     p AS (SELECT *, {t_tail_sql('statistic', 'df')} AS p FROM t),
     r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p),
     h AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY i)) AS p_adjusted FROM r)
-    SELECT 'score' AS test, level_a, level_b, df, round(statistic, 6) AS statistic, round(p, 6) AS p,
+    SELECT '{value}' AS test, level_a, level_b, df, round(statistic, 6) AS statistic, round(p, 6) AS p,
            round(p_adjusted, 6) AS p_adjusted FROM h
-""")
+    """
+
+
+@register("pairwise_t", "WITH " + pairwise_t_sql(NUMERIC_BASE, "score", "grp"))
 def pairwise_t(s: Sample) -> DataFrame:
     return rounded(hypothesis.pairwise_t(_numeric_base(s), "score", "grp"), "statistic", "p", "p_adjusted")
 
 
-@register("pairwise_chisq", f"""
-    WITH c AS (SELECT grp, outcome, CAST(count(*) AS DOUBLE) AS o FROM ({STAYS_SQL}) GROUP BY 1, 2),
+def pairwise_chisq_sql(base: str, outcome: str, grp: str) -> str:
+    """CTEs c to r of the corrected 2x2 tests of all level pairs."""
+    return f"""
+    c AS (SELECT {grp} AS grp, {outcome} AS outcome, CAST(count(*) AS DOUBLE) AS o FROM ({base}) GROUP BY 1, 2),
     l AS (SELECT grp, max(o) FILTER (outcome = 1) AS yes, max(o) FILTER (outcome = 0) AS no FROM c GROUP BY 1),
     t AS (SELECT a.grp AS level_a, b.grp AS level_b, a.yes + a.no + b.yes + b.no AS n,
                  abs(a.yes * b.no - a.no * b.yes) AS cross_gap,
@@ -175,12 +182,15 @@ def pairwise_t(s: Sample) -> DataFrame:
     x AS (SELECT *, n * pow(greatest(cross_gap - n / 2, 0), 2) / margins AS statistic FROM t),
     p AS (SELECT *, {chi2_tail_sql('statistic', '1')} AS p FROM x),
     r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)
-    SELECT 'outcome' AS test, level_a, level_b, round(statistic, 6) AS statistic, CAST(1 AS INTEGER) AS df,
+    SELECT '{outcome}' AS test, level_a, level_b, round(statistic, 6) AS statistic, CAST(1 AS INTEGER) AS df,
            CAST(n AS BIGINT) AS total, round(p, 6) AS p,
            round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)
              AS p_adjusted
     FROM r
-""")
+    """
+
+
+@register("pairwise_chisq", "WITH " + pairwise_chisq_sql(STAYS_SQL, "outcome", "grp"))
 def pairwise_chisq(s: Sample) -> DataFrame:
     return rounded(hypothesis.pairwise_chi_square(stays(s), "grp", "outcome"), "statistic", "p", "p_adjusted")
 
@@ -250,12 +260,14 @@ def logrank_terms(s: Sample) -> DataFrame:
     return rounded(survival.logrank_terms(follow_up(s), "days", "outcome", "grp", GROUPS), "expected", "variance")
 
 
-def _logrank_pairs_sql(pair_filter: str) -> str:
+def logrank_pairs_sql(base: str = FOLLOW_UP_SQL) -> str:
+    """CTEs a to p of the log-rank tests of all group pairs; frames have grp, days and outcome."""
+    at_risk = AT_RISK_SQL.replace(FOLLOW_UP_SQL, base)
     return f"""
-    WITH a AS MATERIALIZED ({AT_RISK_SQL}),
+    a AS MATERIALIZED ({at_risk}),
     j AS (SELECT x.grp AS level_a, y.grp AS level_b, x.d_g AS da, x.n_g AS na, y.n_g AS nb,
                  x.d_g + y.d_g AS d, x.n_g + y.n_g AS n
-          FROM a x JOIN a y ON x.days = y.days AND x.grp < y.grp {pair_filter}),
+          FROM a x JOIN a y ON x.days = y.days AND x.grp < y.grp),
     s AS (SELECT level_a, level_b, sum(da - CASE WHEN n > 0 THEN d * na / n ELSE 0 END) AS gap,
                  sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * na * nb / (n * n) ELSE 0 END) AS v
           FROM j GROUP BY 1, 2),
@@ -264,13 +276,16 @@ def _logrank_pairs_sql(pair_filter: str) -> str:
     """
 
 
-@register("pairwise_logrank", _logrank_pairs_sql("") + """,
+ADJUSTED_PAIRS_SQL = """,
     r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)
     SELECT level_a, level_b, round(statistic, 6) AS statistic, round(p, 6) AS p,
            round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)
              AS p_adjusted
     FROM r
-""")
+"""
+
+
+@register("pairwise_logrank", "WITH " + logrank_pairs_sql() + ADJUSTED_PAIRS_SQL)
 def pairwise_logrank(s: Sample) -> DataFrame:
     out = survival.pairwise_logrank(follow_up(s), "days", "outcome", "grp", GROUPS)
     return rounded(out, "statistic", "p", "p_adjusted")
@@ -282,7 +297,7 @@ TWO_GROUPS = f"""
 """
 
 
-@register("logrank_test", _logrank_pairs_sql("").replace(FOLLOW_UP_SQL, TWO_GROUPS) + """
+@register("logrank_test", "WITH " + logrank_pairs_sql(TWO_GROUPS) + """
     SELECT round(statistic, 6) AS statistic, CAST(1 AS INTEGER) AS df, round(p, 6) AS p FROM p
 """)
 def logrank_test(s: Sample) -> DataFrame:

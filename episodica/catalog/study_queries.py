@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.catalog.registry import Sample, register
-from episodica.catalog.stats_queries import chi2_tail_sql, chi_square_sql, km_sql, kruskal_sql, numeric_sql, rounded
+from episodica.catalog.stats_queries import (
+    ADJUSTED_PAIRS_SQL,
+    chi2_tail_sql,
+    chi_square_sql,
+    km_sql,
+    kruskal_sql,
+    logrank_pairs_sql,
+    numeric_sql,
+    pairwise_chisq_sql,
+    pairwise_t_sql,
+    rounded,
+)
 from episodica.catalog.ward import records_sql, ward_tables
 from episodica.operators import hypothesis, summary
 from episodica.plans import code_lists as fixed
@@ -103,21 +114,36 @@ def study_survival(s: Sample) -> DataFrame:
     return rounded(study.survival_curves(study.frames(ward_tables(s)).nonsepsis), "survival_pct")
 
 
-@register("study_survival_tests")
-def study_survival_tests(s: Sample) -> DataFrame:
-    frame = study.frames(ward_tables(s)).sepsis
-    pairs = study.survival_pairs(frame).select("level_a", "level_b", "statistic", F.lit(1).alias("df"), "p")
-    overall = study.survival_test(frame).select(
-        F.lit("all").alias("level_a"), F.lit("all").alias("level_b"), "statistic", "df", "p"
-    )
-    return rounded(pairs.unionByName(overall), "statistic", "p")
+SEPSIS_FOLLOW_UP = """
+    SELECT T_class AS grp, hosp_los_days AS days, hosp_mortality AS outcome FROM everyone
+    WHERE sepsis_flag = 1 AND hosp_mortality IS NOT NULL
+"""
+
+
+@register("study_survival_pairs", FRAMES_SQL + "," + logrank_pairs_sql(SEPSIS_FOLLOW_UP) + ADJUSTED_PAIRS_SQL)
+def study_survival_pairs(s: Sample) -> DataFrame:
+    out = study.survival_pairs(study.frames(ward_tables(s)).sepsis).where("statistic IS NOT NULL")
+    ordered = {"level_a": F.least("level_a", "level_b"), "level_b": F.greatest("level_a", "level_b")}
+    return rounded(out.withColumns(ordered), "statistic", "p", "p_adjusted")
+
+
+@register("study_survival_test")
+def study_survival_test(s: Sample) -> DataFrame:
+    return rounded(study.survival_test(study.frames(ward_tables(s)).sepsis), "statistic", "p")
+
+
+NONSEPSIS_SQL = "SELECT * FROM everyone WHERE sepsis_flag = 0"
+
+
+@register("study_stay_length_pairs", FRAMES_SQL + "," + pairwise_t_sql(NONSEPSIS_SQL, "icu_los_hours", "T_class"))
+def study_stay_length_pairs(s: Sample) -> DataFrame:
+    out = study.stay_length_pairs(study.frames(ward_tables(s)).nonsepsis)
+    return rounded(out, "statistic", "p", "p_adjusted")
 
 
-@register("study_pairs")
-def study_pairs(s: Sample) -> DataFrame:
-    frame = study.frames(ward_tables(s)).nonsepsis
-    columns = ["test", "level_a", "level_b", "statistic", "p", "p_adjusted"]
-    out = study.stay_length_pairs(frame).select(*columns).unionByName(study.mortality_pairs(frame).select(*columns))
+@register("study_mortality_pairs", FRAMES_SQL + "," + pairwise_chisq_sql(NONSEPSIS_SQL, "icu_mortality", "T_class"))
+def study_mortality_pairs(s: Sample) -> DataFrame:
+    out = study.mortality_pairs(study.frames(ward_tables(s)).nonsepsis)
     return rounded(out, "statistic", "p", "p_adjusted")
 
 

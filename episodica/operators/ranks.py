@@ -9,13 +9,12 @@ quantiles; they steer only the balance of the tasks, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Buckets are found in two steps, SPLIT x SPLIT.
-SPLIT = 8
 CHUNK = 100_000
 
 VARIABLE = "variable"
@@ -33,19 +32,26 @@ def histogram(long: DataFrame, by: Sequence[str], value: str = "value") -> DataF
     return long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _split(spark: SparkSession) -> int:
+    """Buckets are found in two steps of this many each: about one bucket per shuffle task, 64 at least."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(64, max(8, math.isqrt(tasks - 1) + 1))
+
+
 def with_buckets(hist: DataFrame, value: str = "value", weight: str = "n") -> DataFrame:
     """Adds the value-range bucket to rows of distinct values.
 
     Broadcasts one row per named variable, nothing more. ``weight`` is read only
     so that both uses of the histogram share one shuffle.
     """
-    probs = [i / SPLIT**2 for i in range(1, SPLIT**2)]
+    size = _split(hist.sparkSession)
+    probs = [i / size**2 for i in range(1, size**2)]
     seen = F.when(F.col(weight).isNotNull(), F.col(value))
-    limits = hist.groupBy(VARIABLE).agg(F.percentile_approx(seen, probs, 1000).alias("_limits")).select(
+    limits = hist.groupBy(VARIABLE).agg(F.percentile_approx(seen, probs, 16 * size**2).alias("_limits")).select(
         VARIABLE,
-        F.transform(F.sequence(F.lit(1), F.lit(SPLIT - 1)), lambda i: F.element_at("_limits", i * SPLIT)).alias("_outer"),
+        F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.element_at("_limits", i * size)).alias("_outer"),
         F.transform(
-            F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.slice("_limits", i * SPLIT + 1, SPLIT - 1)
+            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice("_limits", i * size + 1, size - 1)
         ).alias("_inner"),
     )
 
@@ -54,7 +60,7 @@ def with_buckets(hist: DataFrame, value: str = "value", weight: str = "n") -> Da
 
     outer = hist.join(F.broadcast(limits), VARIABLE).withColumn("_part", F.size(F.filter("_outer", below)))
     inner = F.size(F.filter(F.element_at("_inner", F.col("_part") + 1), below))
-    return outer.withColumn(BUCKET, F.col("_part") * SPLIT + inner).drop("_outer", "_inner", "_part")
+    return outer.withColumn(BUCKET, F.col("_part") * size + inner).drop("_outer", "_inner", "_part")
 
 
 def running_totals(
