@@ -21,10 +21,19 @@ VARIABLE = "variable"
 BUCKET = "_bucket"
 
 
+def stacked(df: DataFrame, variables: Sequence[str], keep: Sequence[str], value: str, to: str) -> DataFrame:
+    """Several columns as rows (keep..., variable, value).
+
+    An inline array rather than ``unpivot``: plans that use the result twice then
+    share one shuffle, which they do not above the expansion of ``unpivot``.
+    """
+    cells = [F.struct(F.lit(v).alias(VARIABLE), F.col(v).cast(to).alias(value)) for v in variables]
+    return df.select(*keep, F.inline(F.array(*cells)))
+
+
 def long_values(df: DataFrame, variables: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Known values of several numeric columns as rows (keep..., variable, value)."""
-    wide = df.select(*keep, *[F.col(v).cast("double").alias(v) for v in variables])
-    return wide.unpivot(list(keep), list(variables), VARIABLE, "value").where(F.col("value").isNotNull())
+    return stacked(df, variables, keep, "value", "double").where(F.col("value").isNotNull())
 
 
 def histogram(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -46,7 +55,7 @@ def with_buckets(hist: DataFrame, value: str = "value", weight: str = "n") -> Da
     """
     size = _split(hist.sparkSession)
     probs = [i / size**2 for i in range(1, size**2)]
-    seen = F.when(F.col(weight).isNotNull(), F.col(value))
+    seen = F.when(F.col(weight) >= 0, F.col(value))
     limits = hist.groupBy(VARIABLE).agg(F.percentile_approx(seen, probs, 16 * size**2).alias("_limits")).select(
         VARIABLE,
         F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.element_at("_limits", i * size)).alias("_outer"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.columns import labelled
 from episodica.operators.hypothesis import chi_square, kruskal
-from episodica.operators.ranks import VARIABLE, exact_quantiles, histogram, long_values, with_buckets
+from episodica.operators.ranks import VARIABLE, exact_quantiles, histogram, long_values, stacked, with_buckets
 
 TOTAL = "Total"
 STRATUM = "stratum"
@@ -54,8 +54,7 @@ def numeric_table(
 
 
 def _level_counts(df: DataFrame, stratum: str, variables: Sequence[str]) -> DataFrame:
-    texts = [F.col(v).cast("string").alias(v) for v in variables]
-    long = _stratified(df, stratum).select(STRATUM, *texts).unpivot([STRATUM], list(variables), VARIABLE, "level")
+    long = stacked(_stratified(df, stratum), variables, [STRATUM], "level", "string")
     return long.groupBy(VARIABLE, STRATUM, "level").agg(F.count(F.lit(1)).alias("n"))
 
 
