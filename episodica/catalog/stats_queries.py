@@ -16,19 +16,19 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def chi2_tail_sql(x: str, df: str) -> str:
-    """Chi-square tail by the series of the incomplete gamma function."""
+    """Chi-square tail by the series of the incomplete gamma function; 0 where it is below 1e-100."""
     return (
-        f"greatest(0, 1 - list_sum([exp(({df} / 2.0 + k) * ln(greatest({x}, 1e-300) / 2.0) - {x} / 2.0 "
-        f"- lgamma({df} / 2.0 + k + 1)) for k in range(0, 400)]))"
+        f"CASE WHEN {x} > 700 THEN 0 ELSE greatest(0, 1 - list_sum([exp(({df} / 2.0 + k) * ln(greatest({x}, 1e-300) / 2.0) - {x} / 2.0 "
+        f"- lgamma({df} / 2.0 + k + 1)) for k in range(0, 800)])) END"
     )
 
 
 def t_tail_sql(t: str, df: str) -> str:
-    """Two-sided t tail by the series of the incomplete beta function."""
+    """Two-sided t tail by the series of the incomplete beta function; 0 for extreme t."""
     x = f"(({t}) * ({t}) / ({df} + ({t}) * ({t})))"
     return (
-        f"greatest(0, 1 - list_sum([exp((0.5 + k) * ln(greatest({x}, 1e-300)) + {df} / 2.0 * ln(1 - {x}) "
-        f"+ lgamma({df} / 2.0 + 0.5 + k) - lgamma({df} / 2.0) - lgamma(1.5 + k)) for k in range(0, 400)]))"
+        f"CASE WHEN abs({t}) > 26 AND {df} > 1000 THEN 0 ELSE greatest(0, 1 - list_sum([exp((0.5 + k) * ln(greatest({x}, 1e-300)) + {df} / 2.0 * ln(1 - {x}) "
+        f"+ lgamma({df} / 2.0 + 0.5 + k) - lgamma({df} / 2.0) - lgamma(1.5 + k)) for k in range(0, 800)])) END"
     )
 
 
