@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.bytehash import Ranges, column_bytes, mix, parts, signed
-from episodica.llm.shared import text_rows
-from episodica.session import ensure_checkpoint_dir
+from episodica.llm.shared import small, staged, text_rows
 
 #: Bytes of the first rank. A window of the threshold holds threshold - ANCHOR + 1 of them.
 ANCHOR = 36
@@ -170,19 +169,19 @@ def repeated_spans(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """
     if not ANCHOR < threshold <= ANCHOR + 100:
         raise ValueError(f"threshold must lie in {ANCHOR + 1}..{ANCHOR + 100}")
-    ensure_checkpoint_dir(docs.sparkSession)
     keyed = keyed_docs(docs)
     runs = keyed.mapInArrow(_runs(threshold), "deal int, late boolean, context long, doc long, place long")
     kinds = "count(1) OVER (PARTITION BY deal, late)"
     marked = _late(runs, "context").withColumn("contexts", F.expr(kinds))
-    marked = marked.where("late OR contexts > 1").select("deal", "late", "doc", "place").checkpoint()
+    marked = staged(marked.where("late OR contexts > 1").select("deal", "late", "doc", "place"), "runs")
 
     openings = (
         marked.where("NOT late")
         .groupBy("doc", F.shiftright("place", 46).alias("tag"))
         .agg(F.collect_list(F.struct("deal", "place")).alias("runs"))
     )
-    windows = keyed.join(openings, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(
+    texts = keyed.join(small(marked.where("NOT late").select("doc").distinct()), "doc", "left_semi")
+    windows = texts.join(openings, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(
         _opened(threshold), "deal long, late boolean, anchor int, doc long, place long")
     repeats = _late(windows, "anchor").where("late").select("doc", "place", F.lit(1).alias("n"))
     whole = marked.where("late").select("doc", "place", (F.shiftright("place", 7).bitwiseAND(127)).cast("int").alias("n"))
@@ -241,7 +240,11 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_bytes: bool = Tru
 
     Removing can cut inside a character, so the rest is binary.
     """
-    spans = repeated_spans(docs, threshold)
-    out = keyed_docs(docs).join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = staged(repeated_spans(docs, threshold), "spans")
+    keyed, touched = keyed_docs(docs), small(spans.select("doc").distinct())
+    # only texts that lose bytes meet their spans in a shuffle
+    cut = keyed.join(touched, "doc", "left_semi").join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    plain = keyed.join(touched, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
+    out = cut.union(plain).mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_bytes else out.drop("kept")
