@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import suffixes
+from episodica.llm import jaccard, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on three-word shingles at a similarity of 0.9."""
+    return jaccard.similar_groups(_documents(spark, sf_dir), size=3, threshold=0.9)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after removing every byte that a repeated 100-byte string covers."""
     return suffixes.remove_repeats(_documents(spark, sf_dir), threshold=100, with_bytes=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_suffix_dedup,)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
