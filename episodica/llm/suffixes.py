@@ -14,8 +14,9 @@ all text is settled there.
    all but the first are repeats.
 2. Rerank at the full length. Where one anchor rank has different contexts, the
    first run of each context is opened: every window in it gets the pair (rank of
-   its first half, rank of its second half), which Spark sorts again; windows
-   that are not first of their pair are repeats.
+   its first half, rank of its second half). Runs are sorted by (anchor rank,
+   document, position), so windows whose pair was met before are repeats. A group
+   of more than ``GROUP_ROWS`` contexts is dealt by pair instead of by anchor.
 
 Ranks are 64-bit fingerprints rather than dense numbers, so that a task can form
 the pair for an offset from the text it holds and no rank table is joined back.
@@ -34,16 +35,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.bytehash import Ranges, column_bytes, mix, parts, signed
+from episodica.llm.bytehash import Ranges, column_bytes, mix, signed
 from episodica.llm.shared import small, staged, text_rows
 
 #: Bytes of the first rank. A window of the threshold holds threshold - ANCHOR + 1 of them.
 ANCHOR = 36
+#: Contexts of one anchor that a single task may open (about 2 MB); larger groups are dealt by window.
+GROUP_ROWS = 10_000
 _NONE = -(1 << 63)
-_LO = np.uint64((1 << 32) - 1)
 
 
 def _first_flags(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,46 +116,81 @@ def _runs(threshold: int, chunk: int = 1 << 20):
 
 
 def _opened(threshold: int):
+    """For each opened run its bytes, dealt by anchor; runs of very large groups as single windows, dealt by rank."""
     half = threshold // 2
 
     def task(batches):
         for batch in batches:
-            data, offsets = column_bytes(batch.column(2))
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            found = []
-            for row, runs in enumerate(batch.column(3).to_pylist()):
-                text = data[offsets[row] : offsets[row + 1]]
-                place = np.unique(np.array([r["place"] for r in runs], np.int64))
-                deal = {r["place"]: r["deal"] for r in runs}
-                lo, count = (place >> 14) & int(_LO), (place >> 7) & 127
-                at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                key = np.repeat(np.array([deal[int(p)] for p in place], np.int32), count)
-                for a, b in _pieces(lo, count):
-                    begin, end = int(lo[a]), int(lo[b - 1] + count[b - 1] + threshold - 1)
-                    ranges = Ranges(text[begin:end])
-                    span = slice(int(count[:a].sum()), int(count[:b].sum()))
-                    s = at[span] - begin
-                    rank = mix(ranges.of(s, s + half) * np.uint64(3) + ranges.of(s + half, s + threshold))
-                    where = (np.uint64(tags[row]) << np.uint64(46)) | (at[span].astype(np.uint64) << np.uint64(14))
-                    found.append((key[span], rank, np.full(len(s), ids[row], np.int64), where))
-            if not found:
+            out: list[tuple] = []
+            for row, (packed, runs) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+                text = zstandard.decompress(packed.as_py())
+                tag = int(tags[row]) << 46
+                for place, (deal, large) in sorted({r["place"]: (r["deal"], r["large"]) for r in runs}.items()):
+                    lo, count = place >> 14 & 0xFFFFFFFF, place >> 7 & 127
+                    run = text[lo : lo + count + threshold - 1]
+                    if not large:
+                        out.append((deal, ids[row], tag | lo << 14, run))
+                        continue
+                    at = np.arange(count)
+                    ranges = Ranges(np.frombuffer(run, np.uint8))
+                    ranks = mix(ranges.of(at, at + half) * np.uint64(3) + ranges.of(at + half, at + threshold))
+                    out += [(int(x), ids[row], tag | lo + k << 14, run[k : k + threshold]) for k, x in enumerate(signed(ranks))]
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["deal", "doc", "place", "run"])
+    return task
+
+
+def _repeats(threshold: int):
+    """Windows that are not the first of their rank pair, from rows sorted by (deal, doc, place)."""
+    half = threshold // 2
+
+    def task(batches):
+        last, seen, before = None, np.zeros(0, np.uint64), None
+        for batch in batches:
+            deal, doc, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if not len(deal):
                 continue
-            key, rank, doc, place = (np.concatenate(x) for x in zip(*found))
-            late = _first_flags([key, rank], doc, place)
-            deal = np.where(late, mix(doc.view(np.uint64)), rank)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(deal)), pa.array(late), pa.array(key), pa.array(doc), pa.array(signed(place))],
-                ["deal", "late", "anchor", "doc", "place"])
+            again = np.zeros(len(deal), bool)  # the same document twice
+            again[1:] = (deal[1:] == deal[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+            again[0] = before == (deal[0], doc[0], place[0])
+            before = (deal[-1], doc[-1], place[-1])
+            lengths = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, starts = column_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string()))
+            count = np.where(again, 0, lengths - threshold + 1)
+            row = np.repeat(np.arange(len(deal)), count)
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            ranges, at = Ranges(data), starts[row] + step
+            rank = mix(ranges.of(at, at + half) * np.uint64(3) + ranges.of(at + half, at + threshold))
+            key, owner, where = deal[row], doc[row], place[row] + (step << 14)
+            late = _first_flags([key.view(np.uint64), rank], owner, where)
+            if last is not None:
+                carried = key == last
+                late[carried] |= np.isin(rank[carried], seen)
+            fresh = rank[key == deal[-1]]
+            seen = np.unique(np.concatenate([seen, fresh]) if last == deal[-1] else fresh)
+            last = deal[-1]
+            # neighbouring windows of one row leave as one run
+            hit = np.flatnonzero(late)
+            if len(hit):
+                new = np.ones(len(hit), bool)
+                new[1:] = (np.diff(hit) > 1) | (row[hit][1:] != row[hit][:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(hit)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner[hit[first]]), pa.array(where[hit[first]]), pa.array(n.astype(np.int32))], ["doc", "place", "n"])
     return task
 
 
-def _pieces(lo: np.ndarray, count: np.ndarray, most: int = 1 << 20):
-    """Groups of sorted runs that lie within ``most`` bytes, each hashed as one range of the text."""
-    a = 0
-    while a < len(lo):
-        b = int(np.searchsorted(lo, lo[a] + most, "right"))
-        yield a, b
-        a = b
+def _packed(batches):
+    """Texts travel compressed."""
+    for batch in batches:
+        press = zstandard.ZstdCompressor(level=3)
+        packed = [press.compress((x.as_py() or "").encode()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]],
+                                         ["doc", "tag", "packed", *batch.schema.names[3:]])
 
 
 def _late(rows: DataFrame, *keys: str) -> DataFrame:
@@ -171,19 +210,20 @@ def repeated_spans(docs: DataFrame, threshold: int = 100) -> DataFrame:
         raise ValueError(f"threshold must lie in {ANCHOR + 1}..{ANCHOR + 100}")
     keyed = keyed_docs(docs)
     runs = keyed.mapInArrow(_runs(threshold), "deal int, late boolean, context long, doc long, place long")
-    kinds = "count(1) OVER (PARTITION BY deal, late)"
-    marked = _late(runs, "context").withColumn("contexts", F.expr(kinds))
-    marked = staged(marked.where("late OR contexts > 1").select("deal", "late", "doc", "place"), "runs")
+    marked = _late(runs, "context").withColumn("contexts", F.expr("count(1) OVER (PARTITION BY deal, late)"))
+    marked = marked.where("late OR contexts > 1").select("deal", "late", "doc", "place", (F.col("contexts") > GROUP_ROWS).alias("large"))
+    marked = staged(marked, "runs")
 
     openings = (
         marked.where("NOT late")
         .groupBy("doc", F.shiftright("place", 46).alias("tag"))
-        .agg(F.collect_list(F.struct("deal", "place")).alias("runs"))
+        .agg(F.collect_list(F.struct("deal", "place", "large")).alias("runs"))
     )
-    texts = keyed.join(small(marked.where("NOT late").select("doc").distinct()), "doc", "left_semi")
-    windows = texts.join(openings, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(
-        _opened(threshold), "deal long, late boolean, anchor int, doc long, place long")
-    repeats = _late(windows, "anchor").where("late").select("doc", "place", F.lit(1).alias("n"))
+    texts = keyed.join(small(marked.where("NOT late").select("doc").distinct()), "doc", "left_semi").select("doc", "tag", "text")
+    opened = texts.mapInArrow(_packed, "doc long, tag long, packed binary").join(openings, ["doc", "tag"])
+    opened = opened.select("doc", "tag", "packed", "runs").mapInArrow(_opened(threshold), "deal long, doc long, place long, run binary")
+    repeats = opened.repartition("deal").sortWithinPartitions("deal", "doc", "place").mapInArrow(
+        _repeats(threshold), "doc long, place long, n int")
     whole = marked.where("late").select("doc", "place", (F.shiftright("place", 7).bitwiseAND(127)).cast("int").alias("n"))
     begin = F.shiftright("place", 14).bitwiseAND((1 << 32) - 1)
     return (
@@ -217,11 +257,10 @@ def _merged(spans: list[int] | None) -> list[tuple[int, int]]:
 def _cut(batches):
     for batch in batches:
         rows = []
-        data, offsets = column_bytes(batch.column(1))
-        raw = memoryview(np.ascontiguousarray(data))
-        for row, packed in enumerate(batch.column(2).to_pylist()):
-            text = raw[offsets[row] : offsets[row + 1]]
-            spans = _merged(packed)
+        for text, packed in zip(batch.column(1), batch.column(2)):
+            text = text.as_py()
+            text = memoryview(text.encode() if isinstance(text, str) else zstandard.decompress(text))
+            spans = _merged(packed.as_py())
             kept, last = [], 0
             for a, b in spans:
                 kept.append(text[last:a])
@@ -243,8 +282,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_bytes: bool = Tru
     spans = staged(repeated_spans(docs, threshold), "spans")
     keyed, touched = keyed_docs(docs), small(spans.select("doc").distinct())
     # only texts that lose bytes meet their spans in a shuffle
-    cut = keyed.join(touched, "doc", "left_semi").join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    cut = keyed.join(touched, "doc", "left_semi").select("doc", "tag", "text", "doc_id").mapInArrow(
+        _packed, "doc long, tag long, packed binary, doc_id long").join(spans, ["doc", "tag"], "left")
     plain = keyed.join(touched, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
-    out = cut.union(plain).mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    out = cut.select("doc_id", "packed", "spans").mapInArrow(_cut, schema).union(plain.mapInArrow(_cut, schema))
     return out if with_bytes else out.drop("kept")
