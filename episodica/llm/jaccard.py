@@ -36,6 +36,8 @@ from episodica.llm.shared import small, staged, text_rows
 
 #: Most tokens that may rank as frequent: 8 MB as sorted longs.
 HOT_TOKENS = 1 << 20
+#: Leading bits of a token in the filter of tokens that some documents share (8 MB).
+BITMAP = 26
 #: A token of fewer documents never ranks as frequent.
 HOT_LEAST = 16
 
@@ -92,46 +94,76 @@ def _full_sets(size: int):
     return task
 
 
-def _prefix_rows(t: Fraction, hot, whole: bool):
-    """(token, doc, n, place) of each prefix. A document whose head has too few rare tokens is left to a whole set."""
+def _held(sorted_tokens: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    if not len(sorted_tokens):
+        return np.zeros(len(tokens), bool)
+    return sorted_tokens[np.minimum(np.searchsorted(sorted_tokens, tokens), len(sorted_tokens) - 1)] == tokens
+
+
+def _ordered_prefixes(batch: pa.RecordBatch, t: Fraction, often: np.ndarray):
+    """Per row (doc, n, tokens): its prefix in the global order, or None if the tokens given do not decide it."""
+    ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+    at = lists.offsets.to_numpy()
+    tokens = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    common = _held(often, tokens)
+    need = _prefix(sizes, t)
+    for k in range(len(ids)):
+        own, flag = tokens[at[k] : at[k + 1]], common[at[k] : at[k + 1]]
+        rare = own[~flag]
+        known = len(rare) >= need[k] or len(own) == sizes[k]
+        yield ids[k], sizes[k], np.concatenate([rare, own[flag]])[: need[k]] if known else None, len(rare)
+
+
+def _undecided(t: Fraction, hot):
+    def task(batches):
+        for batch in batches:
+            ids = [d for d, _, own, _ in _ordered_prefixes(batch, t, hot.value) if own is None]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["doc"])
+    return task
+
+
+def _prefix_rows(t: Fraction, hot, bits):
+    """(token, doc, n, place) of each prefix; ``bits`` leaves out tokens that no other document can share.
+
+    A row with place -1 gives the document's end instead: the order of its last prefix token.
+    """
     def task(batches):
-        often = hot.value
         for batch in batches:
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            heads = batch.column(2)
-            at = heads.offsets.to_numpy()
-            tokens = heads.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            common = np.zeros(len(tokens), bool)
-            if len(often):
-                spot = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
-                common = often[spot] == tokens
-            out: list[tuple] = []
-            poor = []
-            need = _prefix(sizes, t)
-            for k in range(len(ids)):
-                own, flag = tokens[at[k] : at[k + 1]], common[at[k] : at[k + 1]]
-                rare = own[~flag]
-                if len(rare) < need[k] and not whole and len(own) < sizes[k]:
-                    poor.append(ids[k])
+            token, doc, n, place = [], [], [], []
+            for d, size, own, rare in _ordered_prefixes(batch, t, hot.value):
+                if own is None:
                     continue
-                out.append((np.concatenate([rare, own[flag]])[: need[k]], ids[k], sizes[k]))
-            many = np.array([len(x[0]) for x in out], np.int64)
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            token = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in out)])
-            doc = np.repeat(np.array([x[1] for x in out], np.int64), many)
-            n = np.repeat(np.array([x[2] for x in out], np.int64), many)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([signed(token), np.zeros(len(poor), np.int64)])),
-                 pa.array(np.concatenate([doc, np.array(poor, np.int64)])),
-                 pa.array(np.concatenate([n, np.zeros(len(poor), np.int64)]).astype(np.int32)),
-                 pa.array(np.concatenate([place, np.full(len(poor), -1)]).astype(np.int32))],
-                ["token", "doc", "n", "place"])
+                # rare tokens in unsigned order below zero, frequent ones after them
+                last = (int(own[-1]) >> 1) - (1 << 63 if len(own) <= rare else 0)
+                at = np.arange(len(own))
+                if bits is not None:
+                    spot = own >> np.uint64(64 - BITMAP)
+                    at = at[(bits.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
+                token += [signed(own[at]), np.array([last], np.int64)]
+                place += [at, np.array([-1])]
+                doc.append(np.full(len(at) + 1, d, np.int64))
+                n.append(np.full(len(at) + 1, size, np.int64))
+            if doc:
+                cols = [np.concatenate(c) for c in (token, doc, n, place)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))],
+                    ["token", "doc", "n", "place"])
     return task
 
 
 _ROWS = "token long, doc long, n int, place int"
 
 
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bit per leading ``BITMAP`` bits of the tokens: a filter of fixed size, merged before it reaches the driver."""
+    spot = F.shiftrightunsigned("token", 64 - BITMAP)
+    words = tokens.groupBy(F.shiftrightunsigned(spot, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - BITMAP}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _possible(t: Fraction, i: str, j: str, nx: str, ny: str) -> str:
     """SQL: documents whose first shared token stands at i and j may reach the threshold."""
     num, den = t.numerator, t.denominator
@@ -139,9 +171,23 @@ def _possible(t: Fraction, i: str, j: str, nx: str, ny: str) -> str:
             f"AND least({nx}, {ny}) * {den}L >= greatest({nx}, {ny}) * {num}L")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The pairs (x, y) that reach the threshold, compared on whole sets."""
-    pairs = staged(pairs.distinct(), "pairs")
+def _links(met: DataFrame, ends: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """The pairs (x, y) that reach the threshold. ``met`` has a row (x, y, i, j) per shared prefix token.
+
+    With k shared prefix tokens, the last at i and j, all but k of the prefix that ends first are not shared, nor are
+    all but k of the other's tokens up to its last shared one. What this bound leaves is compared on whole sets.
+    """
+    num, den = t.numerator, t.denominator
+    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    one = ends.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("last").alias("lx"))
+    two = ends.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("last").alias("ly"))
+    apart = F.expr("CASE WHEN lx <= ly THEN px + j + 1 ELSE py + i + 1 END - 2 * k")
+    pairs = (
+        pairs.join(one, "x").join(two, "y")
+        .withColumn("px", F.expr(f"nx - ceil(nx * {num}L / {den}) + 1")).withColumn("py", F.expr(f"ny - ceil(ny * {num}L / {den}) + 1"))
+        .where(F.coalesce(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num), F.lit(True))).select("x", "y")
+    )
+    pairs = staged(pairs, "pairs")
     involved = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct()
     sets = docs.join(small(involved), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
     sets = staged(sets, "sets")
@@ -149,7 +195,7 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFra
         sets.select(F.col("doc").alias("y"), F.col("tokens").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     both = both.select("x", "y", shared.alias("c"), (F.size("a") + F.size("b")).alias("s"))
-    return staged(both.where(f"c * {t.denominator}L >= (s - c) * {t.numerator}L").select("x", "y").distinct(), "links")
+    return staged(both.where(f"c * {den}L >= (s - c) * {num}L").select("x", "y").distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -174,24 +220,31 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
 
     totals = full.agg(F.sum(F.size("head"))).first()[0] or 0
     often = max(HOT_LEAST, totals // HOT_TOKENS)
-    counts = full.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > often)
-    hot = np.sort(np.array([r[0] for r in counts.select("token").collect()], np.int64).view(np.uint64))
-    hot = spark.sparkContext.broadcast(hot)
-
-    firsts = classes.select(F.col("rep").alias("doc"), "sig1", "sig2", "n")
-    heads = full.join(firsts, ["doc", "sig1", "sig2", "n"], "left_semi").select("doc", "n", "head")
-    tried = staged(heads.mapInArrow(_prefix_rows(t, hot, False), _ROWS), "prefix")
-    poor = tried.where("place < 0").select("doc").distinct()
-    again = keyed.join(small(poor), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
-    again = again.select("doc", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0")
-    prefixes = tried.where("place >= 0").union(again.mapInArrow(_prefix_rows(t, hot, True), _ROWS))
+    counts = staged(full.select(F.explode("head").alias("token")).groupBy("token").count().where("count > 1"), "counts")
+    hot = counts.where(F.col("count") > often).select("token").toPandas()["token"].to_numpy(np.int64)
+    hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
+
+    # prefixes: from the heads, or from whole sets where a head has too few rare tokens
+    heads = full.select("doc", "n", "head")
+    poor = heads.mapInArrow(_undecided(t, hot), "doc long").distinct()
+    whole = keyed.join(small(staged(poor, "poor")), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
+    whole = whole.select("doc", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0")
+    whole = staged(whole.mapInArrow(_prefix_rows(t, hot, None), _ROWS), "whole")
+    bits = spark.sparkContext.broadcast(_bitmap(counts.select("token").union(whole.where("place >= 0").select("token"))))
+    firsts = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"))
+    rows_of = heads.mapInArrow(_prefix_rows(t, hot, bits), _ROWS).union(whole)
+    prefixes = staged(rows_of.join(firsts, ["doc", "n"], "left_semi").distinct().select("token", "doc", "n", "place"), "prefix")
+    only = F.count(F.lit(1)) == 1  # an id with several texts has no single end, so its pairs go without that bound
+    ends = prefixes.where("place < 0").groupBy("doc").agg(F.when(only, F.max("n")).alias("n"), F.when(only, F.max("token")).alias("last"))
+    prefixes = prefixes.where("place >= 0")
 
     # round 1: each document of a token against the token's leader
     lists = prefixes.groupBy("token").agg(
         F.count(F.lit(1)).alias("docs"), F.min(F.struct("place", "doc", "n")).alias("lead"))
     shared = staged(prefixes.join(lists.where("docs > 1"), "token"), "shared")
     star = shared.where("doc != lead.doc AND " + _possible(t, "place", "lead.place", "n", "lead.n"))
-    near = _links(star.select(F.col("doc").alias("x"), F.col("lead.doc").alias("y")), keyed, size, t)
+    star = star.select(F.col("doc").alias("x"), F.col("lead.doc").alias("y"), F.col("place").alias("i"), F.col("lead.place").alias("j"))
+    near = _links(star, ends, keyed, size, t)
     groups = components(near, "x", "y").select(F.col("node").alias("doc"), F.col("component"))
 
     # round 2: the matrix of tokens and groups; queries open the groups whose bound holds
@@ -205,7 +258,8 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
         f"AND n * {den}L >= least * {num}L AND most * {den}L >= n * {num}L").select("token", "other", "doc", "n", "place")
     partner = placed.select("token", F.col("own").alias("other"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     pairs = opened.join(partner, ["token", "other"]).where(_possible(t, "place", "place2", "n", "n2"))
-    far = _links(pairs.select(F.col("doc").alias("x"), F.col("doc2").alias("y")), keyed, size, t)
+    pairs = pairs.select(F.col("doc").alias("x"), F.col("doc2").alias("y"), F.col("place").alias("i"), F.col("place2").alias("j"))
+    far = _links(pairs, ends, keyed, size, t)
 
     reps = member.where("rep IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
     split = member.where("rep IS NOT NULL").join(reps.where("x != y").select("doc", "x"), "doc").select("x", F.col("rep").alias("y"))
