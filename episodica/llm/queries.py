@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import jaccard, suffixes
+from episodica.llm import jaccard, language, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_documents(spark, sf_dir), threshold=100, with_bytes=False)
 
 
+def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labels."""
+    return language.learn_and_identify(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op9_suffix_dedup, op10_compression_language)}
 
 
 def oracle_sql() -> dict[str, str]:
