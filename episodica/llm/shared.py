@@ -1,10 +1,11 @@
-"""Helpers that the operators share: stage tables, checkpoints, numbering, columns."""
+"""Helpers that the operators share: stage tables, checked broadcasts, running sums."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,34 +38,35 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def numbered(df: DataFrame, group: str, order: Sequence[str], out: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps.
+def running(df: DataFrame, group: str, order: Sequence[str], out: str, value: str | None = None) -> DataFrame:
+    """Add, within each group in the given order, the sum of ``value`` over earlier rows (without it: their number, from 0).
 
     Rows are range-partitioned by group and order and kept as a stage, so a group
-    spreads over many tasks; each task numbers its rows from the sum of the
-    counts that earlier partitions have of the group. Those counts are one row per partition and
-    group that meets it (at most partitions plus groups).
+    spreads over many tasks; each task continues from the sums that earlier
+    partitions have of the group. The driver sees one sum per partition and group
+    that meets it (at most partitions plus groups). Null values count as 0.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cut = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
     ensure_checkpoint_dir(spark)
-    cut = cut.checkpoint()
-    counts = cut.groupBy(F.spark_partition_id().alias("part"), F.col(group).alias("g")).count().collect()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).checkpoint()
+    step = F.coalesce(F.col(value), F.lit(0)).cast("long") if value else F.lit(1).cast("long")
+    sums = cut.groupBy(F.spark_partition_id().alias("part"), F.col(group).alias("g")).agg(F.sum(step).alias("s")).collect()
     starts, totals = {}, {}
-    for r in sorted(counts, key=lambda r: (r["part"], r["g"])):
+    for r in sorted(sums, key=lambda r: (r["part"], r["g"])):
         starts[r["part"], r["g"]] = totals.get(r["g"], 0)
-        totals[r["g"]] = totals.get(r["g"], 0) + r["count"]
+        totals[r["g"]] = totals.get(r["g"], 0) + r["s"]
 
-    def number(batches):
+    def add(batches):
         part = TaskContext.get().partitionId()
         seen: dict = {}
         for pdf in batches:
-            own = pdf.groupby(group).cumcount()
-            pdf[out] = [starts.get((part, g), 0) + seen.get(g, 0) + int(k) for g, k in zip(pdf[group], own)]
-            for g, k in pdf[group].value_counts().items():
-                seen[g] = seen.get(g, 0) + int(k)
+            amount = pdf[value].fillna(0).astype("int64") if value else pd.Series(1, index=pdf.index, dtype="int64")
+            upto = amount.groupby(pdf[group]).cumsum()
+            pdf[out] = upto - amount + pdf[group].map(lambda g: starts.get((part, g), 0) + seen.get(g, 0)).astype("int64")
+            for g, s in amount.groupby(pdf[group]).sum().items():
+                seen[g] = seen.get(g, 0) + int(s)
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return cut.mapInPandas(number, f"{schema}, `{out}` bigint")
+    return cut.mapInPandas(add, f"{schema}, `{out}` bigint")
