@@ -76,11 +76,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, most: int = 1 << 20, rows: int = 2000) -> Iterator[tuple[int, int]]:
     """Runs of rows with at most ``most`` bytes together (one row at least), so that work arrays stay small."""
     lo = 0
     while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
         yield lo, hi
         lo = hi
 

@@ -38,6 +38,9 @@ from episodica.llm.shared import small, staged, text_rows
 HOT_TOKENS = 1 << 20
 #: Leading bits of a token in the filter of tokens that some documents share (8 MB).
 BITMAP = 26
+#: Bits of a document's parity marks. Each token that two sets do not share changes one bit at most, so the
+#: number of different bits is a lower bound of the number of such tokens, close to it for similar sets.
+MARKS = 2048
 #: A token of fewer documents never ranks as frequent.
 HOT_LEAST = 16
 
@@ -80,12 +83,20 @@ def _sketch(size: int, t: Fraction):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(salt)), dtype=np.uint64)])
                     sums.append(total[at[1:]] - total[at[:-1]])
                 wide = np.where(n > 0, np.minimum(n, 2 * _prefix(n, t)), 0)
+                spot = np.repeat(np.arange(len(n)), n) * MARKS + (tokens & np.uint64(MARKS - 1)).astype(np.int64)
+                odd = (np.bincount(spot, minlength=len(n) * MARKS) & 1).astype(np.uint8)
+                marks = np.packbits(odd, bitorder="little").view(np.int64)
+                ends = np.arange(len(n) + 1, dtype=np.int32) * (MARKS // 64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), _lists(tokens, at[:-1], wide)],
-                    ["doc", "n", "sig1", "sig2", "head"])
+                    [pa.array(ids), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), _lists(tokens, at[:-1], wide),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))],
+                    ["doc", "n", "sig1", "sig2", "head", "marks"])
     return task
 
 
+_SKETCH = "doc long, n long, sig1 long, sig2 long, head array<long>, marks array<long>"
+
+
 def _full_sets(size: int):
     def task(batches):
         for batch in batches:
@@ -123,35 +134,33 @@ def _undecided(t: Fraction, hot):
 
 
 def _prefix_rows(t: Fraction, hot, bits):
-    """(token, doc, n, place) of each prefix; ``bits`` leaves out tokens that no other document can share.
+    """(token, doc, n, place, last) of each prefix; ``bits`` leaves out tokens that no other document can share.
 
-    A row with place -1 gives the document's end instead: the order of its last prefix token.
+    ``last`` is the order of the prefix's last token.
     """
     def task(batches):
         for batch in batches:
-            token, doc, n, place = [], [], [], []
+            token, place, many, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
             for d, size, own, rare in _ordered_prefixes(batch, t, hot.value):
                 if own is None:
                     continue
-                # rare tokens in unsigned order below zero, frequent ones after them
-                last = (int(own[-1]) >> 1) - (1 << 63 if len(own) <= rare else 0)
                 at = np.arange(len(own))
                 if bits is not None:
                     spot = own >> np.uint64(64 - BITMAP)
                     at = at[(bits.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
-                token += [signed(own[at]), np.array([last], np.int64)]
-                place += [at, np.array([-1])]
-                doc.append(np.full(len(at) + 1, d, np.int64))
-                n.append(np.full(len(at) + 1, size, np.int64))
-            if doc:
-                cols = [np.concatenate(c) for c in (token, doc, n, place)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))],
-                    ["token", "doc", "n", "place"])
+                token.append(own[at])
+                place.append(at)
+                many.append(len(at))
+                # rare tokens in unsigned order below zero, frequent ones after them
+                rows.append((d, size, (int(own[-1]) >> 1) - (1 << 63 if len(own) <= rare else 0)))
+            doc, n, last = (np.repeat(np.array(c, np.int64), many) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(np.concatenate(token))), pa.array(doc), pa.array(n.astype(np.int32)),
+                 pa.array(np.concatenate(place).astype(np.int32)), pa.array(last)], ["token", "doc", "n", "place", "last"])
     return task
 
 
-_ROWS = "token long, doc long, n int, place int"
+_ROWS = "token long, doc long, n int, place int, last long"
 
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
@@ -171,22 +180,29 @@ def _possible(t: Fraction, i: str, j: str, nx: str, ny: str) -> str:
             f"AND least({nx}, {ny}) * {den}L >= greatest({nx}, {ny}) * {num}L")
 
 
-def _links(met: DataFrame, ends: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The pairs (x, y) that reach the threshold. ``met`` has a row (x, y, i, j) per shared prefix token.
+def _bounded(met: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs from rows (x, y, i, j, nx, ny, lx, ly), one per shared prefix token, that may still reach the threshold.
 
     With k shared prefix tokens, the last at i and j, all but k of the prefix that ends first are not shared, nor are
-    all but k of the other's tokens up to its last shared one. What this bound leaves is compared on whole sets.
+    all but k of the other's tokens up to its last shared one.
     """
     num, den = t.numerator, t.denominator
-    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-    one = ends.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("last").alias("lx"))
-    two = ends.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("last").alias("ly"))
-    apart = F.expr("CASE WHEN lx <= ly THEN px + j + 1 ELSE py + i + 1 END - 2 * k")
-    pairs = (
-        pairs.join(one, "x").join(two, "y")
-        .withColumn("px", F.expr(f"nx - ceil(nx * {num}L / {den}) + 1")).withColumn("py", F.expr(f"ny - ceil(ny * {num}L / {den}) + 1"))
-        .where(F.coalesce(apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num), F.lit(True))).select("x", "y")
-    )
+    pairs = met.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.count(F.lit(1)).alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    size = "n{0} - ceil(n{0} * {1}L / {2}) + 1"
+    apart = f"CASE WHEN lx <= ly THEN {size.format('x', num, den)} + j + 1 ELSE {size.format('y', num, den)} + i + 1 END - 2 * k"
+    return pairs.where(f"({apart}) * {den + num}L <= (nx + ny) * {den - num}L").select("x", "y").distinct()
+
+
+def _close(t: Fraction, na: str, nb: str, a: str, b: str) -> str:
+    """SQL: the parity marks leave it open that two sets reach the threshold."""
+    num, den = t.numerator, t.denominator
+    return (f"least({na}, {nb}) * {den}L >= greatest({na}, {nb}) * {num}L AND "
+            f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) * {den + num}L <= ({na} + {nb}) * {den - num}L")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """The pairs (x, y) that reach the threshold, compared on whole sets."""
+    num, den = t.numerator, t.denominator
     pairs = staged(pairs, "pairs")
     involved = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct()
     sets = docs.join(small(involved), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
@@ -213,7 +229,7 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spark = docs.sparkSession
     rows = text_rows(docs)
     keyed = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = staged(keyed.mapInArrow(_sketch(size, t), "doc long, n long, sig1 long, sig2 long, head array<long>"), "sketch")
+    sketch = staged(keyed.mapInArrow(_sketch(size, t), _SKETCH), "sketch")
     full = sketch.where("n > 0")
     classes = full.groupBy("sig1", "sig2", "n").agg(F.min("doc").alias("rep"))
     member = staged(sketch.select("doc", "n", "sig1", "sig2").join(classes, ["sig1", "sig2", "n"], "left"), "member")
@@ -230,21 +246,22 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     whole = keyed.join(small(staged(poor, "poor")), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
     whole = whole.select("doc", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0")
     whole = staged(whole.mapInArrow(_prefix_rows(t, hot, None), _ROWS), "whole")
-    bits = spark.sparkContext.broadcast(_bitmap(counts.select("token").union(whole.where("place >= 0").select("token"))))
+    bits = spark.sparkContext.broadcast(_bitmap(counts.select("token").union(whole.select("token"))))
     firsts = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"))
     rows_of = heads.mapInArrow(_prefix_rows(t, hot, bits), _ROWS).union(whole)
-    prefixes = staged(rows_of.join(firsts, ["doc", "n"], "left_semi").distinct().select("token", "doc", "n", "place"), "prefix")
-    only = F.count(F.lit(1)) == 1  # an id with several texts has no single end, so its pairs go without that bound
-    ends = prefixes.where("place < 0").groupBy("doc").agg(F.when(only, F.max("n")).alias("n"), F.when(only, F.max("token")).alias("last"))
-    prefixes = prefixes.where("place >= 0")
+    prefixes = staged(rows_of.join(firsts, ["doc", "n"], "left_semi").distinct().select("token", "doc", "n", "place", "last"), "prefix")
+    marks = full.join(firsts, ["doc", "n"], "left_semi").select("doc", F.col("n").alias("m"), "marks")
 
     # round 1: each document of a token against the token's leader
-    lists = prefixes.groupBy("token").agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("place", "doc", "n")).alias("lead"))
-    shared = staged(prefixes.join(lists.where("docs > 1"), "token"), "shared")
-    star = shared.where("doc != lead.doc AND " + _possible(t, "place", "lead.place", "n", "lead.n"))
-    star = star.select(F.col("doc").alias("x"), F.col("lead.doc").alias("y"), F.col("place").alias("i"), F.col("lead.place").alias("j"))
-    near = _links(star, ends, keyed, size, t)
+    lead = F.min(F.struct("place", "doc", "n", "last")).alias("lead")
+    lists = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), lead).where("docs > 1")
+    shared = staged(prefixes.join(lists, "token"), "shared")
+    star = shared.where("doc != lead.doc AND " + _possible(t, "place", "lead.place", "n", "lead.n")).selectExpr(
+        "doc AS x", "lead.doc AS y", "place AS i", "lead.place AS j", "n AS nx", "lead.n AS ny", "last AS lx", "lead.last AS ly")
+    one = marks.selectExpr("doc AS x", "m AS mx", "marks AS bx")
+    two = marks.selectExpr("doc AS y", "m AS my", "marks AS by")
+    tried = _bounded(star, t).join(one, "x").join(two, "y").where(_close(t, "mx", "my", "bx", "by")).select("x", "y").distinct()
+    near = _links(tried, keyed, size, t)
     groups = components(near, "x", "y").select(F.col("node").alias("doc"), F.col("component"))
 
     # round 2: the matrix of tokens and groups; queries open the groups whose bound holds
@@ -255,11 +272,10 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     num, den = t.numerator, t.denominator
     opened = placed.join(matrix, "token").where(
         f"own > other AND (place + best) * {den + num}L <= (n + most) * {den - num}L "
-        f"AND n * {den}L >= least * {num}L AND most * {den}L >= n * {num}L").select("token", "other", "doc", "n", "place")
-    partner = placed.select("token", F.col("own").alias("other"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    pairs = opened.join(partner, ["token", "other"]).where(_possible(t, "place", "place2", "n", "n2"))
-    pairs = pairs.select(F.col("doc").alias("x"), F.col("doc2").alias("y"), F.col("place").alias("i"), F.col("place2").alias("j"))
-    far = _links(pairs, ends, keyed, size, t)
+        f"AND n * {den}L >= least * {num}L AND most * {den}L >= n * {num}L").select(F.col("doc").alias("x"), "other").distinct()
+    members = placed.select(F.col("doc").alias("y"), F.col("own").alias("other")).distinct().join(two, "y")
+    pairs = opened.join(one, "x").join(members, "other").where(_close(t, "mx", "my", "bx", "by")).select("x", "y").distinct()
+    far = _links(pairs, keyed, size, t)
 
     reps = member.where("rep IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
     split = member.where("rep IS NOT NULL").join(reps.where("x != y").select("doc", "x"), "doc").select("x", F.col("rep").alias("y"))
@@ -268,6 +284,6 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"))
     if "doc_id" in docs.columns and docs.schema["doc_id"].nullable:
         lost = rows.where("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-        lost = lost.mapInArrow(_sketch(size, t), "doc long, n long, sig1 long, sig2 long, head array<long>")
+        lost = lost.mapInArrow(_sketch(size, t), _SKETCH)
         out = out.union(lost.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
     return out
