@@ -33,6 +33,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Drop rows that a following inner join on ``on`` would drop, if the keys are few enough to be broadcast."""
+    return df.join(F.broadcast(keys), on, "left_semi") if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """Only the key and the text, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

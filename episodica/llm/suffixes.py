@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.bytehash import Ranges, column_bytes, mix, signed
-from episodica.llm.shared import small, staged, text_rows
+from episodica.llm.shared import BROADCAST_ROWS, narrowed, staged, text_rows
 
 #: Bytes of the first rank. A window of the threshold holds threshold - ANCHOR + 1 of them.
 ANCHOR = 36
@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 100) -> DataFrame:
         .groupBy("doc", F.shiftright("place", 46).alias("tag"))
         .agg(F.collect_list(F.struct("deal", "place", "large")).alias("runs"))
     )
-    texts = keyed.join(small(marked.where("NOT late").select("doc").distinct()), "doc", "left_semi").select("doc", "tag", "text")
+    texts = narrowed(keyed, marked.where("NOT late").select("doc").distinct(), "doc").select("doc", "tag", "text")
     opened = texts.mapInArrow(_packed, "doc long, tag long, packed binary").join(openings, ["doc", "tag"])
     opened = opened.select("doc", "tag", "packed", "runs").mapInArrow(_opened(threshold), "deal long, doc long, place long, run binary")
     repeats = opened.repartition("deal").sortWithinPartitions("deal", "doc", "place").mapInArrow(
@@ -280,11 +280,18 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_bytes: bool = Tru
     Removing can cut inside a character, so the rest is binary.
     """
     spans = staged(repeated_spans(docs, threshold), "spans")
-    keyed, touched = keyed_docs(docs), small(spans.select("doc").distinct())
-    # only texts that lose bytes meet their spans in a shuffle
-    cut = keyed.join(touched, "doc", "left_semi").select("doc", "tag", "text", "doc_id").mapInArrow(
-        _packed, "doc long, tag long, packed binary, doc_id long").join(spans, ["doc", "tag"], "left")
-    plain = keyed.join(touched, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
+    keyed, touched = keyed_docs(docs), spans.select("doc").distinct()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = cut.select("doc_id", "packed", "spans").mapInArrow(_cut, schema).union(plain.mapInArrow(_cut, schema))
+
+    def cut(texts: DataFrame) -> DataFrame:
+        packed = texts.select("doc", "tag", "text", "doc_id").mapInArrow(_packed, "doc long, tag long, packed binary, doc_id long")
+        return packed.join(spans, ["doc", "tag"], "left").select("doc_id", "packed", "spans").mapInArrow(_cut, schema)
+
+    if touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # only texts that lose bytes meet their spans in a shuffle
+        touched = F.broadcast(touched)
+        plain = keyed.join(touched, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
+        out = cut(keyed.join(touched, "doc", "left_semi")).union(plain.mapInArrow(_cut, schema))
+    else:
+        out = cut(keyed)
     return out if with_bytes else out.drop("kept")
