@@ -6,13 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import jaccard, language, suffixes
+from episodica.llm import decontaminate, jaccard, language, licences, packing, pii, quality, sharding, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
+
+
+def tokenizer_path() -> str:
+    """The word tokenizer's file as installed with the public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances to language references and verdict of every document."""
+    return quality.assess(_documents(spark, sf_dir))
+
+
+def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes, equal texts together."""
+    return sharding.shard_documents(_documents(spark, sf_dir), shards=40)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +41,31 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_documents(spark, sf_dir), size=3, threshold=0.9)
 
 
+def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of 4096."""
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path(), end_id=2, window=4096)
+
+
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find(_documents(spark, sf_dir))
+
+
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified captures of the pages' archive with their full responses."""
+    return warc.resolved_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a file of a tree, its own or a directory's."""
+    return licences.scan(licences.document_files(_documents(spark, sf_dir))).drop("text")
+
+
+def op8_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with copies of benchmark items, edited or not."""
+    return decontaminate.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after removing every byte that a repeated 100-byte string covers."""
     return suffixes.remove_repeats(_documents(spark, sf_dir), threshold=100, with_bytes=False)
@@ -31,8 +77,10 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op9_suffix_dedup, op10_compression_language)}
+    found = (op1_distribution_quality, op2_label_propagation_shards, op3_ngram_jaccard, op4_bounded_packing, op5_pii_boosting,
+             op6_revisit_resolution, op7_licence_inheritance, op8_seeded_alignment, op9_suffix_dedup, op10_compression_language)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_revisit_resolution": warc.RESOLVED_SQL}
