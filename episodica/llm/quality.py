@@ -41,18 +41,28 @@ COMMON_WORDS_NEEDED, WORD_DISTANCE = 100, 0.75
 MIN_WORDS = 50
 
 
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once.
+
+    Spark merges neighbouring projections and repeats what they share; the counts here would be repeated for each of hundreds
+    of uses. A generator of one row per row stands between them.
+    """
+    new = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_q_new")
+    return df.select("*", new).select(*[F.col(f"`{c}`") for c in df.columns], "_q_new.*")
+
+
 def _histograms(docs: DataFrame) -> DataFrame:
-    """Add the counts per character class (``class_k``) and per common word (``common_k``)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("_q_text", text)
-    left = {n: F.length("_q_text") - F.length(F.regexp_replace("_q_text", c + "+", "")) for n, c in CLASSES.items()}
+    """Add the counts per character class (``_q_class``) and per common word (``_q_words``), the text and n_words."""
+    df = _with(docs, _q_text=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    left = [F.length("_q_text") - F.length(F.regexp_replace("_q_text", c + "+", "")) for c in CLASSES.values()]
     common = F.filter(F.regexp_extract_all(F.lower("_q_text"), F.lit(r"\p{L}+"), F.lit(0)), lambda x: x.isin(list(WORDS)))
-    df = df.select("*", F.array(*left.values()).alias("_q_counts"), F.length("_q_text").alias("_q_chars"), common.alias("_q_common"),
-                   F.size(F.regexp_extract_all("_q_text", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"))
+    df = _with(df, _q_counts=F.array(*left), _q_chars=F.length("_q_text"), _q_common=common,
+               _q_w=F.regexp_extract_all("_q_text", F.lit(WORD), F.lit(0)))
     total = sum((F.col("_q_counts")[k] for k in range(len(CLASSES))), F.lit(0))
-    classes = F.concat("_q_counts", F.array((F.col("_q_chars") - total).cast("int")))
     words = F.array(*[F.expr(f"size(filter(_q_common, x -> x = '{w}'))") for w in WORDS])
-    return df.select("*", classes.alias("_q_class"), words.alias("_q_words")).drop("_q_counts", "_q_chars", "_q_common")
+    df = _with(df, _q_class=F.concat("_q_counts", F.array((F.col("_q_chars") - total).cast("int"))), _q_words=words,
+               n_words=F.size("_q_w").cast("long"))
+    return df.drop("_q_counts", "_q_chars", "_q_common")
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -97,35 +107,34 @@ def _nearest(counts: str, references_: list[list[float]]) -> Column:
 
 
 def _distances(df: DataFrame, refs: dict) -> DataFrame:
-    for c in ("_q_class", "_q_words"):
-        df = df.withColumn(f"{c}_total", F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.select("*", F.round(_nearest("_q_class", [r[0] for r in refs.values()]), 4).alias("class_distance"),
-                     F.round(_nearest("_q_words", [r[1] for r in refs.values()]), 4).alias("word_distance"))
+    names = ("_q_class", "_q_words")
+    df = _with(df, **{f"{c}_total": F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) for c in names})
+    near = [F.round(_nearest(c, [r[k] for r in refs.values()]), 4) for k, c in enumerate(names)]
+    return _with(df, class_distance=near[0], word_distance=near[1])
 
 
 def _repetition(df: DataFrame) -> DataFrame:
-    """Add the basic counts of ``_q_text``."""
+    """Add the basic counts, from ``_q_text`` and its words ``_q_w``."""
     lines = F.filter(F.split("_q_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select("*", F.regexp_extract_all("_q_text", F.lit(WORD), F.lit(0)).alias("_q_w"), lines.alias("_q_lines"))
     windows = ("array_sort(transform(slice(_q_w, 1, greatest(size(_q_w) - 2, 0)), "
                "(x, i) -> struct(xxhash64(x, get(_q_w, i + 1), get(_q_w, i + 2)) AS h, i AS i)))")
-    df = df.select(
-        "*", F.expr(windows).alias("_q_s"), F.length(F.regexp_replace("_q_text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_q_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"))
+    df = _with(
+        df, _q_lines=lines, _q_s=F.expr(windows),
+        word_chars=F.length(F.regexp_replace("_q_text", r"[\x20\x09-\x0D]+", "")).cast("long"),
+        n_symbols=F.length(F.regexp_replace("_q_text", r"[^#*$%&|<>]+", "")).cast("long"))
     # windows that equal a neighbour in hash order, by place; each covers three words or up to the next one
     twice = ("array_sort(filter(transform(_q_s, (x, k) -> CASE WHEN x.h = get(_q_s, k - 1).h OR x.h = get(_q_s, k + 1).h "
              "THEN x.i END), v -> v IS NOT NULL))")
-    df = df.select("*", F.expr(twice).alias("_q_r"))
+    df = _with(df, _q_r=F.expr(twice), n_dup_lines=(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
     covered = "aggregate(transform(_q_r, (v, k) -> least(3, coalesce(get(_q_r, k + 1) - v, 3))), 0L, (a, v) -> a + v)"
-    return df.select("*", F.expr(covered).alias("n_repeat_words"))
+    return _with(df.drop("_q_s", "_q_lines", "_q_w", "_q_text"), n_repeat_words=F.expr(covered)).drop("_q_r")
 
 
 def _verdict(df: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > CLASS_DISTANCE)) | (
         (F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("word_distance") > WORD_DISTANCE))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | far))
+    return _with(_with(df, base_failed=failed), kept=~(F.col("base_failed") | far))
 
 
 def assess(docs: DataFrame) -> DataFrame:
