@@ -196,14 +196,17 @@ def _stage_path(s: Sample, name: str) -> str:
 
 
 STAGE_SQL = """
-    SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+    SELECT *, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE o_orderstatus END AS note,
+           CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS price
+    FROM orders
 """
 
 
 def _stage(s: Sample) -> DataFrame:
-    return s.table("orders").where("o_orderstatus = 'F'").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"
-    )
+    """The whole table with all its columns, a text with blanks and unknowns, and a number with unknowns."""
+    n = F.col("o_orderkey")
+    note = F.when(n % 5 == 0, "").when(n % 5 != 1, F.col("o_orderstatus"))
+    return s.table("orders").select("*", note.alias("note"), F.when(n % 7 > 0, F.col("o_totalprice")).alias("price"))
 
 
 @register("csv_import", STAGE_SQL)

@@ -86,14 +86,12 @@ def table_numeric(s: Sample) -> DataFrame:
 @register("table_categorical", f"""
     WITH b AS (SELECT grp, 'status' AS variable, nullif(status, 'P') AS level FROM ({STAYS_SQL})
                UNION ALL SELECT grp, 'outcome', CAST(outcome AS VARCHAR) FROM ({STAYS_SQL})),
-    c AS (SELECT variable, coalesce(grp, 'Total') AS stratum, level, count(*) AS n
-          FROM b GROUP BY GROUPING SETS ((variable, grp, level), (variable, level))),
-    d AS (SELECT *, sum(CASE WHEN level IS NULL THEN n ELSE 0 END) OVER w AS missing,
-                 sum(CASE WHEN level IS NOT NULL THEN n ELSE 0 END) OVER w AS known
-          FROM c WINDOW w AS (PARTITION BY variable, stratum))
-    SELECT variable, level, stratum, CAST(n AS BIGINT) AS n, round(n * 100.0 / known, 6) AS pct,
-           CAST(missing AS BIGINT) AS missing
-    FROM d WHERE level IS NOT NULL
+    t AS (SELECT grp, variable, level FROM b WHERE grp IS NOT NULL UNION ALL SELECT 'Total', variable, level FROM b WHERE grp IS NOT NULL),
+    cells AS (SELECT * FROM (SELECT DISTINCT variable, grp FROM t) JOIN (SELECT DISTINCT variable, level FROM t WHERE level IS NOT NULL) USING (variable))
+    SELECT c.variable, c.level, c.grp AS stratum, count(*) FILTER (t.level = c.level) AS n,
+           round(count(*) FILTER (t.level = c.level) * 100.0 / nullif(count(t.level), 0), 6) AS pct,
+           count(*) FILTER (t.level IS NULL) AS missing
+    FROM cells c JOIN t ON t.variable = c.variable AND t.grp = c.grp GROUP BY 1, 2, 3
 """)
 def table_categorical(s: Sample) -> DataFrame:
     rows = stays(s).withColumn("status", F.nullif("status", F.lit("P")))

@@ -34,7 +34,7 @@ CLEAN_SQL = f"""
            CASE WHEN admissionheight BETWEEN 50 AND 300 THEN admissionheight END AS admissionheight,
            CASE WHEN admissionweight BETWEEN 20 AND 600 THEN admissionweight END AS admissionweight,
            CASE WHEN unittype IN ('Cardiac ICU', 'CSICU', 'CTICU', 'CCU-CTICU') THEN 'Cardiac ICU' ELSE unittype END AS ICU,
-           CASE WHEN ethnicity IN ('Native American', '') THEN 'Other/Unknown' ELSE ethnicity END AS race,
+           CASE WHEN coalesce(ethnicity, '') IN ('Native American', '') THEN 'Other/Unknown' ELSE ethnicity END AS race,
            CASE WHEN acetaminophen_flag = 1 OR nsaid_flag = 1 THEN 1 ELSE 0 END AS antipyretic_flag,
            icu_mortality, CASE WHEN icu_mortality = 1 THEN 1 ELSE hosp_mortality END AS hosp_mortality, T_max,
            CASE WHEN T_max < 36 THEN '< 36' WHEN T_max < 37.2 THEN '36 ~ 37.1' WHEN T_max < 38.3 THEN '37.2 ~ 38.2'

@@ -63,7 +63,10 @@ TREATMENTS = (
 )
 LABS = (*[n for n in fixed.LAB_LIMITS if n != fixed.AST_INTENDED], fixed.AST_SELECTED, fixed.AST_INTENDED, "sodium")
 DRUGS = ("ACETAMINOPHEN", "acetaminophen (TYLENOL) tab 650 mg", "KETOROLAC INJ", "IBUPROFEN", "HEPARIN",
-         "ACETAMINOPHEN  325 MG ORAL TAB", "acetaminophen  325 mg", "INSULIN", "PROPOFOL", "FENTANYL", "SALINE")
+         "ACETAMINOPHEN  325 MG ORAL TAB", "acetaminophen  325 mg", "INSULIN", "PROPOFOL", "FENTANYL", "SALINE",
+         "acetaminophen\u00a0(TYLENOL)\u00a0tab\u00a0650\u00a0mg", "KETOROLAC\u00a0INJ",
+         "ACETAMINOPHEN\u00a0\u00a0325\u00a0MG\u00a0ORAL\u00a0TAB", "KETOROLAC\u00a0 INJ")
+CARE = ("ice bag", "heating/cooling blanket", "Ice Bag", "turned", "ice\u00a0bag", "heating/cooling\u00a0blanket")
 UNITS = ("Med-Surg ICU", "CSICU", "CTICU", "CCU-CTICU", "Cardiac ICU", "Neuro ICU", "MICU")
 ETHNICITIES = ("Caucasian", "African American", "Hispanic", "Asian", "Native American", "", "Other/Unknown")
 PLACES = ("Oral", "BLADDER", "AXILLARY", "ESOPH", "ROOM")
@@ -115,11 +118,11 @@ WARD = {
         {LINE}, {choose('l_partkey % 5', ('no growth', 'No Growth', 'E. coli', 'Staphylococcus'))} AS organism,
         CAST((l_partkey * 17 + l_suppkey) % 4000 - 2000 AS BIGINT) AS culturetakenoffset"""),
     "medication": ("lineitem", f"""
-        {LINE}, {choose('l_partkey % 12', DRUGS)} AS drugname,
+        {LINE}, {choose('l_partkey % 16', DRUGS)} AS drugname,
         CAST((l_partkey * 19 + l_suppkey) % 3000 - 600 AS BIGINT) AS drugstartoffset"""),
     "nursecare": ("lineitem", f"""
         {LINE}, CAST((l_partkey * 23 + l_suppkey) % 3000 - 600 AS BIGINT) AS nursecareoffset,
-        {choose('l_partkey % 13', ('ice bag', 'heating/cooling blanket', 'Ice Bag', 'turned'))} AS cellattributevalue"""),
+        {choose('l_partkey % 13', CARE)} AS cellattributevalue"""),
     "pivoted_vital": ("lines6", f"""
         {LINE}, CAST((l_partkey * 31 + r * 307) % 2200 - 100 AS BIGINT) AS chartoffset,
         CAST(CASE WHEN r = 5 THEN NULL ELSE 50 + (l_suppkey + r * 7) % 100 END AS DOUBLE) AS heartrate,
@@ -326,3 +329,50 @@ def ward_cohort_nonsepsis(s: Sample) -> DataFrame:
     WHERE organism <> 'no growth' AND culturetakenoffset BETWEEN -1440 AND 1440""")
 def ward_cultures(s: Sample) -> DataFrame:
     return plan.positive_cultures(ward_tables(s))
+
+
+# The study's drug and care texts once more, written with plain spaces; the twins put no-break spaces in themselves.
+ACETAMINOPHEN_SQL = """('20.3 ML CUP : ACETAMINOPHEN 160 MG/5ML PO SOLN'), ('ACETAMINOPHEN'), ('ACETAMINOPHEN  325 MG ORAL TAB'),
+    ('ACETAMINOPHEN  500 MG ORAL TAB'), ('ACETAMINOPHEN  650 MG RECT SUPP'), ('ACETAMINOPHEN 1,000 MG/100 ML (10 MG/ML) IV SOLN'),
+    ('ACETAMINOPHEN 10 MG/ML 100 ML VIAL'), ('ACETAMINOPHEN 325 MG PO TABS'), ('ACETAMINOPHEN 325 MG RECTAL SUPPOSITORY'),
+    ('ACETAMINOPHEN 325 MG TABLET'), ('ACETAMINOPHEN 500 MG PO TABS'), ('ACETAMINOPHEN 650 MG RE SUPP'),
+    ('ACETAMINOPHEN 650 MG RECTAL SUPPOSITORY'), ('ACETAMINOPHEN TAB'), ('Acetaminophen TAB'),
+    ('HYDROCODONE 5 MG-ACETAMINOPHEN 325 MG TABLET'), ('HYDROCODONE-ACETAMINOPHEN 10-325 MG PO TABS'),
+    ('HYDROCODONE-ACETAMINOPHEN 5-325 MG PO TABS'), ('HYDROcodone-acetaminophen'), ('OXYCODONE-ACETAMINOPHEN 5-325 MG PO TABS'),
+    ('acetaMINOPHEN 325 MG TAB'), ('acetaMINOPHEN 650MG RECT SUPP'), ('acetaminophen'), ('acetaminophen (TYLENOL) tab 650 mg'),
+    ('acetaminophen (TYLENOL) tab 975 mg'), ('acetaminophen (TYLENOL) tablet 650 mg'), ('acetaminophen 325 mg po tabs'),
+    ('acetaminophen-oxyCODONE 325 mg-5 mg oral tablet'), ('oxyCODONE-acetaminophen'), ('oxycodone-acetaminophen 5-325 mg po tabs')"""
+NSAID_SQL = """('IBUPROFEN'), ('KETOROLAC'), ('KETOROLAC 30 MG/ML 1ML SDV INJ'), ('KETOROLAC INJ'), ('KETOROLAC TROMETHAMINE')"""
+
+
+def exposure_sql(faithful: bool) -> str:
+    """Exposures by text only, with every text spelled out here."""
+    same = "{0} = replace(x, ' ', chr(160))" if faithful else "replace({0}, chr(160), ' ') = x"
+
+    def stays(table: str, column: str, offset: str, texts: str) -> str:
+        return (f"SELECT {STAY} FROM {table} JOIN (VALUES {texts}) l(x) ON {same.format(column)} "
+                f"WHERE {offset} BETWEEN -360 AND 1800")
+
+    drugs = [stays("medication", "drugname", "drugstartoffset", t) for t in (ACETAMINOPHEN_SQL, NSAID_SQL)]
+    care = stays("nursecare", "cellattributevalue", "nursecareoffset", "('heating/cooling blanket'), ('ice bag')")
+    return f"""WITH {ward_sql()},
+    found AS (SELECT {STAY}, 0 AS k FROM ({drugs[0]}) UNION ALL SELECT {STAY}, 1 FROM ({drugs[1]}) UNION ALL SELECT {STAY}, 2 FROM ({care}))
+    SELECT {STAY}, count(*) FILTER (k = 0) > 0 AS acetaminophen, count(*) FILTER (k = 1) > 0 AS nsaid, count(*) FILTER (k = 2) > 0 AS cooling
+    FROM found GROUP BY 1"""
+
+
+def _exposures(s: Sample, faithful: bool) -> DataFrame:
+    t = ward_tables(s)
+    both = plan.medication_flags(t, faithful).join(plan.cooling_care(t, faithful), STAY, "full")
+    names = {"acetaminophen_rx": "acetaminophen", "nsaid_rx": "nsaid", "cooling_care": "cooling"}
+    return both.select(STAY, *[(F.coalesce(c, F.lit(0)) > 0).alias(n) for c, n in names.items()])
+
+
+@register("ward_exposures_as_written", exposure_sql(True))
+def ward_exposures_as_written(s: Sample) -> DataFrame:
+    return _exposures(s, True)
+
+
+@register("ward_exposures_any_space", exposure_sql(False))
+def ward_exposures_any_space(s: Sample) -> DataFrame:
+    return _exposures(s, False)

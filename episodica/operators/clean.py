@@ -28,7 +28,8 @@ def clean(df: DataFrame) -> DataFrame:
         "admissionheight": keep_range("admissionheight", *fixed.HEIGHT_CM),
         "admissionweight": keep_range("admissionweight", *fixed.WEIGHT_KG),
         "ICU": merge_levels("unittype", fixed.CARDIAC_UNITS, fixed.CARDIAC_UNIT),
-        "race": merge_levels("ethnicity", fixed.OTHER_ETHNICITY_MEMBERS, fixed.OTHER_ETHNICITY),
+        # an unknown ethnicity is exported as a blank, which is a member of the merged level
+        "race": merge_levels(F.coalesce("ethnicity", F.lit("")), fixed.OTHER_ETHNICITY_MEMBERS, fixed.OTHER_ETHNICITY),
         "antipyretic_flag": either_flag("acetaminophen_flag", "nsaid_flag"),
         "hosp_mortality": override_where("hosp_mortality", F.col("icu_mortality") == 1, 1).cast("int"),
         "T_class": left_closed_bin("T_max", fixed.TEMPERATURE_BREAKS, fixed.TEMPERATURE_CLASSES),

@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 
 from episodica.functions.columns import any_of
 
+#: Rules whose flags one long carries.
+BITS = 62
+
 
 def _like(code: Column, pattern: str) -> Column:
-    """LIKE whose fixed start and end are tested first: few texts reach the regular expression."""
-    head, *_, tail = pattern.split("%")
+    """LIKE whose fixed start and end are tested first: few texts reach the regular expression.
+
+    The fixed parts end at the first and begin after the last of ``%``, ``_`` and the escape.
+    """
+    wild = [i for i, c in enumerate(pattern) if c in "%_\\"]
+    if not wild:
+        return code == pattern
     test = code.like(pattern)
+    head, tail = pattern[: wild[0]], "" if pattern[wild[-1]] == "\\" else pattern[wild[-1] + 1 :]
     if tail:
         test = code.endswith(tail) & test
     return code.startswith(head) & test if head else test
@@ -54,14 +63,23 @@ class CodeRule:
 
 def rule_mask(code: str | Column, rules: Sequence[CodeRule], first_bit: int = 0) -> Column:
     """All rules of one event as bits of a long: rule i sets bit ``first_bit + i``."""
-    if first_bit + len(rules) > 62:
-        raise ValueError("at most 62 flags fit one mask")
+    if first_bit + len(rules) > BITS:
+        raise ValueError(f"at most {BITS} flags fit one mask; event_flags takes as many masks as it needs")
     mask = F.lit(0).cast("bigint")
     for i, rule in enumerate(rules, first_bit):
         mask = mask.bitwiseOR(F.when(rule.hit(code) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
     return mask
 
 
+def _masks(code: str | Column, rules: Sequence[CodeRule]) -> list[Column]:
+    """As many masks as the rules need, 62 rules each."""
+    return [rule_mask(code, rules[i : i + BITS]).alias(f"_mask{i // BITS}") for i in range(0, len(rules), BITS)]
+
+
+def _flags(masks: DataFrame, key: str, rules: Sequence[CodeRule]) -> DataFrame:
+    return masks.select(key, *[mask_flag(f"_mask{i // BITS}", i % BITS).alias(r.flag) for i, r in enumerate(rules)])
+
+
 def mask_flag(mask: str | Column, bit: int) -> Column:
     """0/1 of one bit; a missing mask has no bits."""
     mask = F.col(mask) if isinstance(mask, str) else mask
@@ -74,8 +92,9 @@ def event_flags(events: DataFrame, key: str, code: str, rules: Sequence[CodeRule
     All flags of an event travel as one long, so the map-side combine and the
     shuffle carry a key and a mask, however many rules there are.
     """
-    masks = events.select(key, rule_mask(code, rules).alias("_mask")).groupBy(key).agg(F.bit_or("_mask").alias("_mask"))
-    return masks.select(key, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
+    masks = events.select(key, *_masks(code, rules))
+    names = [c for c in masks.columns if c != key]
+    return _flags(masks.groupBy(key).agg(*[F.bit_or(c).alias(c) for c in names]), key, rules)
 
 
 def classify_codes(codes: DataFrame, code: str, rules: Sequence[CodeRule]) -> DataFrame:
@@ -96,16 +115,19 @@ def event_flags_by_dictionary(
     Keys whose events raise nothing are absent; ``flags_for_all`` adds them.
     """
     dictionary = classify_codes(events, code, rules)
-    bits = F.lit(0).cast("bigint")
-    for i, r in enumerate(rules):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(r.flag).cast("bigint"), i))
-    masks = (
+    masks = []
+    for first in range(0, len(rules), BITS):
+        bits = F.lit(0).cast("bigint")
+        for i, r in enumerate(rules[first : first + BITS]):
+            bits = bits.bitwiseOR(F.shiftleft(F.col(r.flag).cast("bigint"), i))
+        masks.append(bits.alias(f"_mask{first // BITS}"))
+    merged = (
         events.select(key, code)
-        .join(dictionary.select(code, bits.alias("_mask")), code)
+        .join(dictionary.select(code, *masks), code)
         .groupBy(key)
-        .agg(F.bit_or("_mask").alias("_mask"))
+        .agg(*[F.bit_or(f"_mask{k}").alias(f"_mask{k}") for k in range(len(masks))])
     )
-    return masks.select(key, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
+    return _flags(merged, key, rules)
 
 
 def flags_for_all(base: DataFrame, flags: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

@@ -59,19 +59,23 @@ def _level_counts(df: DataFrame, stratum: str, variables: Sequence[str]) -> Data
 
 
 def categorical_table(df: DataFrame, stratum: str, variables: Sequence[str]) -> DataFrame:
-    """Count and percent of known values per level, and missing count, by stratum and in total."""
+    """Count and percent of known values per level, and missing count, by stratum and in total.
+
+    Every level of a variable has a row in every stratum, with 0 where it does not occur; a stratum without any
+    known value has its levels with count 0, no percent and its missing count.
+    """
     counts = _level_counts(df, stratum, variables)
     pooled = counts.groupBy(VARIABLE, "level").agg(F.sum("n").alias("n")).withColumn(STRATUM, F.lit(TOTAL))
     both = counts.unionByName(pooled)
-    # One row per variable, stratum and level is left here.
-    cell = Window.partitionBy(VARIABLE, STRATUM)
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0)).over(cell)
-    missing = F.sum(F.when(F.col("level").isNull(), F.col("n")).otherwise(0)).over(cell)
-    return (
-        both.withColumns({"missing": missing, "pct": F.col("n") * 100.0 / F.nullif(known, F.lit(0))})
-        .where(F.col("level").isNotNull())
-        .select(VARIABLE, "level", STRATUM, "n", "pct", "missing")
+    # One row per variable, stratum and level is left here; the grid below is as small.
+    sizes = both.groupBy(VARIABLE, STRATUM).agg(
+        F.sum(F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("level").isNull(), F.col("n")).otherwise(0)).alias("missing"),
     )
+    levels = counts.where(F.col("level").isNotNull()).select(VARIABLE, "level").distinct()
+    cells = sizes.join(levels, VARIABLE).join(both, [VARIABLE, STRATUM, "level"], "left")
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return cells.select(VARIABLE, "level", STRATUM, n.alias("n"), (n * 100.0 / F.nullif("known", F.lit(0))).alias("pct"), "missing")
 
 
 def crosstab(

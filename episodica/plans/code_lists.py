@@ -1,7 +1,8 @@
 """Fixed values of the ICU temperature study.
 
 Code texts, drug names, sites, limits and labels. They must equal the study's
-own lists, including their whitespace and spelling, so they are plain text.
+own lists, including their whitespace and spelling, so they are plain text. In the
+drug names and care texts the study has no-break spaces, written ``\\u00a0`` here.
 """
 
 from __future__ import annotations
@@ -239,47 +240,47 @@ TREATMENT_RULES = (
 
 # --- fixed values: antipyretic and cooling exposure -------------------------
 ACETAMINOPHEN_DRUGS = (
-    "20.3 ML CUP : ACETAMINOPHEN 160 MG/5ML PO SOLN",
+    "20.3\u00a0ML\u00a0CUP\u00a0:\u00a0ACETAMINOPHEN\u00a0160\u00a0MG/5ML\u00a0PO\u00a0SOLN",
     "ACETAMINOPHEN",
-    "ACETAMINOPHEN  325 MG ORAL TAB",
-    "ACETAMINOPHEN  500 MG ORAL TAB",
-    "ACETAMINOPHEN  650 MG RECT SUPP",
-    "ACETAMINOPHEN 1,000 MG/100 ML (10 MG/ML) IV SOLN",
-    "ACETAMINOPHEN 10 MG/ML 100 ML VIAL",
-    "ACETAMINOPHEN 325 MG PO TABS",
-    "ACETAMINOPHEN 325 MG RECTAL SUPPOSITORY",
-    "ACETAMINOPHEN 325 MG TABLET",
-    "ACETAMINOPHEN 500 MG PO TABS",
-    "ACETAMINOPHEN 650 MG RE SUPP",
-    "ACETAMINOPHEN 650 MG RECTAL SUPPOSITORY",
-    "ACETAMINOPHEN TAB",
-    "Acetaminophen TAB",
-    "HYDROCODONE 5 MG-ACETAMINOPHEN 325 MG TABLET",
-    "HYDROCODONE-ACETAMINOPHEN 10-325 MG PO TABS",
-    "HYDROCODONE-ACETAMINOPHEN 5-325 MG PO TABS",
+    "ACETAMINOPHEN\u00a0\u00a0325\u00a0MG\u00a0ORAL\u00a0TAB",
+    "ACETAMINOPHEN\u00a0\u00a0500\u00a0MG\u00a0ORAL\u00a0TAB",
+    "ACETAMINOPHEN\u00a0\u00a0650\u00a0MG\u00a0RECT\u00a0SUPP",
+    "ACETAMINOPHEN\u00a01,000\u00a0MG/100\u00a0ML\u00a0(10\u00a0MG/ML)\u00a0IV\u00a0SOLN",
+    "ACETAMINOPHEN\u00a010\u00a0MG/ML\u00a0100\u00a0ML\u00a0VIAL",
+    "ACETAMINOPHEN\u00a0325\u00a0MG\u00a0PO\u00a0TABS",
+    "ACETAMINOPHEN\u00a0325\u00a0MG\u00a0RECTAL\u00a0SUPPOSITORY",
+    "ACETAMINOPHEN\u00a0325\u00a0MG\u00a0TABLET",
+    "ACETAMINOPHEN\u00a0500\u00a0MG\u00a0PO\u00a0TABS",
+    "ACETAMINOPHEN\u00a0650\u00a0MG\u00a0RE\u00a0SUPP",
+    "ACETAMINOPHEN\u00a0650\u00a0MG\u00a0RECTAL\u00a0SUPPOSITORY",
+    "ACETAMINOPHEN\u00a0TAB",
+    "Acetaminophen\u00a0TAB",
+    "HYDROCODONE\u00a05\u00a0MG-ACETAMINOPHEN\u00a0325\u00a0MG\u00a0TABLET",
+    "HYDROCODONE-ACETAMINOPHEN\u00a010-325\u00a0MG\u00a0PO\u00a0TABS",
+    "HYDROCODONE-ACETAMINOPHEN\u00a05-325\u00a0MG\u00a0PO\u00a0TABS",
     "HYDROcodone-acetaminophen",
-    "OXYCODONE-ACETAMINOPHEN 5-325 MG PO TABS",
-    "acetaMINOPHEN 325 MG TAB",
-    "acetaMINOPHEN 650MG RECT SUPP",
+    "OXYCODONE-ACETAMINOPHEN\u00a05-325\u00a0MG\u00a0PO\u00a0TABS",
+    "acetaMINOPHEN\u00a0325\u00a0MG\u00a0TAB",
+    "acetaMINOPHEN\u00a0650MG\u00a0RECT\u00a0SUPP",
     "acetaminophen",
-    "acetaminophen (TYLENOL) tab 650 mg",
-    "acetaminophen (TYLENOL) tab 975 mg",
-    "acetaminophen (TYLENOL) tablet 650 mg",
-    "acetaminophen 325 mg po tabs",
-    "acetaminophen-oxyCODONE 325 mg-5 mg oral tablet",
+    "acetaminophen\u00a0(TYLENOL)\u00a0tab\u00a0650\u00a0mg",
+    "acetaminophen\u00a0(TYLENOL)\u00a0tab\u00a0975\u00a0mg",
+    "acetaminophen\u00a0(TYLENOL)\u00a0tablet\u00a0650\u00a0mg",
+    "acetaminophen\u00a0325\u00a0mg\u00a0po\u00a0tabs",
+    "acetaminophen-oxyCODONE\u00a0325\u00a0mg-5\u00a0mg\u00a0oral\u00a0tablet",
     "oxyCODONE-acetaminophen",
-    "oxycodone-acetaminophen 5-325 mg po tabs",
+    "oxycodone-acetaminophen\u00a05-325\u00a0mg\u00a0po\u00a0tabs",
 )
 ACETAMINOPHEN_TREATMENTS = ("surgery|wounds / temperature|antipyretics|acetaminophen",)
 NSAID_DRUGS = (
     "IBUPROFEN",
     "KETOROLAC",
-    "KETOROLAC 30 MG/ML 1ML SDV INJ",
-    "KETOROLAC INJ",
-    "KETOROLAC TROMETHAMINE",
+    "KETOROLAC\u00a030\u00a0MG/ML\u00a01ML\u00a0SDV\u00a0INJ",
+    "KETOROLAC\u00a0INJ",
+    "KETOROLAC\u00a0TROMETHAMINE",
 )
 NSAID_TREATMENTS = ("surgery|wounds / temperature|antipyretics|NSAID",)
-COOLING_CARE = ("heating/cooling blanket", "ice bag")
+COOLING_CARE = ("heating/cooling\u00a0blanket", "ice\u00a0bag")
 COOLING_TREATMENTS = (
     "endocrine|pituitary and temperature regulation|treatment for hyperthermia|external cooling",
     "surgery|wounds / temperature|cooling the patient",

@@ -45,6 +45,7 @@ EXPOSURE_WINDOW = (-6 * MINUTES_PER_HOUR, 30 * MINUTES_PER_HOUR)
 
 COMORBIDITIES = tuple(r.flag for r in fixed.DIAGNOSIS_RULES)
 INTERVENTIONS = tuple(r.flag for r in fixed.TREATMENT_RULES)
+NO_BREAK = "\u00a0"
 EXPOSURES = ("acetaminophen_flag", "nsaid_flag", "cooling_flag")
 
 COHORT_COLUMNS = (
@@ -110,20 +111,24 @@ def treatment_flags(t: Tables) -> DataFrame:
     return masks.select(STAY, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)])
 
 
-def medication_flags(t: Tables) -> DataFrame:
-    drug = F.col("drugname")
-    rows = in_window(t["medication"], "drugstartoffset", EXPOSURE_WINDOW).where(
-        drug.isin(*fixed.ACETAMINOPHEN_DRUGS, *fixed.NSAID_DRUGS)
-    )
-    return rows.groupBy(STAY).agg(
-        _flag_any(drug.isin(*fixed.ACETAMINOPHEN_DRUGS), "acetaminophen_rx"),
-        _flag_any(drug.isin(*fixed.NSAID_DRUGS), "nsaid_rx"),
-    )
+def _listed(c: str, texts: tuple[str, ...], faithful: bool) -> Column:
+    """Membership in a list of texts; unless ``faithful``, no-break and plain spaces are the same on both sides."""
+    if faithful:
+        return F.col(c).isin(*texts)
+    return F.translate(c, NO_BREAK, " ").isin(*[x.replace(NO_BREAK, " ") for x in texts])
+
+
+def medication_flags(t: Tables, faithful: bool = True) -> DataFrame:
+    """Drug exposures by stay. ``faithful``: the texts as the study writes them, with no-break spaces."""
+    acetaminophen = _listed("drugname", fixed.ACETAMINOPHEN_DRUGS, faithful)
+    nsaid = _listed("drugname", fixed.NSAID_DRUGS, faithful)
+    rows = in_window(t["medication"], "drugstartoffset", EXPOSURE_WINDOW).where(acetaminophen | nsaid)
+    return rows.groupBy(STAY).agg(_flag_any(acetaminophen, "acetaminophen_rx"), _flag_any(nsaid, "nsaid_rx"))
 
 
-def cooling_care(t: Tables) -> DataFrame:
+def cooling_care(t: Tables, faithful: bool = True) -> DataFrame:
     rows = in_window(t["nursecare"], "nursecareoffset", EXPOSURE_WINDOW).where(
-        F.col("cellattributevalue").isin(*fixed.COOLING_CARE)
+        _listed("cellattributevalue", fixed.COOLING_CARE, faithful)
     )
     return rows.groupBy(STAY).agg(F.lit(1).alias("cooling_care"))
 
@@ -143,10 +148,10 @@ def _care_columns() -> dict[str, Column]:
     }
 
 
-def interventions_and_exposures(t: Tables) -> DataFrame:
+def interventions_and_exposures(t: Tables, faithful: bool = True) -> DataFrame:
     """Ten intervention flags and three exposure flags for every stay."""
     out = t["patient"].select(STAY).distinct()
-    for frame in (treatment_flags(t), medication_flags(t), cooling_care(t)):
+    for frame in (treatment_flags(t), medication_flags(t, faithful), cooling_care(t, faithful)):
         out = out.join(frame, STAY, "left")
     return out.select(STAY, *[c.alias(n) for n, c in _care_columns().items()])
 
@@ -291,7 +296,7 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     one_sofa = infection_cohort(t).groupBy(STAY).agg(F.max("sofa").alias("sofa"))
     out = numbered
     for frame in (
-        one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t), cooling_care(t),
+        one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t, faithful), cooling_care(t, faithful),
         lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t), vital_summary(t, faithful),
     ):
         out = out.join(frame, STAY, "left")

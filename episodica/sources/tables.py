@@ -56,10 +56,10 @@ def scan(spark: SparkSession, path: str, schema: str | StructType | None = None)
 def load_clinical(
     spark: SparkSession, root: str, overrides: Mapping[str, DataFrame] | None = None
 ) -> dict[str, DataFrame]:
-    """All study tables under ``root/<name>``; ``overrides`` supplies some directly."""
+    """All study tables under ``root/<name>``; ``overrides`` supplies some directly. NaN becomes NULL in all of them."""
     given = dict(overrides or {})
     return {
-        name: given[name] if name in given else scan(spark, f"{root}/{name}", ddl)
+        name: nan_to_null(given[name] if name in given else scan(spark, f"{root}/{name}", ddl))
         for name, ddl in CLINICAL_SCHEMAS.items()
     }
 
@@ -70,8 +70,12 @@ def load_sample(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """CSV with header and a stated schema. Empty text and ``NA`` read as NULL."""
-    return spark.read.csv(path, header=True, schema=schema, nullValue="NA", emptyValue="")
+    """CSV with header and a stated schema. ``NA`` reads as NULL; a blank is empty in a text column and NULL in others."""
+    raw = spark.read.csv(path, header=True, schema=schema)
+    texts = {f.name for f in raw.schema.fields if f.dataType.typeName() == "string"}
+    return raw.select(*[
+        F.nullif(F.coalesce(f"`{c}`", F.lit("")), F.lit("NA")).alias(c) if c in texts else F.col(f"`{c}`") for c in raw.columns
+    ])
 
 
 def write_dataset(df: DataFrame, path: str) -> DataFrame:
