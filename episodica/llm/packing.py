@@ -9,6 +9,7 @@ number of windows per task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -27,8 +28,8 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 16
 #: Windows that one task merges at most.
 MERGED = 20_000
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+#: Words, and parts of words, whose ids a worker remembers; beyond it, it starts anew.
+REMEMBERED = 400_000
 
 _tokenizers: dict = {}
 
@@ -36,31 +37,53 @@ _tokenizers: dict = {}
 class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
-    The tokenizer parts texts at white space before it merges, so each stretch between ASCII spaces
-    is encoded once and remembered; only new stretches reach the tokenizer.
+    The tokenizer parts texts at white space, and then into runs of letters, single digits and runs of other
+    characters, before it merges anything; so each stretch between ASCII spaces is encoded once and remembered, and
+    so is each part of a stretch of plain Latin characters. Only new parts reach the tokenizer, and stretches with other
+    characters, apostrophes or special tokens as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        self._words: dict[str, bytes] = {"": b""}
+        self._parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_SPACES).split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in self._known})
-        if len(self._known) + len(fresh) > REMEMBERED:
-            self._known = {"": b""}
-            fresh = list({w for words in split for w in words if w})
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self._known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self._known.__getitem__
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") for t in texts]
+        fresh = {w for words in split for w in words if w not in self._words}
+        if len(self._words) + len(fresh) > REMEMBERED:
+            self._words = {"": b""}
+            fresh = {w for words in split for w in words if w}
+        if len(self._parts) > REMEMBERED:
+            self._parts = {}
+        self._learn(fresh)
+        get = self._words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+    def _learn(self, fresh: set[str]) -> None:
+        plain = {w: _PART.findall(w.lower()) for w in fresh if _PLAIN.fullmatch(w) and "<|" not in w}
+        other = [w for w in fresh if w not in plain]
+        for w, e in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self._words[w] = np.array(e.ids, "<u4").tobytes()
+        new = list({p for parts in plain.values() for p in parts if p not in self._parts})
+        for k in range(0, len(new), 1024):
+            some = new[k : k + 1024]
+            joined = self._tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.array(joined.ids, "<u4"), np.array(joined.word_ids, np.int64)
+            ends = np.searchsorted(owner, np.arange(1, len(some) + 1))
+            starts = np.concatenate([[0], ends[:-1]])
+            for p, i, j in zip(some, starts.tolist(), ends.tolist()):
+                self._parts[p] = ids[i:j].tobytes()
+        get = self._parts.__getitem__
+        for w, parts in plain.items():
+            self._words[w] = b"".join(map(get, parts))
+
+
+# Printable ASCII without the apostrophe, and Latin letters whose lower case is one letter; then the parts of their lower case.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
 def encoder(path: str) -> Encoder:

@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -60,7 +61,16 @@ def test_remembered_words_are_bounded(make, prose, monkeypatch):
     for k in range(5):
         text = prose(k, 30)
         assert encoder.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert len(encoder._known) <= 40
+    assert len(encoder._words) <= 40
+
+
+def test_encoder_equals_the_tokenizer_on_any_characters():
+    rng = random.Random(2)
+    plain, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    pools = ["abcXYZ01 ,.#$'<|>", "éÈßÿŒœŞşıİſŉǆªº²½×÷ ", "".join(map(chr, range(33, 0x250))) + " ", "ΣσςЖ中文ا\u0301\u200d😀 \x1c\x85\xa0\u2003\n"]
+    texts = ["".join(rng.choice(pool) for _ in range(60)) for pool in pools for _ in range(300)]
+    for t, got in zip(texts, encoder.encode(texts)):
+        assert got == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 def test_empty_table(make):
