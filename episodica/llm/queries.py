@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import decontaminate, jaccard, language, licences, packing, pii, quality, sharding, suffixes, warc
+from episodica.llm import decontaminate, jaccard, language, licences, oracles, packing, pii, quality, sharding, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_revisit_resolution": warc.RESOLVED_SQL}
+    return oracles.oracle_sql()
