@@ -28,8 +28,8 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 16
 #: Windows that one task merges at most.
 MERGED = 20_000
-#: Words, and parts of words, whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+#: Words, and as many parts of words, whose ids a worker remembers.
+REMEMBERED = 500_000
 
 _tokenizers: dict = {}
 
@@ -53,16 +53,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") for t in texts]
         fresh = {w for words in split for w in words if w not in self._words}
-        if len(self._words) + len(fresh) > REMEMBERED:
-            self._words = {"": b""}
-            fresh = {w for words in split for w in words if w}
-        if len(self._parts) > REMEMBERED:
-            self._parts = {}
-        self._learn(fresh)
+        new = self._learn(fresh)
         get = self._words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, fresh: set[str]) -> None:
+        out = [b"".join(map(get, words)) for words in split]
+        # what came first is most frequent; later words leave again once the memory is full
+        for known, added in ((self._words, fresh), (self._parts, new)):
+            if len(known) > REMEMBERED:
+                for w in added:
+                    del known[w]
+        return out
+
+    def _learn(self, fresh: set[str]) -> list[str]:
         plain = {w: _PART.findall(w.lower()) for w in fresh if _PLAIN.fullmatch(w) and "<|" not in w}
         other = [w for w in fresh if w not in plain]
         for w, e in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
@@ -79,6 +80,7 @@ class Encoder:
         get = self._parts.__getitem__
         for w, parts in plain.items():
             self._words[w] = b"".join(map(get, parts))
+        return new
 
 
 # Printable ASCII without the apostrophe, and Latin letters whose lower case is one letter; then the parts of their lower case.

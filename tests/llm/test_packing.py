@@ -61,7 +61,7 @@ def test_remembered_words_are_bounded(make, prose, monkeypatch):
     for k in range(5):
         text = prose(k, 30)
         assert encoder.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert len(encoder._words) <= 40
+    assert len(encoder._words) <= 40 and len(encoder._parts) <= 60
 
 
 def test_encoder_equals_the_tokenizer_on_any_characters():
