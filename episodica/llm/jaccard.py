@@ -41,6 +41,8 @@ BITMAP = 26
 #: Bits of a document's parity marks. Each token that two sets do not share changes one bit at most, so the
 #: number of different bits is a lower bound of the number of such tokens, close to it for similar sets.
 MARKS = 2048
+#: Longs to which the marks are folded for the matrix; folding keeps the bound.
+FOLDED = 4
 #: A token of fewer documents never ranks as frequent.
 HOT_LEAST = 16
 
@@ -265,14 +267,22 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     groups = components(near, "x", "y").select(F.col("node").alias("doc"), F.col("component"))
 
     # round 2: the matrix of tokens and groups; queries open the groups whose bound holds
-    placed = staged(shared.select("token", "doc", "n", "place").join(groups, "doc", "left")
-                    .withColumn("own", F.coalesce("component", "doc")).drop("component"), "placed")
+    fold = [F.aggregate(F.array(*[F.col("marks")[k + FOLDED * i] for i in range(MARKS // 64 // FOLDED)]), F.lit(0).cast("long"),
+                        lambda s, x: s.bitwiseXOR(x)).alias(f"m{k}") for k in range(FOLDED)]
+    placed = shared.select("token", "doc", "n", "place").join(groups, "doc", "left").join(marks.select("doc", *fold), "doc")
+    placed = staged(placed.withColumn("own", F.coalesce("component", "doc")).drop("component"), "placed")
+    folds = range(FOLDED)
     matrix = placed.groupBy("token", F.col("own").alias("other")).agg(
-        F.min("place").alias("best"), F.min("n").alias("least"), F.max("n").alias("most"))
+        F.min("place").alias("best"), F.min("n").alias("least"), F.max("n").alias("most"),
+        *[F.min(f"m{k}").alias(f"a{k}") for k in folds], *[F.max(f"m{k}").alias(f"b{k}") for k in folds])
     num, den = t.numerator, t.denominator
+    # where all members share their marks, as in a group of one, these bound the overlap too
+    alike = " AND ".join(f"a{k} = b{k}" for k in folds)
+    apart = " + ".join(f"bit_count(m{k} ^ a{k})" for k in folds)
     opened = placed.join(matrix, "token").where(
         f"own > other AND (place + best) * {den + num}L <= (n + most) * {den - num}L "
-        f"AND n * {den}L >= least * {num}L AND most * {den}L >= n * {num}L").select(F.col("doc").alias("x"), "other").distinct()
+        f"AND n * {den}L >= least * {num}L AND most * {den}L >= n * {num}L "
+        f"AND (NOT ({alike}) OR ({apart}) * {den + num}L <= (n + most) * {den - num}L)").select(F.col("doc").alias("x"), "other").distinct()
     members = placed.select(F.col("doc").alias("y"), F.col("own").alias("other")).distinct().join(two, "y")
     pairs = opened.join(one, "x").join(members, "other").where(_close(t, "mx", "my", "bx", "by")).select("x", "y").distinct()
     far = _links(pairs, keyed, size, t)
