@@ -8,21 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a mapping is broadcast; a larger one is joined by a shuffle.
+MAPPING_ROWS = 100_000
+
+
+def bounded(mapping: DataFrame, rows: int = MAPPING_ROWS) -> DataFrame | None:
+    """The mapping marked for broadcast if a count shows it to be small, else None."""
+    return F.broadcast(mapping) if mapping.limit(rows + 1).count() <= rows else None
+
+
 def lookup(df: DataFrame, mapping: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join to a user-kept mapping table; a repeated mapping key repeats rows.
 
-    No hint: adaptive execution broadcasts the mapping if its size allows.
+    Events are not shuffled on the few texts of a small mapping. A large one carries no hint: adaptive execution
+    splits hot keys.
     """
-    return df.join(mapping, list(on))
+    return df.join(bounded(mapping) or mapping, list(on))
 
 
 def qualifying_keys(
     events: DataFrame, codes: DataFrame, scores: DataFrame, key: str, code: str, score: str, at_least: int
 ) -> DataFrame:
     """Keys with a listed event code and a sufficient score: one row per key and score."""
-    listed = events.join(codes.select(code), code, "left_semi").select(key)
+    few = bounded(codes.select(code))
+    # against a large list each key and code is compared once, so a hot code is combined before its shuffle
+    found = events.join(few, code, "left_semi") if few else events.select(key, code).distinct().join(codes.select(code), code, "left_semi")
     enough = scores.where(F.col(score) >= at_least).select(key, score)
-    return enough.join(listed, key, "left_semi").distinct()
+    return enough.join(found.select(key), key, "left_semi").distinct()
 
 
 def number_episodes(df: DataFrame, person: str, order: Sequence[str], out: str = "seqnum") -> DataFrame:

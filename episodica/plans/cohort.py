@@ -1,7 +1,7 @@
 """The ICU cohort: one 84-column record per person.
 
-Every source table is read once and reduced to one row per stay before any
-join, and all per-stay frames are partitioned by the stay key. First stays are
+Every source table is read once (vital signs twice: for the signs and for the
+sited temperatures) and reduced to one row per stay before any join, and all per-stay frames are partitioned by the stay key. First stays are
 chosen on narrow rows before the wide joins, so those carry selected stays only.
 """
 
@@ -20,7 +20,7 @@ from episodica.functions.columns import (
     vital_status,
     whole_hours,
 )
-from episodica.operators.episodes import lookup, number_episodes, qualifying_keys
+from episodica.operators.episodes import bounded, lookup, number_episodes, qualifying_keys
 from episodica.operators.rules import CodeRule, event_flags, flags_for_all, mask_flag, rule_mask
 from episodica.operators.windows import (
     AGGREGATES,
@@ -85,6 +85,31 @@ def infection_cohort(t: Tables) -> DataFrame:
     ).withColumnRenamed("sofatotal", "sofa")
 
 
+def diagnosed(t: Tables) -> DataFrame:
+    """Comorbidity flags per stay, and ``infected``: a listed infection diagnosis around admission.
+
+    With a small infection list this is one pass over the diagnoses; a large one is matched in a pass of its own.
+    """
+    codes = t["infection_diagnosis"].select("diagnosisstring").distinct()
+    few, rules = bounded(codes.withColumn("_listed", F.lit(1))), fixed.DIAGNOSIS_RULES
+    near = F.col("diagnosisoffset").between(*AROUND_ADMISSION)
+    if few is None:
+        listed = t["diagnosis"].where(near).select(STAY, "diagnosisstring").distinct().join(codes, "diagnosisstring", "left_semi")
+        infected = listed.groupBy(STAY).agg(F.lit(1).alias("infected"))
+        return event_flags(t["diagnosis"], STAY, "diagnosisstring", rules).join(infected, STAY, "left")
+    masks = t["diagnosis"].join(few, "diagnosisstring", "left").select(
+        STAY, rule_mask("diagnosisstring", rules).alias("_mask"), F.when(near, F.col("_listed")).alias("_near"))
+    masks = masks.groupBy(STAY).agg(F.bit_or("_mask").alias("_mask"), F.max("_near").alias("infected"))
+    return masks.select(STAY, *[mask_flag("_mask", i).alias(r.flag) for i, r in enumerate(rules)], "infected")
+
+
+def hospitals(t: Tables) -> DataFrame:
+    """One row per hospital; a repeated one is an error, as it would repeat records."""
+    once = t["hospital"].groupBy("hospitalid").agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in t["hospital"].columns if c != "hospitalid"])
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("hospital rows are not unique by hospitalid"))).otherwise(F.col("region"))
+    return once.select("hospitalid", checked.alias("region"))
+
+
 def comorbidities(t: Tables) -> DataFrame:
     flags = event_flags(t["diagnosis"], STAY, "diagnosisstring", fixed.DIAGNOSIS_RULES)
     return flags_for_all(t["patient"], flags, STAY, COMORBIDITIES)
@@ -282,9 +307,8 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     numbered per person among the eligible ones, before any other filter.
     """
     patient = t["patient"]
-    diagnosed = event_flags(t["diagnosis"], STAY, "diagnosisstring", fixed.DIAGNOSIS_RULES)
     eligible = (
-        patient.join(temperature_extremes(t), STAY).join(diagnosed, STAY, "left")
+        patient.join(temperature_extremes(t), STAY).join(diagnosed(t), STAY, "left")
         .where(_either("exclusion_flag") == 0).drop("exclusion_flag")
     )
     order = ["patienthealthsystemstayid", STAY, "unitvisitnumber"]
@@ -293,15 +317,15 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
         numbered = numbered.where("seqnum = 1")
     one_score = t["apachepatientresult"].groupBy(STAY).agg(F.max("apachescore").alias("apache_iv"))
     one_group = t["apache_groups"].groupBy(STAY).agg(F.max("apachedxgroup").alias("apachedxgroup"))
-    one_sofa = infection_cohort(t).groupBy(STAY).agg(F.max("sofa").alias("sofa"))
-    out = numbered
+    enough = t["sofascore"].where(F.col("sofatotal") >= fixed.MIN_SOFA)
+    one_sofa = enough.groupBy(STAY).agg(F.max("sofatotal").alias("_sofa"))
+    out = numbered.join(hospitals(t), "hospitalid", "left")
     for frame in (
         one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t, faithful), cooling_care(t, faithful),
         lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t), vital_summary(t, faithful),
     ):
         out = out.join(frame, STAY, "left")
-    # One row per hospital; adaptive execution broadcasts it when its size allows.
-    out = out.join(t["hospital"], "hospitalid", "left")
+    out = out.withColumn("sofa", F.when(F.col("infected") == 1, F.col("_sofa")))
     derived = {
         "hosp_mortality": vital_status("hospitaldischargestatus"),
         "icu_mortality": vital_status("unitdischargestatus"),

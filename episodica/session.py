@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "episodica", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # The JVM never compiles methods above 8000 bytes of bytecode; rule sets with
         # many code texts would run interpreted inside one such generated method.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -31,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a session that has
-    none and runs in one local process gets a temporary folder of its own.
+    none and runs in one local process gets a temporary folder of its own, removed at its end.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -41,5 +44,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="episodica-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named

@@ -112,7 +112,7 @@ def test_rule_flags(spark):
             (7, "surgery|wounds / temperature|antipyretics|NSAID", 1800),
         ],
         medication=[(1, "ACETAMINOPHEN", -361), (2, "ACETAMINOPHEN", -360), (3, "Acetaminophen", 0)],
-        nursecare=[(4, 0, "ice bag"), (5, 0, "Ice Bag")],
+        nursecare=[(4, 0, "ice\u00a0bag"), (5, 0, "Ice\u00a0Bag"), (6, 0, "ice bag")],
     )
     rows = by_stay(plan.interventions_and_exposures(t))
     assert {k: r.ventilation_flag for k, r in rows.items() if k < 4} == {1: 0, 2: 1, 3: 0}
@@ -120,7 +120,7 @@ def test_rule_flags(spark):
     assert (rows[5].ene_less_flag, rows[5].vasopressor_flag) == (1, 1)
     assert (rows[6].nsaid_flag, rows[7].nsaid_flag) == (0, 1)
     assert [rows[i].acetaminophen_flag for i in (1, 2, 3)] == [0, 1, 0]
-    assert [rows[i].cooling_flag for i in (4, 5)] == [1, 0]
+    assert [rows[i].cooling_flag for i in (4, 5, 6)] == [1, 0, 0]
     flags = by_stay(plan.comorbidities(t))
     assert len(flags) == 7 and all(v == 0 for v in flags[1][1:])
 
