@@ -10,6 +10,8 @@ licence of the nearest directory above them that has one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,26 @@ def _template_terms(spark) -> DataFrame:
     return terms.groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _telling(rows: list, df: dict[str, int], total: int, threshold: float) -> list[str]:
+    """Words of which a line that reaches the threshold holds at least one; as rare ones as possible.
+
+    A line with other words only has at most the cosine of the template's part in these words, so the most frequent words are left
+    out as long as that stays below the threshold for every template.
+    """
+    weight = {(r["template"], r["term"]): (r["tf"] * (math.log((total + 1) / (df.get(r["term"], 0) + 1)) + 1)) ** 2 for r in rows}
+    whole: dict[int, float] = {}
+    for (k, _), v in weight.items():
+        whole[k] = whole.get(k, 0.0) + v
+    left, telling = dict.fromkeys(whole, 0.0), []
+    for term in sorted({w for _, w in weight}, key=lambda w: (-df.get(w, 0), w)):
+        grown = {k: left[k] + weight.get((k, term), 0.0) for k in whole}
+        if all(grown[k] < (threshold * 0.999) ** 2 * whole[k] for k in whole):
+            left = grown
+        else:
+            telling.append(term)
+    return telling
+
+
 def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, licence, score, notice_words) of the best notice of each file that has one; ``files`` has (path, text).
 
@@ -65,8 +87,7 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.log(F.lit((total + 1) / (df.get(w, 0) + 1))) + 1)])
     unseen = F.log(F.lit(float(total + 1))) + 1
 
-    # a line can reach the threshold only with a word that is rare enough to tell: rarer than one line in a hundred
-    telling = [w for w in vocabulary if df.get(w, 0) * 100 <= total] or vocabulary
+    telling = _telling(templates.collect(), df, total, threshold)
     some = known.where(F.arrays_overlap("known", F.array(*map(F.lit, telling))))
     some = some.select("path", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     some = some.groupBy("path", "line", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
