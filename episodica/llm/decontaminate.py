@@ -1,18 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Runs of ``SEED`` words of the test items are looked up in all documents. A seed
-of an item counts if it is rare beside the item's other seeds, so everyday
-phrases open nothing, while a passage that very many documents copy keeps all of
-its seeds. Seeds on similar diagonals open a window of the document, and the
-window is aligned with the item word by word; the score is the alignment's
-share of a perfect one, so edited, shortened and paraphrased copies count.
+Runs of ``SEED`` words of the test items are looked up in all documents. Every
+seed counts, however many documents hold it: a part of an item that very many
+documents copy is looked at in each of them. Seeds on similar diagonals open a
+window of the document. A window that holds too few of the item's words for the
+score asked for is left at once, as no alignment can reach it; the others are
+aligned with the item word by word. The score is the alignment's share of a
+perfect one, so edited, shortened and paraphrased copies count.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.bytehash import LOWER, Ranges, column_bytes, parts, shingles, signed
@@ -21,8 +22,6 @@ from episodica.llm.shared import small, staged
 SEED = 3
 #: Items of fewer words are not told from chance and are left out.
 LEAST_WORDS = 8
-#: A seed is rare if it is in at most so many times the documents of its item's lower quartile.
-RARE_FACTOR = 10
 #: Seeds up to this number are broadcast; more are joined by a shuffle.
 SEED_ROWS = 2_000_000
 #: Diagonals are opened together in steps of this many words, with as many words around.
@@ -123,6 +122,9 @@ def _aligned(threshold: float):
                         item = np.array(w["words"], np.int64).view(np.uint64)
                         first = max(0, w["low"] - BAND)
                         part = texts[k][first : w["high"] + len(item) + BAND]
+                        # each matched word of the item gives MATCH at most
+                        if np.isin(item, part).sum() / len(item) < threshold:
+                            continue
                         score, i, j = align(item, part)
                         share = score / (MATCH * len(item))
                         if share >= threshold:
@@ -157,13 +159,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
         hits = keyed.mapInArrow(_grams(None), "gram long, doc long, th long, place int").join(kinds, "gram", "left_semi")
     hits = staged(hits, "hits")
 
-    spread = hits.groupBy("gram", "doc").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    ranked = seeds.join(spread, "gram").withColumn(
-        "low", F.percentile_approx("docs", 0.25).over(Window.partitionBy("item_id")))
-    rare = ranked.where(F.col("docs") <= RARE_FACTOR * F.col("low")).select("gram", "item_id", "at")
-    met = hits.join(small(staged(rare, "rare")), "gram").withColumn("low", F.col("place") - F.col("at"))
+    met = hits.join(small(seeds), "gram").withColumn("low", F.col("place") - F.col("at"))
     windows = met.groupBy("doc", "th", "item_id", F.floor(F.col("low") / BAND).alias("band")).agg(
-        F.min("low").cast("long").alias("low"), F.max("low").cast("long").alias("high"), F.count(F.lit(1)).alias("n"))
+        F.min("low").cast("long").alias("low"), F.max("low").cast("long").alias("high"))
     windows = staged(windows, "windows")
     opened = windows.join(small(items), "item_id").groupBy("doc", "th").agg(
         F.collect_list(F.struct("item_id", "low", "high", "words")).alias("windows"))

@@ -92,6 +92,18 @@ def test_a_passage_in_very_many_documents_is_caught(spark, make, prose):
     assert {r.doc_id for r in dc.contaminated(docs, benchmark).collect()} == set(range(200))
 
 
+def test_truncated_copies_in_very_many_documents_beside_a_whole_one(spark, make, prose):
+    passage = prose(79, 22).split()
+    rows = [(k, prose(k, 20) + " " + " ".join(passage[:14]) + " " + prose(3000 + k, 20)) for k in range(300)]
+    rows += [(k, prose(k, 20) + " " + " ".join(passage[:9] + ["changed"] + passage[10:14]) + " " + prose(3000 + k, 20)) for k in range(300, 400)]
+    rows += [(1000, prose(8, 20) + " " + " ".join(passage))] + [(2000 + k, prose(6000 + k, 60)) for k in range(20)]
+    benchmark = spark.createDataFrame([(1, " ".join(passage)), (2, prose(80, 25))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in dc.contaminated(make(rows), benchmark).collect()}
+    assert set(got) == set(range(400)) | {1000}
+    items = [words(x.text) for x in benchmark.collect()]
+    assert all(abs(got[i] - best_score(items[0], words(x)) / (dc.MATCH * 22)) < 1e-6 for i, x in rows if i in (0, 299, 300, 399, 1000))
+
+
 def test_empty_tables(spark, make, prose):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
