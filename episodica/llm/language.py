@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from episodica.llm.shared import small, staged
+
 #: Bounds of the sample a dictionary is made of: pieces per language and bytes per piece.
 PIECES = 256
 PIECE_CHARS = 512
@@ -37,9 +39,12 @@ def dictionaries(labelled: DataFrame, pieces: int = PIECES, chars: int = PIECE_C
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - F.lit(chars), F.lit(1))).cast("int") + 1
     sample = labelled.where("lang IS NOT NULL AND length(text) > 0").select(
         "lang", h.alias("h"), F.substring("text", start, F.lit(chars)).alias("piece"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    chosen = sample.withColumn("k", rank).where(F.col("k") <= pieces).groupBy("lang").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("k", "piece"))), lambda x: x["piece"]), "\n").alias("content"))
+    # copies count once, before the ranking; only hashes travel for that, and pieces of the chosen texts afterwards
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = sample.select("lang", "h").distinct().withColumn("k", rank).where(F.col("k") <= pieces).select("lang", "h")
+    chosen = sample.join(small(staged(first, "dictionary")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    chosen = chosen.groupBy("lang").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "piece"))), lambda x: x["piece"]), "\n").alias("content"))
     return {r["lang"]: r["content"].encode() for r in chosen.collect()}
 
 

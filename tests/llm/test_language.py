@@ -55,6 +55,16 @@ def test_dictionaries_are_bounded_and_stable(make):
     assert a == b and len(a["en"].decode()) <= 5 * 41
 
 
+def test_copies_count_once_in_a_dictionary(make):
+    rows = [(k, text("en", k, 30), "en") for k in range(60)] + [(1000 + k, text("fr", k, 30), "fr") for k in range(60)]
+    alone = language.dictionaries(make(rows).select("text", "lang"), pieces=40, chars=200)
+    h = {r.text: r.h for r in make(rows).selectExpr("text", "xxhash64(text) AS h").collect()}
+    first = min((x for _, x, lang in rows if lang == "en"), key=h.get)  # always among the chosen
+    copies = rows + [(5000 + k, first, "en") for k in range(60)]
+    assert language.dictionaries(make(copies).select("text", "lang"), pieces=40, chars=200) == alone
+    assert len(set(alone["en"].decode().split("\n"))) == 40
+
+
 def test_nothing_learned(make):
     out = language.learn_and_identify(make([(1, "some text", None)])).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
