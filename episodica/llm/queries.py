@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from episodica.llm import decontaminate, jaccard, language, licences, oracles, packing, pii, quality, sharding, suffixes, warc
+from episodica.llm import bpe, decontaminate, jaccard, language, licences, oracles, packing, pii, quality, sharding, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +20,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-def tokenizer_path() -> str:
-    """The word tokenizer's file as installed with the public tokenizers."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A tokenizer's file as installed with the public tokenizers, by default the word tokenizer's."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,18 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(_documents(spark, sf_dir))
 
 
+def op12_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
+    both = bpe.round_trip(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_distribution_quality, op2_label_propagation_shards, op3_ngram_jaccard, op4_bounded_packing, op5_pii_boosting,
-             op6_revisit_resolution, op7_licence_inheritance, op8_seeded_alignment, op9_suffix_dedup, op10_compression_language)
+             op6_revisit_resolution, op7_licence_inheritance, op8_seeded_alignment, op9_suffix_dedup, op10_compression_language,
+             op12_tokenization_automaton)
     return {f.__name__: f for f in found}
 
 
