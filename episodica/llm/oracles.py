@@ -63,9 +63,32 @@ def jaccard_sql(size: int = 3, percent: int = 90) -> str:
     """
 
 
+def divergence_sql(least: int = 10, top: int = 10) -> str:
+    p = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * v.kept)"
+    f = "(x.p - {q}) * (x.p - {q}) // (x.p + {q})"
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{_CAPITALS}', '{_CAPITALS.lower()}') AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= {least}),
+    c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+    v AS (SELECT lang, count(*) AS kept, sum(n) AS total FROM k GROUP BY 1),
+    g AS (SELECT s.lang, s.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) s
+          LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY 1, 2),
+    x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p.format(n="coalesce(c.n, 0)", total="g.total")} AS p, {p.format(n="k.n", total="v.total")} AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(sum({f.format(q="y.p")}), 0) AS value
+          FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source
+          LEFT JOIN x y ON y.lang = g.lang AND y.source = h.source AND y.term = x.term GROUP BY 1, 2, 3, 4
+          UNION ALL SELECT lang, source, 'term', term, {f.format(q="x.q")} FROM x WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= {top}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_distribution_quality": quality_sql(),
         "op3_ngram_jaccard": jaccard_sql(),
+        "op11_source_divergence": divergence_sql(),
         "op6_revisit_resolution": warc.RESOLVED_SQL,
     }

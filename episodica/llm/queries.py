@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import bpe, decontaminate, jaccard, language, licences, oracles, packing, pii, quality, sharding, suffixes, warc
+from episodica.llm import bpe, decontaminate, divergence, jaccard, language, licences, oracles, packing, pii, quality, sharding, suffixes, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,11 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the other sources of its language, and the terms it has more often than the language."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 def op12_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     both = bpe.round_trip(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
@@ -85,10 +90,15 @@ def op12_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first 16 components, to unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_distribution_quality, op2_label_propagation_shards, op3_ngram_jaccard, op4_bounded_packing, op5_pii_boosting,
              op6_revisit_resolution, op7_licence_inheritance, op8_seeded_alignment, op9_suffix_dedup, op10_compression_language,
-             op12_tokenization_automaton)
+             op11_source_divergence, op12_tokenization_automaton, op13_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
