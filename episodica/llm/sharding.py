@@ -1,9 +1,11 @@
 """Shards by balanced label propagation, with sizes near equal.
 
-Linked documents start in shards by hash. In each round a random half of them,
-by hash, may move to the shard that most of their neighbours are in. A shard
+Linked documents start in shards by hash. In each round those that would rather be in
+another shard, where most of their neighbours are, may move: all of them in the first round, a random
+half by hash later. If two neighbours would only change places, the smaller id stays. A shard
 admits movers only up to its free capacity: with more demand than room, a mover
-enters with probability room / demand, decided by a hash. Afterwards linked documents
+enters with probability room / demand, decided by a hash. Rounds end when nobody wishes to move to a shard
+with room, or when the wishes have not become fewer for some rounds. Afterwards linked documents
 beyond a shard's capacity leave it, and the free documents fill all shards up to equal
 sizes, so links decide where they can and sizes hold in any case.
 
@@ -21,7 +23,10 @@ from episodica.llm.shared import running, staged
 
 #: A document of more than 1 / HEAVY of a shard's size is placed by the driver; there are fewer than shards * HEAVY.
 HEAVY = 256
-ROUNDS = 8
+#: Rounds without fewer wishes than before after which propagation has settled.
+PATIENCE = 8
+#: The smallest documents, so many a shard, are placed last and one by one.
+FILLERS = 16
 #: Share of a shard that linked documents may fill; the rest evens out sizes.
 LINKED_SHARE = 0.97
 
@@ -35,33 +40,50 @@ def _loads(placed: DataFrame) -> dict[int, int]:
     return {r["shard"]: int(r["s"]) for r in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
 
 
-def propagate(vertices: DataFrame, edges: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
+def propagate(vertices: DataFrame, edges: DataFrame, shards: int, capacity: float, patience: int = PATIENCE) -> DataFrame:
     """(id, size, shard) of linked ``vertices`` (id, size) after label propagation over ``edges`` (u, v)."""
-    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     placed = staged(vertices.select("id", "size", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")), "labels")
-    for turn in range(rounds):
+    turn, fewest, since = 0, None, 0
+    while True:
         near = both.join(placed.select(F.col("id").alias("v"), F.col("shard").alias("near")), "v")
         votes = near.groupBy("u", "near").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("u").agg(F.max(F.struct("n", (-F.col("near")).alias("near"))).alias("best"))
         now = placed.join(best, placed["id"] == best["u"]).join(
             votes.select(F.col("u").alias("id"), F.col("near").alias("shard"), F.col("n").alias("here")), ["id", "shard"], "left")
         target = (-F.col("best.near")).cast("int")
-        movers = now.where((target != F.col("shard")) & (F.col("best.n") > F.coalesce("here", F.lit(0)))
-                           & (_draw(F.col("id"), turn) < 0.5)).select("id", "size", "shard", target.alias("target"))
+        wishes = staged(now.where((target != F.col("shard")) & (F.col("best.n") > F.coalesce("here", F.lit(0)))).select(
+            "id", "size", "shard", target.alias("target")), "wishes")
+        load, wanted = _loads(placed), {r["target"]: int(r["n"]) for r in wishes.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+        count = sum(wanted.values())
+        fewest, since = (count, 0) if fewest is None or count < fewest else (fewest, since + 1)
+        if not any(load.get(t, 0) < capacity for t in wanted) or since >= patience:
+            return placed
+        # who would change places with a neighbour of a greater id stays
+        mine = wishes.select(F.col("id").alias("u"), "shard", "target")
+        theirs = wishes.select(F.col("id").alias("v"), F.col("shard").alias("target"), F.col("target").alias("shard"))
+        swaps = mine.join(both.where("u < v"), "u").join(theirs, ["v", "shard", "target"]).select(F.col("u").alias("id")).distinct()
+        movers = wishes.join(swaps, "id", "left_anti").where((_draw(F.col("id"), turn) < 0.5) if turn else F.lit(True))
         movers = staged(movers, "movers")
-        load = _loads(placed)
-        wanted = {r["target"]: int(r["s"]) for r in movers.groupBy("target").agg(F.sum("size").alias("s")).collect()}
-        if not wanted:
-            break
+        demand = {r["target"]: int(r["s"]) for r in movers.groupBy("target").agg(F.sum("size").alias("s")).collect()}
+        turn += 1
+        if not demand:
+            continue
         # room that leavers make counts in the next round only
-        share = {t: max(0.0, min(1.0, (capacity - load.get(t, 0)) / max(s, 1))) for t, s in wanted.items()}
+        share = {t: max(0.0, min(1.0, (capacity - load.get(t, 0)) / max(s, 1))) for t, s in demand.items()}
         admitted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("target"))
         moved = movers.where(_draw(F.col("id"), turn + 1000) < admitted).select("id", "target")
         placed = staged(placed.join(moved, "id", "left").select("id", "size", F.coalesce("target", "shard").alias("shard")), "labels")
-    return placed
 
 
-def balanced(vertices: DataFrame, edges: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def cut_links(placed: DataFrame, edges: DataFrame) -> int:
+    """Links between different shards."""
+    side = placed.select(F.col("id").alias("u"), F.col("shard").alias("a"))
+    ends = edges.where("u != v").join(side, "u").join(side.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
+    return ends.where("a != b").count()
+
+
+def balanced(vertices: DataFrame, edges: DataFrame, shards: int, patience: int = PATIENCE) -> DataFrame:
     """(id, size, shard) of all ``vertices`` (id, size): linked ones by propagation, all sizes near equal.
 
     ``edges`` (u, v) name ids of vertices; loops are ignored. Ids must be unique and not null. An empty table gives
@@ -71,13 +93,13 @@ def balanced(vertices: DataFrame, edges: DataFrame, shards: int, rounds: int = R
     total = vertices.agg(F.sum("size")).first()[0] or 0
     even = total / shards
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    linked = propagate(vertices.join(ends, "id", "left_semi"), edges, shards, even * LINKED_SHARE, rounds)
+    linked = propagate(vertices.join(ends, "id", "left_semi"), edges, shards, even * LINKED_SHARE, patience)
     # beyond capacity the last in hash order leave
     linked = running(linked.withColumn("h", F.xxhash64("id")), "shard", ["h", "id"], "upto", "size")
     stay = staged(linked.where(F.col("upto") + F.col("size") <= max(even * LINKED_SHARE, 0)).select("id", "size", "shard"), "stay")
     free = staged(vertices.join(stay.select("id"), "id", "left_anti").select("id", "size"), "free")
 
-    load = {s: _loads(stay).get(s, 0) for s in range(shards)} if total else {s: 0 for s in range(shards)}
+    load = {s: 0 for s in range(shards)} | _loads(stay)
     big = free.where(F.col("size") * HEAVY > even).orderBy(F.desc("size"), "id").collect()
     heavy = []
     for r in big:
@@ -87,9 +109,11 @@ def balanced(vertices: DataFrame, edges: DataFrame, shards: int, rounds: int = R
     schema = "id long, size long, shard int"
     placed = stay.union(free.sparkSession.createDataFrame(heavy, schema))
     light = free.where(F.col("size") * HEAVY <= even)
-    rest = total - sum(load.values())
+    # the smallest are kept back, a fixed number for each shard, to even out what the limits between shards leave
+    back = light.orderBy("size", "id").limit(shards * FILLERS).select("id", "size").collect()
+    light = light.join(F.broadcast(free.sparkSession.createDataFrame([(r["id"],) for r in back], "id long")), "id", "left_anti")
     # fill the emptiest up to one level that takes all of the rest
-    level, left = 0.0, rest
+    level, left = 0.0, total - sum(load.values()) - sum(r["size"] for r in back)
     order = sorted(load.values())
     for k, x in enumerate(order):
         nxt = order[k + 1] if k + 1 < len(order) else float("inf")
@@ -106,24 +130,31 @@ def balanced(vertices: DataFrame, edges: DataFrame, shards: int, rounds: int = R
     for bound, s in reversed(bounds[:-1]):
         shard = F.when(middle < bound, s).otherwise(shard)
     laid = running(light.select("id", "size", F.lit(0).alias("all"), F.xxhash64("id").alias("h")), "all", ["h", "id"], "upto", "size")
-    return placed.union(laid.select("id", "size", shard.cast("int").alias("shard")))
+    laid = staged(laid.select("id", "size", shard.cast("int").alias("shard")), "laid")
+    for s, size in _loads(laid).items():
+        load[s] += size
+    rest = []
+    for r in reversed(back):
+        s = min(load, key=lambda k: (load[k], k))
+        load[s] += r["size"]
+        rest.append((r["id"], r["size"], s))
+    return placed.union(laid).union(free.sparkSession.createDataFrame(rest, schema))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, patience: int = PATIENCE) -> DataFrame:
     """All documents in shards of near-equal bytes, equal texts together where sizes allow.
 
-    Links join every document to the one with the smallest id among those of its text. Defined cases: null
-    text has size 16 and checksum 0; rows of one doc_id go to one shard, null ids count as one id; further
-    columns are ignored; slots are numbered by doc_id, then size and checksum.
+    Every row is a vertex of its own; links join it to the first row of its text. Defined cases: null
+    text has size 16 and checksum 0; rows that share a doc_id or have none are placed by their texts alone;
+    further columns are ignored; slots are numbered by doc_id (nulls first), then size, checksum and row; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("same"))
-    rows = staged(rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))), "sizes")
+    rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "sizes")
     leaders = rows.groupBy("same", "text_crc32", "size").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = rows.join(leaders, ["same", "text_crc32", "size"]).where("id != v").select(F.col("id").alias("u"), "v").distinct()
-    vertices = rows.groupBy("id").agg(F.sum("size").alias("size"))
-    placed = balanced(vertices, staged(edges, "links"), shards, rounds)
-    out = rows.join(placed.select("id", "shard"), "id").select("doc_id", "size", "text_crc32", "shard")
-    out = running(out, "shard", ["doc_id", "size", "text_crc32"], "slot")
+    edges = rows.join(leaders, ["same", "text_crc32", "size"]).where("id != v").select(F.col("id").alias("u"), "v")
+    placed = balanced(rows.select("id", "size"), staged(edges, "links"), shards, patience)
+    out = rows.join(placed.select("id", "shard"), "id").select("doc_id", "size", "text_crc32", "shard", "id")
+    out = running(out, "shard", ["doc_id", "size", "text_crc32", "id"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import TaskContext
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,29 +49,35 @@ def running(df: DataFrame, group: str, order: Sequence[str], out: str, value: st
     Rows are range-partitioned by group and order and kept as a stage, so a group
     spreads over many tasks; each task continues from the sums that earlier
     partitions have of the group. The driver sees one sum per partition and group
-    that meets it (at most partitions plus groups). Null values count as 0.
+    that meets it (at most partitions plus groups). Null values count as 0; ``group`` has no nulls.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cut = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).checkpoint()
+    # the number of a row's partition is kept in the row: a union or a coalesced read below would change the task's own
+    cut = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     step = F.coalesce(F.col(value), F.lit(0)).cast("long") if value else F.lit(1).cast("long")
-    sums = cut.groupBy(F.spark_partition_id().alias("part"), F.col(group).alias("g")).agg(F.sum(step).alias("s")).collect()
+    sums = cut.groupBy(F.col("_part").alias("part"), F.col(group).alias("g")).agg(F.sum(step).alias("s")).collect()
     starts, totals = {}, {}
     for r in sorted(sums, key=lambda r: (r["part"], r["g"])):
         starts[r["part"], r["g"]] = totals.get(r["g"], 0)
         totals[r["g"]] = totals.get(r["g"], 0) + r["s"]
 
     def add(batches):
-        part = TaskContext.get().partitionId()
         seen: dict = {}
-        for pdf in batches:
-            amount = pdf[value].fillna(0).astype("int64") if value else pd.Series(1, index=pdf.index, dtype="int64")
-            upto = amount.groupby(pdf[group]).cumsum()
-            pdf[out] = upto - amount + pdf[group].map(lambda g: starts.get((part, g), 0) + seen.get(g, 0)).astype("int64")
-            for g, s in amount.groupby(pdf[group]).sum().items():
-                seen[g] = seen.get(g, 0) + int(s)
-            yield pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return cut.mapInPandas(add, f"{schema}, `{out}` bigint")
+        for batch in batches:
+            part, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", group))
+            amount = batch.column(value).fill_null(0).to_numpy().astype(np.int64) if value else np.ones(len(part), np.int64)
+            before = np.cumsum(amount) - amount
+            # rows are in order, so a group is one run
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (of[1:] != of[:-1])) + 1 if len(part) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(part)]) if len(part) else ():
+                key = int(part[lo]), of[lo].item() if hasattr(of[lo], "item") else of[lo]
+                done = seen.get(key, 0)
+                seen[key] = done + int(amount[lo:hi].sum())
+                before[lo:hi] += starts[key] + done - before[lo]
+            kept = [k for k, c in enumerate(batch.schema.names) if c != "_part"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(before)], [*[batch.schema.names[k] for k in kept], out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return cut.mapInArrow(add, f"{schema}, `{out}` bigint")

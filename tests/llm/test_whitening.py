@@ -84,7 +84,7 @@ def test_few_vectors_and_constant_dimensions(spark):
 
 
 def test_large_entries_and_deviations(spark):
-    vectors = [(i, [float(2**20 * (i + 1)), float(i * i)]) for i in range(6)]
+    vectors = [(i, [float(2**20 * (i + 1)), float(4096 * i * i)]) for i in range(6)]
     docs = spark.createDataFrame([(i, v, 0, "c", "n", "x") for i, v in vectors], SCHEMA)
     check(whitening.whiten(docs).collect(), vectors)
     assert whitening._deviation(np.array([[2**40, 0]]), 10**6, [0, 0]) == [None]
