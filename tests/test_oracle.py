@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from episodica.catalog import all_builders, all_oracles
+from episodica.catalog.registry import runner
 from tests.conftest import TABLES
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = {name: runner(name) for name in all_builders()}, all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +49,7 @@ def test_runs_without_twin(spark, sf_dir, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_contract_has_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
