@@ -31,6 +31,7 @@ from episodica.operators.windows import (
     in_window,
     measurement_extremes,
     merge_series,
+    number_rows,
     pivot_extremes,
     ratio_of_extremes,
     summarise_window,
@@ -472,6 +473,19 @@ def extreme_rows(s: Sample) -> DataFrame:
     )
 
 
+FULL_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@register("full_ranking", f"""
+    SELECT l_returnflag, l_extendedprice, {', '.join(FULL_ORDER)},
+           row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC NULLS LAST, {', '.join(FULL_ORDER)}) AS row_number
+    FROM lineitem
+""")
+def full_ranking(s: Sample) -> DataFrame:
+    lines = s.table("lineitem").select("l_returnflag", "l_extendedprice", *FULL_ORDER)
+    return number_rows(lines, ["l_returnflag"], [F.desc_nulls_last("l_extendedprice"), *FULL_ORDER])
+
+
 @register("ranked_series", """
     SELECT stay, quantity, price FROM (
       SELECT l_orderkey AS stay, l_quantity AS quantity, l_extendedprice AS price,

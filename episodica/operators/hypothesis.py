@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 from episodica.functions.normal import normal_quantile_sql
 from episodica.functions.pvalues import chi2_p, t_p
 from episodica.operators.ranks import (
-    BUCKET,
     VARIABLE,
     histogram,
     long_values,
+    ordered,
     repeat_rows,
     running_totals,
-    with_buckets,
+    with_group_totals,
 )
 
 
 def kruskal(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H of each variable across the groups."""
     long = long_values(df.where(F.col(group).isNotNull()), variables, [group])
-    hist = with_buckets(histogram(long, [VARIABLE, group]))
-    ranked = running_totals(hist, [VARIABLE], "value", {"n": "n"})
-    tied = F.sum("n").over(Window.partitionBy(VARIABLE, BUCKET, "value"))
-    ranked = ranked.withColumn("tied", tied).withColumn("midrank", F.col("n_upto") - (F.col("tied") - 1) / 2.0)
+    # one row per value with the counts of its groups, so that equal values share their ranks
+    cells = F.collect_list(F.struct(group, "n"))
+    cut = ordered(histogram(long, [VARIABLE, group]), [VARIABLE], ["value"], {"tied": F.sum("n"), "cells": cells})
+    ranked = running_totals(cut, [VARIABLE], {"rank": "tied"})
+    midrank = F.col("rank_upto") - (F.col("tied") - 1) / 2.0
+    ranked = ranked.select(VARIABLE, "tied", midrank.alias("midrank"), F.inline("cells"))
     n, tied_n = F.col("n").cast("double"), F.col("tied").cast("double")
     sums = ranked.groupBy(VARIABLE, group).agg(
         F.sum(n * F.col("midrank")).alias("rank_sum"),
@@ -173,8 +175,8 @@ def pairwise_chi_square(
 
 def qq_points(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Sample against theoretical normal quantiles, one row per observation."""
-    hist = with_buckets(histogram(long_values(df, variables), [VARIABLE]))
-    ranked = running_totals(hist, [VARIABLE], "value", {"n": "n"})
+    cut = ordered(histogram(long_values(df, variables), [VARIABLE]), [VARIABLE], ["value"])
+    ranked = with_group_totals(running_totals(cut, [VARIABLE], {"n": "n"}), [VARIABLE], {"n": "n"})
     points = repeat_rows(ranked, "n", "_copy", [VARIABLE, "value"])
     position = F.col("n_upto") - F.col("n") + F.col("_copy") + 1
     offset = F.when(F.col("n_all") > 10, 0.5).otherwise(0.375)

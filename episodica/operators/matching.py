@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.operators.ranks import VARIABLE, repeat_rows, running_totals, with_buckets
+from episodica.operators.ranks import ordered, repeat_rows, running_totals
 from episodica.sources.tables import checkpointed
 
 BLOCK_UNITS = 50_000
@@ -53,12 +53,10 @@ class _Block:
 def _score_groups(scored: DataFrame, treatment: str, score: str) -> DataFrame:
     """Per distinct score, best first: how many treated and controls, and their first ranks."""
     rows = scored.select(
-        F.lit(score).alias(VARIABLE), (-F.col(score)).alias("order"), F.col(treatment).cast("int").alias("t")
+        (-F.col(score)).alias("order"), F.col(treatment).cast("int").alias("t")
     )
-    hist = rows.groupBy(VARIABLE, "order").agg(
-        F.count_if(F.col("t") == 1).alias("nt"), F.count_if(F.col("t") == 0).alias("nc")
-    )
-    ranked = running_totals(with_buckets(hist, "order", "nt"), [VARIABLE], "order", {"nt": "nt", "nc": "nc"})
+    hist = rows.groupBy("order").agg(F.count_if(F.col("t") == 1).alias("nt"), F.count_if(F.col("t") == 0).alias("nc"))
+    ranked = running_totals(ordered(hist, [], ["order"]), [], {"nt": "nt", "nc": "nc"})
     return ranked.select(
         (-F.col("order")).alias("score"), "nt", "nc",
         (F.col("nt_upto") - F.col("nt")).alias("t0"), (F.col("nc_upto") - F.col("nc")).alias("c0"),

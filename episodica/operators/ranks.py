@@ -1,24 +1,31 @@
 """Order statistics of whole columns without a single-task sort.
 
 A column is first reduced to a histogram (distinct value -> count), which
-combines map-side, so a value held by a third of all rows is one row. Running
-totals over the ordered values are then taken inside value-range buckets and
-shifted by the totals of the earlier buckets. Bucket limits are approximate
-quantiles; they steer only the balance of the tasks, never the result.
+combines map-side, so a value held by a third of all rows is one row. The rows are
+then cut into range partitions of (group, value) and kept: running totals are
+taken inside each partition and shifted by what earlier partitions hold of its
+first group. A group of any size spreads over many partitions, and the driver
+sees one short row per partition.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+import pickle
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.operators.episodes import bounded
+from episodica.sources.tables import checkpointed
+
 CHUNK = 100_000
 
 VARIABLE = "variable"
-BUCKET = "_bucket"
+PART = "_part"
 
 
 def stacked(df: DataFrame, variables: Sequence[str], keep: Sequence[str], value: str, to: str) -> DataFrame:
@@ -41,57 +48,122 @@ def histogram(long: DataFrame, by: Sequence[str], value: str = "value") -> DataF
     return long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _split(spark: SparkSession) -> int:
-    """Buckets are found in two steps of this many each: about one bucket per shuffle task, 64 at least."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(64, max(8, math.isqrt(tasks - 1) + 1))
+def ordered(
+    rows: DataFrame, within: Sequence[str], order: Sequence[str | Column], merge: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Range partitions of (``within``, ``order``), sorted and kept, with the number of a row's partition.
 
+    ``merge`` aggregates rows of equal keys once they are in one partition, which costs no further shuffle.
+    Neither key may be so long-tailed in rows of equal keys that these do not fit one task; without ``merge`` break ties in ``order``.
+    """
+    cut = rows.repartitionByRange(*within, *order)
+    if merge is not None:
+        cut = cut.groupBy(*within, *order).agg(*[c.alias(n) for n, c in merge.items()])
+    # The number must be taken before anything else is done with the partitions.
+    return checkpointed(cut.sortWithinPartitions(*within, *order).withColumn(PART, F.spark_partition_id()))
 
-def with_buckets(hist: DataFrame, value: str = "value", weight: str = "n") -> DataFrame:
-    """Adds the value-range bucket to rows of distinct values.
 
-    Broadcasts one row per named variable, nothing more. ``weight`` is read only
-    so that both uses of the histogram share one shuffle.
-    """
-    size = _split(hist.sparkSession)
-    probs = [i / size**2 for i in range(1, size**2)]
-    seen = F.when(F.col(weight) >= 0, F.col(value))
-    limits = hist.groupBy(VARIABLE).agg(F.percentile_approx(seen, probs, 16 * size**2).alias("_limits")).select(
-        VARIABLE,
-        F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.element_at("_limits", i * size)).alias("_outer"),
-        F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice("_limits", i * size + 1, size - 1)
-        ).alias("_inner"),
-    )
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one partition."""
+    for batch in batches:
+        part = batch.column(PART).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield int(part[lo]), batch.slice(lo, hi - lo)
 
-    def below(limit):
-        return limit < F.col(value)
 
-    outer = hist.join(F.broadcast(limits), VARIABLE).withColumn("_part", F.size(F.filter("_outer", below)))
-    inner = F.size(F.filter(F.element_at("_inner", F.col("_part") + 1), below))
-    return outer.withColumn(BUCKET, F.col("_part") * size + inner).drop("_outer", "_inner", "_part")
+def _opens(piece: pa.RecordBatch, within: Sequence[str]) -> np.ndarray:
+    """Rows other than the first that begin a new group."""
+    out = np.zeros(piece.num_rows, bool)
+    for name in within:
+        c = piece.column(name)
+        out[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+    return out
 
 
-def running_totals(
-    hist: DataFrame, within: Sequence[str], value: str, amounts: Mapping[str, str | Column]
-) -> DataFrame:
-    """Adds ``<name>_upto`` (total over values up to and including this one) and
-    ``<name>_all`` (grand total), per ``within`` group in order of ``value``."""
-    rows = hist.withColumns({f"_{n}": F.col(c) if isinstance(c, str) else c for n, c in amounts.items()})
-    per_bucket = rows.groupBy(*within, BUCKET).agg(*[F.sum(f"_{n}").alias(f"_{n}_sum") for n in amounts])
-    # One row per group and bucket: a small table whatever the size of the data.
-    group = Window.partitionBy(*within)
-    earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = per_bucket.select(
-        *within, BUCKET,
-        *[F.coalesce(F.sum(f"_{n}_sum").over(earlier), F.lit(0)).alias(f"_{n}_shift") for n in amounts],
-        *[F.sum(f"_{n}_sum").over(group).alias(f"{n}_all") for n in amounts],
-    )
-    local = Window.partitionBy(*within, BUCKET).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    out = rows.join(shifts, [*within, BUCKET]).withColumns(
-        {f"{n}_upto": F.sum(f"_{n}").over(local) + F.col(f"_{n}_shift") for n in amounts}
-    )
-    return out.drop(*[f"_{n}" for n in amounts], *[f"_{n}_shift" for n in amounts])
+def _key(piece: pa.RecordBatch, within: Sequence[str], row: int) -> tuple:
+    return tuple(piece.column(c)[row].as_py() for c in within)
+
+
+def _amount(piece: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.fill_null(piece.column(f"_{name}"), 0).to_numpy(zero_copy_only=False)
+
+
+def _ends(within: Sequence[str], names: Sequence[str]):
+    """Of every partition: its number, first and last group, and what it holds of the last one."""
+
+    def task(batches):
+        parts: dict[int, list] = {}
+        for part, piece in _pieces(batches):
+            opens = np.flatnonzero(_opens(piece, within))
+            first, last = _key(piece, within, 0), _key(piece, within, piece.num_rows - 1)
+            seen = parts.setdefault(part, [first, first, [0] * len(names)])
+            goes_on = seen[1] == first and not len(opens)
+            tail = [_amount(piece, n)[opens[-1] if len(opens) else 0 :].sum().item() for n in names]
+            seen[2] = [a + b for a, b in zip(seen[2], tail)] if goes_on else tail
+            seen[1] = last
+        rows = [pickle.dumps((part, *seen)) for part, seen in parts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["end"])
+
+    return task
+
+
+def _starts(ends: Sequence[tuple], width: int) -> dict[int, list]:
+    """What the partitions before each one hold of its first group."""
+    starts, key, so_far = {}, None, [0] * width
+    for part, first, last, tail in sorted(ends, key=lambda e: e[0]):
+        starts[part] = so_far if first == key else [0] * width
+        so_far = [a + b for a, b in zip(starts[part], tail)] if first == last else tail
+        key = last
+    return starts
+
+
+def running_totals(cut: DataFrame, within: Sequence[str], amounts: Mapping[str, str | Column]) -> DataFrame:
+    """Adds ``<name>_upto``: the total over the rows of the group up to and including this one.
+
+    ``cut`` comes from ``ordered`` with the same groups (none: one group), through steps that neither move nor drop rows; the result may be
+    used so again. Groups have no NULL; NULL amounts count as 0.
+    """
+    names = list(amounts)
+    rows = cut.withColumns({f"_{n}": F.col(c) if isinstance(c, str) else c for n, c in amounts.items()})
+    narrow = rows.select(PART, *within, *[f"_{n}" for n in names])
+    ends = [pickle.loads(r["end"]) for r in narrow.mapInArrow(_ends(within, names), "end binary").collect()]
+    starts = _starts(ends, len(names))
+    kept = cut.columns
+
+    def task(batches):
+        before = None
+        for part, piece in _pieces(batches):
+            first = _key(piece, within, 0)
+            if before is None or before[0] != part:
+                carry = starts[part]
+            else:
+                carry = before[2] if before[1] == first else [0] * len(names)
+            opens = _opens(piece, within)
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+            totals = []
+            for n, c in zip(names, carry):
+                amount = _amount(piece, n)
+                sums = np.cumsum(amount)
+                totals.append(np.where(at > 0, sums - (sums[at] - amount[at]), sums + c))
+            before = part, _key(piece, within, piece.num_rows - 1), [t[-1].item() for t in totals]
+            yield pa.RecordBatch.from_arrays(
+                [*[piece.column(c) for c in kept], *[pa.array(t) for t in totals]], [*kept, *[f"{n}_upto" for n in names]]
+            )
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in kept], *[f"`{n}_upto` {types[f'_{n}']}" for n in names]])
+    return rows.mapInArrow(task, schema)
+
+
+def with_group_totals(rows: DataFrame, within: Sequence[str], amounts: Mapping[str, str]) -> DataFrame:
+    """Adds ``<name>_all``, the total of the group. Groups are broadcast if a count shows that they are few."""
+    totals = rows.groupBy(*within).agg(*[F.sum(c).alias(f"{n}_all") for n, c in amounts.items()])
+    if not within:
+        one = totals.first()  # one row
+        return rows.withColumns({f"{n}_all": F.lit(one[f"{n}_all"]) for n in amounts})
+    return rows.join(bounded(totals) or totals, list(within))
 
 
 def exact_quantiles(
@@ -101,9 +173,9 @@ def exact_quantiles(
 
     A value may come in several rows of a group; they count together.
     """
-    same = Window.partitionBy(*within, BUCKET, value)
-    ranked = running_totals(hist, within, value, {"n": "n"}).withColumn("_same", F.sum("n").over(same))
-    before = F.col("n_upto") - F.col("_same")
+    cut = ordered(hist, within, [value], {"n": F.sum("n")})
+    ranked = with_group_totals(running_totals(cut, within, {"n": "n"}), within, {"n": "n"})
+    before = F.col("n_upto") - F.col("n")
     parts, results = [], []
     for name, p in probs.items():
         position = (F.col("n_all") - 1) * F.lit(p)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.columns import labelled
 from episodica.operators.hypothesis import chi_square, kruskal
-from episodica.operators.ranks import VARIABLE, exact_quantiles, histogram, long_values, stacked, with_buckets
+from episodica.operators.ranks import VARIABLE, exact_quantiles, histogram, long_values, stacked
 
 TOTAL = "Total"
 STRATUM = "stratum"
@@ -44,7 +44,7 @@ def numeric_table(
     if approximate:
         quartiles = [F.col("quartiles")[i].alias(n) for i, n in enumerate(QUARTILES)]
         return moments.select(VARIABLE, STRATUM, "n", "missing", "mean", "sd", *quartiles)
-    hist = with_buckets(histogram(long_values(rows, variables, [STRATUM]), [VARIABLE, STRATUM]))
+    hist = histogram(long_values(rows, variables, [STRATUM]), [VARIABLE, STRATUM])
     # Each row counts for its stratum and for the total.
     both = hist.withColumn(STRATUM, F.explode(F.array(STRATUM, F.lit(TOTAL))))
     quartiles = exact_quantiles(both, [VARIABLE, STRATUM], QUARTILES)

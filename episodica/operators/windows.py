@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.columns import guarded_ratio
+from episodica.operators.ranks import PART, ordered, running_totals
 
 AGGREGATES = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum}
 
@@ -122,3 +123,18 @@ def tagged_extremes(
             F.col(f"_min_{suffix}.{tag}").alias(f"min_{suffix}_{tag}"),
         ]
     return picked.select(*out)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "row_number") -> DataFrame:
+    """Every row's number within its key, in the given order, without a filter.
+
+    Rows are numbered inside range partitions of (key, order) and shifted by what earlier partitions hold of the key, so a
+    key with very many rows spreads over all tasks; a window would sort it in one. Rows that ``order`` does not
+    tell apart are numbered as they come; a NULL key is a key. Only a filter on the first ranks is better left to a window.
+    """
+    # unknown keys get a flag of their own, as groups must be known
+    known = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    unknown = {f"_u{i}": F.col(k).isNull().cast("int") for i, k in enumerate(keys)}
+    within = [*known, *unknown]
+    cut = ordered(df.withColumns(known | unknown), within, order)
+    return running_totals(cut, within, {out: F.lit(1).cast("bigint")}).drop(PART, *within).withColumnRenamed(f"{out}_upto", out)

@@ -6,11 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions.normal import normal_quantile_sql
 from episodica.functions.pvalues import chi2_tail, normal_two_sided, t_two_sided
-from episodica.operators import hypothesis, ranks, summary, survival
+from episodica.operators import hypothesis, ranks, summary, survival, windows
 from episodica.operators.models import Design, fit_logistic
 
 
@@ -67,14 +68,114 @@ def test_kruskal_equals_brute_force(sample):
     assert row.p == pytest.approx(math.exp(-h / 2))
 
 
-def test_running_totals_with_one_hot_value(spark):
-    values = [5.0] * 400 + [float(i) for i in range(300)]
-    long = spark.createDataFrame([("v", x) for x in values], "variable string, value double")
-    hist = ranks.with_buckets(ranks.histogram(long, ["variable"]))
-    out = ranks.running_totals(hist, ["variable"], "value", {"n": "n"}).collect()
-    assert len({r._bucket for r in out}) > 8
+@pytest.fixture
+def many_parts(spark):
+    """Range partitions stay as many as asked for, however small the table."""
+    keep = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_running_totals_with_one_hot_value(spark, many_parts):
+    values = [("v", 5.0)] * 400 + [("v", float(i)) for i in range(300)] + [("w", 1.5)] * 9 + [("u", float(i % 3)) for i in range(50)]
+    long = spark.createDataFrame(values, "variable string, value double")
+    cut = ranks.ordered(ranks.histogram(long, ["variable"]), ["variable"], ["value"])
+    out = ranks.with_group_totals(ranks.running_totals(cut, ["variable"], {"n": "n", "half": F.col("n") / 2}), ["variable"], {"n": "n"}).collect()
+    assert len({r._part for r in out}) > 4 and len(out) == 304
     for r in out:
-        assert r.n_upto == sum(1 for x in values if x <= r.value) and r.n_all == len(values)
+        mine = [x for v, x in values if v == r.variable]
+        assert r.n_upto == sum(1 for x in mine if x <= r.value) == 2 * r.half_upto and r.n_all == len(mine)
+
+
+def test_running_totals_of_rows_in_order(spark, many_parts):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("aab"), rnd.randrange(10**6), i, rnd.choice([None, 1, 5])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long, id long, w long")
+    cut = ranks.ordered(df, ["k"], [F.desc("v"), "id"])
+    # totals of totals, over the same partitions
+    twice = ranks.running_totals(ranks.running_totals(cut, ["k"], {"w": "w"}), ["k"], {"both": "w_upto"})
+    got = {r.id: (r.w_upto, r.both_upto) for r in twice.collect()}
+    for k in "ab":
+        upto = both = 0
+        for _, _, i, w in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])):
+            upto += w or 0
+            both += upto
+            assert got[i] == (upto, both)
+    assert ranks.running_totals(ranks.ordered(df.limit(0), ["k"], ["v"]), ["k"], {"w": "w"}).count() == 0
+
+
+def test_number_rows_equals_a_window(spark, many_parts):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["x", "x", "x", "", None]), rnd.choice([1, None]), rnd.choice([None, 1.5, 2.5, 3.5]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, j int, v double, id long")
+    order = [F.desc_nulls_last("v"), F.asc("id")]
+    got = windows.number_rows(df, ["k", "j"], order, "n")
+    assert got.columns == [*df.columns, "n"]
+    window = df.withColumn("n", F.row_number().over(Window.partitionBy("k", "j").orderBy(*order)).cast("bigint"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, window.collect()))
+
+
+def test_quartiles_and_ranks_in_many_parts(sample, many_parts):
+    test_quartiles_equal_numpy(sample)
+    test_kruskal_equals_brute_force(sample)
+
+
+def test_kruskal_with_a_value_of_a_third_of_all_rows(spark, many_parts):
+    rows = [(g, 7.0) for g in "aabc" for _ in range(250)] + [(g, float(i)) for i in range(500) for g in "abbc"]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = hypothesis.kruskal(df, "g", ["x"])
+    plan = got._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange") <= 6
+    xs = np.array([x for _, x in rows])
+    mid = np.array([(np.sum(xs < x) + np.sum(xs <= x) + 1) / 2 for x in (0.0, *sorted(set(xs)))])
+    rank = dict(zip((0.0, *sorted(set(xs))), mid))
+    n = len(rows)
+    h = 12 / (n * (n + 1)) * sum(sum(rank[x] for k, x in rows if k == g) ** 2 / sum(1 for k, _ in rows if k == g) for g in "abc") - 3 * (n + 1)
+    _, ties = np.unique(xs, return_counts=True)
+    assert got.collect()[0].statistic == pytest.approx(h / (1 - (ties**3 - ties).sum() / (n**3 - n)))
+
+
+@pytest.mark.parametrize("k", [2, 7, 300])
+def test_log_rank_of_many_groups(spark, many_parts, monkeypatch, k):
+    monkeypatch.setattr(survival, "BLOCK", 2000)
+    rnd = random.Random(k)
+    rows = [(float(rnd.randrange(1, 60)), int(rnd.random() < 0.5), f"g{rnd.randrange(k):03d}") for _ in range(3000)]
+    rows += [(1.0, 0, "early")] * 2  # never at risk when somebody dies, unless at the first time
+    df = spark.createDataFrame(rows, "t double, d int, g string").repartition(5)
+    names = sorted({g for _, _, g in rows})
+    at = {g: i for i, g in enumerate(names)}
+    observed, expected, cov = np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names),) * 2)
+    gap, var = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
+    for t in sorted({t for t, _, _ in rows}):
+        n, dead = np.zeros(len(names)), np.zeros(len(names))
+        for u, d, g in rows:
+            n[at[g]] += u >= t
+            dead[at[g]] += u == t and d
+        observed += dead
+        total, d = n.sum(), dead.sum()
+        expected += d * n / total
+        if total > 1:
+            cov += d * (total - d) / (total - 1) / total**2 * (np.diag(n) * total - np.outer(n, n))
+        r, e = n[:, None] + n[None], dead[:, None] + dead[None]
+        gap += dead[:, None] - np.where(r > 0, e * n[:, None] / np.maximum(r, 1), 0)
+        var += np.where(r > 1, e * (r - e) / np.maximum(r - 1, 1) / np.maximum(r, 1) ** 2 * n[:, None] * n[None], 0)
+    terms = {r.group: r for r in survival.logrank_terms(df, "t", "d", "g").collect()}
+    for g in names:
+        assert (terms[g].observed, terms[g].n) == (observed[at[g]], sum(1 for r in rows if r[2] == g))
+        assert terms[g].expected == pytest.approx(expected[at[g]]) and terms[g].variance == pytest.approx(cov[at[g], at[g]])
+    test = survival.logrank_test(df, "t", "d", "g").collect()[0]
+    z = (observed - expected)[1:]
+    assert test.df == len(names) - 1 and test.statistic == pytest.approx(z @ np.linalg.solve(cov[1:, 1:], z), rel=1e-8)
+    if k < 300:
+        pairs = {(r.level_a, r.level_b): r.statistic for r in survival.pairwise_logrank(df, "t", "d", "g").collect()}
+        assert len(pairs) == len(names) * (len(names) - 1) // 2
+        for (a, b), got in pairs.items():
+            i, j = at[a], at[b]
+            assert got == pytest.approx(gap[i, j] ** 2 / var[i, j]) if var[i, j] > 0 else got is None
 
 
 def test_chi_square_with_empty_cell(spark):
