@@ -11,28 +11,34 @@ The rule is sequential, but what one stretch of scores passes to the next is
 little: how far down controls are already used, and which higher controls are
 still free. Scores are reduced to counts and cut into blocks of a fixed number
 of units, so a score shared by very many rows is spread over several blocks.
-All blocks are worked on in parallel with an assumed start; then only blocks
-whose start turned out different are repeated, until none is left. The first
-block is right at once and each round settles at least one more, so the result
-is exact whatever the data; usually a few rounds do. The driver keeps a few
-numbers per block, and a task never holds more than a few blocks' units.
+All blocks are worked on in parallel once, with an assumed start. From then on a
+round takes the first block whose start turned out different and a chain of its
+successors, one after another in one task, so that all of the chain is right
+afterwards; as long as starts prove to be foreseen rightly, twice as many later chains as
+before are repeated along with it. Results of a round are added to a store and
+never written again: the latest result of a block counts. The result is exact whatever the
+data. The driver keeps a few numbers per block, and a task never holds more than
+a chain of blocks.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.operators.ranks import ordered, repeat_rows, running_totals
+from episodica.session import ensure_checkpoint_dir
 from episodica.sources.tables import checkpointed
 
 BLOCK_UNITS = 50_000
+#: Blocks that one task settles one after another.
+CHAIN = 4
 
-_PIECES = "block bigint, role string, score double, start bigint, n bigint, pos bigint, used bigint"
 _OUTPUT = "block bigint, kind string, score double, t_start bigint, c_start bigint, n bigint, step int, pos bigint"
 
 
@@ -48,6 +54,7 @@ class _Block:
     kept_mark: int = 0
     used_to: int = -1
     seen: tuple | None = field(default=None, repr=False)
+    round: int = -1
 
 
 def _score_groups(scored: DataFrame, treatment: str, score: str) -> DataFrame:
@@ -90,79 +97,81 @@ def _pieces(groups: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
     return treated.unionByName(control), ahead
 
 
-def _run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Matches the treated units of one block from a given start.
+def _run_chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Matches the treated units of a chain of blocks from a given start of the first.
 
-    Roles: T own treated, C own controls, A controls after the block, S free
-    controls before it (pos orders them, last is nearest). ``used`` is the first
-    control rank that is still free at or after the block's own.
+    Roles: B a block, T its treated, C its controls, A controls after the chain, S free controls
+    before it (pos orders them, last is nearest). ``used`` is the first control rank that is still free at
+    or after the chain's own. Every block gets the rows it would get alone.
     """
-    block, used = int(pdf["block"].iloc[0]), int(pdf["used"].iloc[0])
+    used = int(pdf["used"].iloc[0])
     roles = {r: part for r, part in pdf.groupby("role")}
     empty = pdf.iloc[:0]
-    own = roles.get("C", empty).sort_values("start")
-    ahead = roles.get("A", empty).sort_values("start")
-    behind = roles.get("S", empty).sort_values("pos")
+    own = roles.get("C", empty)
+    controls = pd.concat([own, roles.get("A", empty)]).sort_values("start")
     below = [
         [s, max(a, used), a + n - max(a, used)]
-        for s, a, n in zip([*own.score, *ahead.score], [*own.start, *ahead.start], [*own.n, *ahead.n])
-        if a + n > used
+        for s, a, n in controls[["score", "start", "n"]].itertuples(index=False) if a + n > used
     ]
-    own_first = int(own.start.min()) if len(own) else None
-    own_end = int((own.start + own.n).max()) if len(own) else None
+    behind = roles.get("S", empty).sort_values("pos")
     above = [[s, a, n] for s, a, n in zip(behind.score, behind.start, behind.n)]
-    depth = len(above)  # entries of the incoming stack that are still there
-    here, popped, flows = 0, 0, []
-    for s, t, n in roles.get("T", empty).sort_values("start")[["score", "start", "n"]].itertuples(index=False):
-        while here < len(below) and below[here][0] > s:
+    ends = (own.start + own.n).groupby(own.block).max().to_dict()
+    treated = dict(list(roles.get("T", empty).groupby("block")))
+    rows, here = [], 0
+    for block in sorted(roles["B"].block.tolist()):
+        depth = len(above)  # entries of the incoming stack that are still there
+        popped, flows = 0, []
+        mine = treated.get(block, empty).sort_values("start")
+        for s, t, n in mine[["score", "start", "n"]].itertuples(index=False):
+            while here < len(below) and below[here][0] > s:
+                above.append(below[here])
+                here += 1
+            while n > 0:
+                low = below[here] if here < len(below) else None
+                high = above[-1] if above else None
+                if low is None and high is None:
+                    break
+                if high is None or (low is not None and s - low[0] <= high[0] - s):
+                    k = min(n, low[2])
+                    flows.append((s, t, low[1], k, 1))
+                    low[1] += k
+                    low[2] -= k
+                    here += low[2] == 0
+                else:
+                    k = min(n, high[2])
+                    high[2] -= k
+                    flows.append((s, t, high[1] + high[2] + k - 1, k, -1))
+                    if len(above) <= depth:
+                        popped += k
+                    if high[2] == 0:
+                        above.pop()
+                        depth = min(depth, len(above))
+                t += k
+                n -= k
+        # controls of the block that nobody reached are above all that follows
+        while here < len(below) and block in ends and below[here][1] < ends[block]:
             above.append(below[here])
             here += 1
-        while n > 0:
-            low = below[here] if here < len(below) else None
-            high = above[-1] if above else None
-            if low is None and high is None:
-                break
-            if high is None or (low is not None and s - low[0] <= high[0] - s):
-                k = min(n, low[2])
-                flows.append((s, t, low[1], k, 1))
-                low[1] += k
-                low[2] -= k
-                here += low[2] == 0
-            else:
-                k = min(n, high[2])
-                high[2] -= k
-                flows.append((s, t, high[1] + high[2] + k - 1, k, -1))
-                if len(above) <= depth:
-                    popped += k
-                if high[2] == 0:
-                    above.pop()
-                    depth = min(depth, len(above))
-            t += k
-            n -= k
-    free = above[depth:]
-    while here < len(below) and own_end is not None and below[here][1] < own_end:
-        free.append(below[here])
-        here += 1
-    if here < len(below):
-        next_free = below[here][1]
-    else:
-        next_free = max([used, *(b[1] + b[2] for b in below[-1:])])
-    kept = [(s, a, n) for s, a, n in free if own_first is not None]
-    positions = np.cumsum([0, *(n for _, _, n in kept)])
-    mark = int(pd.util.hash_pandas_object(pd.DataFrame(kept), index=False).sum() % (2**62)) if kept else 0
-    rows = [(block, "flow", s, t, c, k, d, 0) for s, t, c, k, d in flows]
-    rows += [(block, "free", s, 0, a, n, 0, int(p)) for (s, a, n), p in zip(kept, positions)]
-    rows.append((block, "summary", 0.0, popped, next_free, int(positions[-1]), 0, mark))
+        next_free = below[here][1] if here < len(below) else max([used, *(b[1] + b[2] for b in below[-1:])])
+        kept = above[depth:]
+        positions = np.cumsum([0, *(n for _, _, n in kept)])
+        mark = int(pd.util.hash_pandas_object(pd.DataFrame(kept), index=False).sum() % (2**62)) if kept else 0
+        rows += [(block, "flow", s, t, c, k, d, 0) for s, t, c, k, d in flows]
+        rows += [(block, "free", s, 0, a, n, 0, int(p)) for (s, a, n), p in zip(kept, positions)]
+        rows.append((block, "summary", 0.0, popped, next_free, int(positions[-1]), 0, mark))
     return pd.DataFrame(rows, columns=["block", "kind", "score", "t_start", "c_start", "n", "step", "pos"])
 
 
-def _starts(blocks: list[_Block]) -> dict[int, tuple[int, tuple]]:
-    """Start of every block from the latest results: (first free control, free runs behind)."""
+def _starts(blocks: list[_Block], needs: dict[int, int] | None = None) -> dict[int, tuple[int, tuple]]:
+    """Start of every block from the latest results: (first free control, free runs behind).
+
+    Runs behind reach as far as the block can take controls from them, or as far as ``needs`` says.
+    """
     starts, stack, used = {}, [], 0
     last = blocks[-1].end_control if blocks else 0
     for b, info in enumerate(blocks):
         used = max(used, info.first_control)
-        refs, need = [], info.treated
+        refs, need = [], needs.get(b, 0) if needs else info.treated
         for origin, left in reversed(stack):
             if need <= 0:
                 break
@@ -178,12 +187,85 @@ def _starts(blocks: list[_Block]) -> dict[int, tuple[int, tuple]]:
         if info.kept:
             stack.append((b, info.kept))
         # A block not yet run is assumed to take all its controls from below.
-        used = max(info.end_control, info.used_to if info.seen else min(last, used + info.treated))
+        used = max(info.end_control, info.used_to if info.round >= 0 else min(last, used + info.treated))
     return starts
 
 
-def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> DataFrame:
-    """Runs of matched ranks, after repeating blocks until all starts agree."""
+class _Store:
+    """Results of all rounds, each written once; the latest result of a block counts."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._path = f"{ensure_checkpoint_dir(spark)}/matching-{uuid.uuid4().hex}"
+        self.rounds = 0
+
+    def add(self, rows: DataFrame) -> list:
+        """Keeps a round and returns its summaries: one short row per block."""
+        path = f"{self._path}/round={self.rounds}"
+        rows.write.parquet(path)
+        self.rounds += 1
+        return self._spark.read.schema(_OUTPUT).parquet(path).where("kind = 'summary'").collect()
+
+    def rows(self) -> DataFrame:
+        """All that was ever written."""
+        return self._spark.read.schema(f"{_OUTPUT}, round int").parquet(self._path)
+
+    def latest(self, blocks: list[tuple], schema: str) -> DataFrame:
+        """Rows of given (block, round, ...): blocks are few, so their list is broadcast."""
+        wanted = self._spark.createDataFrame(blocks, f"block bigint, round int{schema}")
+        return self.rows().join(F.broadcast(wanted), ["block", "round"])
+
+
+def _chains(blocks: list[_Block], starts: dict, window: int) -> list[list[int]]:
+    """Blocks to repeat: the chain from the first one whose start is new, and ``window`` later chains that have such a block."""
+    new = [b for b in range(len(blocks)) if starts[b] != blocks[b].seen]
+    out: list[list[int]] = []
+    for b in new:
+        if not out or b > out[-1][-1]:
+            if len(out) > window:
+                break
+            out.append(list(range(b, min(b + CHAIN, len(blocks)))))
+    return out
+
+
+def _round(pieces: DataFrame, ahead: DataFrame, store: _Store, blocks: list[_Block], starts: dict, chains: list[list[int]], unit: int) -> DataFrame:
+    """Results of the blocks of some chains, from the starts of their first blocks."""
+    spark = pieces.sparkSession
+    total = blocks[-1].end_control
+    members, look, refs = [], [], []
+    behind = _starts(blocks, {chain[0]: sum(blocks[b].treated for b in chain) for chain in chains})
+    for chain in chains:
+        first, used = chain[0], starts[chain[0]][0]
+        members += [(b, first, used) for b in chain]
+        low = max(used, blocks[chain[-1]].end_control)
+        high = min(total, low + sum(blocks[b].treated for b in chain))
+        look += [(first, c, used, low, high) for c in range(low // unit, -(-high // unit)) if high > low]
+        refs += [(o, blocks[o].round, first, used, left) for o, left, _ in behind[first][1]]
+    members_df = F.broadcast(spark.createDataFrame(members, "block bigint, chain bigint, used bigint"))
+    nothing = F.lit(0).cast("bigint")
+    parts = pieces.join(members_df, "block").select("chain", "block", "role", "score", "start", "n", nothing.alias("pos"), "used")
+    parts = parts.unionByName(spark.createDataFrame(members, "block bigint, chain bigint, used bigint").select(
+        "chain", "block", F.lit("B").alias("role"), F.lit(0.0).alias("score"), nothing.alias("start"), nothing.alias("n"), nothing.alias("pos"), "used"))
+    if look:
+        look_df = spark.createDataFrame(look, "chain bigint, chunk bigint, used bigint, low bigint, high bigint")
+        begin, end = F.greatest("start", "low"), F.least(F.col("start") + F.col("n"), F.col("high"))
+        parts = parts.unionByName(
+            ahead.join(F.broadcast(look_df), "chunk").where(end > begin).select(
+                "chain", F.lit(-1).cast("bigint").alias("block"), F.lit("A").alias("role"), "score", begin.alias("start"),
+                (end - begin).alias("n"), nothing.alias("pos"), "used",
+            )
+        )
+    if refs:
+        free = store.latest(refs, ", chain bigint, used bigint, left bigint").where("kind = 'free' AND pos < left")
+        parts = parts.unionByName(free.select(
+            "chain", "block", F.lit("S").alias("role"), "score", F.col("c_start").alias("start"),
+            F.least(F.col("n"), F.col("left") - F.col("pos")).alias("n"), (F.col("block") * F.lit(4 * unit) + F.col("pos")).alias("pos"), "used",
+        ))
+    return parts.groupBy("chain").applyInPandas(_run_chain, _OUTPUT)
+
+
+def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> tuple[DataFrame, _Store]:
+    """Runs of matched ranks, after repeating blocks until all starts agree, and the store they are in."""
     spark = pieces.sparkSession
     is_t, is_c = F.col("role") == "T", F.col("role") == "C"
     facts = pieces.groupBy("block").agg(
@@ -197,53 +279,34 @@ def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> DataFrame:
         first = reached if row.first is None else row.first
         reached = reached if row.end is None else row.end
         blocks.append(_Block(row.treated, first, reached))
-    total = reached
-    results = None
-    while True:
-        starts = _starts(blocks)
-        todo = [b for b in range(len(blocks)) if starts[b] != blocks[b].seen]
-        if not todo:
-            return results.where("kind = 'flow'")
-        meta = [(b, starts[b][0]) for b in todo]
-        look = []
-        for b in todo:
-            low = max(starts[b][0], blocks[b].end_control)
-            high = min(total, low + blocks[b].treated)
-            look += [(b, c, starts[b][0], low, high) for c in range(low // unit, -(-high // unit)) if high > low]
-        refs = [(b, o, starts[b][0], left) for b in todo for o, left, _ in starts[b][1]]
-        meta_df = spark.createDataFrame(meta, "block bigint, used bigint")
-        parts = pieces.join(F.broadcast(meta_df), "block").select(
-            "block", "role", "score", "start", "n", F.lit(0).cast("bigint").alias("pos"), "used"
-        )
-        if look:
-            look_df = spark.createDataFrame(look, "block bigint, chunk bigint, used bigint, low bigint, high bigint")
-            begin = F.greatest("start", "low")
-            end = F.least(F.col("start") + F.col("n"), F.col("high"))
-            parts = parts.unionByName(
-                ahead.join(F.broadcast(look_df), "chunk").where(end > begin).select(
-                    "block", F.lit("A").alias("role"), "score", begin.alias("start"), (end - begin).alias("n"),
-                    F.lit(0).cast("bigint").alias("pos"), "used",
-                )
-            )
-        if refs:
-            refs_df = spark.createDataFrame(refs, "target bigint, block bigint, used bigint, left bigint")
-            free = results.where("kind = 'free'").join(F.broadcast(refs_df), "block").where("pos < left")
-            parts = parts.unionByName(free.select(
-                F.col("target").alias("block"), F.lit("S").alias("role"), "score", F.col("c_start").alias("start"),
-                F.least(F.col("n"), F.col("left") - F.col("pos")).alias("n"),
-                (F.col("block") * F.lit(4 * unit) + F.col("pos")).alias("pos"), "used",
-            ))
-        fresh = parts.groupBy("block").applyInPandas(_run_block, _OUTPUT)
-        if results is not None:
-            done = spark.createDataFrame([(b,) for b in todo], "block bigint")
-            fresh = fresh.unionByName(results.join(F.broadcast(done), "block", "left_anti"))
-        results = checkpointed(fresh)
-        wanted = set(todo)
-        for row in results.where("kind = 'summary'").collect():  # one short row per block
-            if row.block in wanted:
-                info = blocks[row.block]
-                info.popped, info.used_to, info.kept, info.kept_mark = row.t_start, row.c_start, row.n, row.pos
-                info.seen = starts[row.block]
+    store, window = _Store(spark), 0
+    starts = _starts(blocks)
+    chains = [[b] for b in range(len(blocks))]
+    while chains:
+        for row in store.add(_round(pieces, ahead, store, blocks, starts, chains, unit)):
+            info = blocks[row.block]
+            info.popped, info.used_to, info.kept, info.kept_mark = row.t_start, row.c_start, row.n, row.pos
+            info.round = store.rounds - 1
+        after = _right_starts(blocks, starts, chains)
+        if store.rounds > 1:
+            # was the start of the block behind the first chain foreseen?
+            beyond = chains[0][-1] + 1
+            window = max(1, 2 * window) if beyond < len(blocks) and after[beyond] == starts[beyond] else 0
+        starts, chains = after, _chains(blocks, after, window)
+    if not blocks:
+        return spark.createDataFrame([], f"{_OUTPUT}, round int"), store
+    return store.latest([(b, info.round) for b, info in enumerate(blocks)], "").where("kind = 'flow'"), store
+
+
+def _right_starts(blocks: list[_Block], starts: dict, chains: list[list[int]]) -> dict[int, tuple[int, tuple]]:
+    """The starts after a round. Blocks of a chain ran from each other's results, so if the first one's start was right, so were theirs."""
+    for chain in chains:
+        blocks[chain[0]].seen = starts[chain[0]]
+    after = _starts(blocks)
+    for chain in chains:
+        for b in chain[1:]:
+            blocks[b].seen = after[b] if after[chain[0]] == starts[chain[0]] else None
+    return after
 
 
 def _ranked_rows(scored: DataFrame, id_col: str, treatment: str, score: str) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +351,7 @@ def match_nearest(
     """
     groups = checkpointed(_score_groups(scored, treatment, score))
     pieces, ahead = (checkpointed(df) for df in _pieces(groups, block_units))
-    flows = _flows(pieces, ahead, block_units)
+    flows, _ = _flows(pieces, ahead, block_units)
     units = repeat_rows(flows, "n", "i", ["t_start"]).select(
         (F.col("t_start") + F.col("i")).alias("rank"), (F.col("c_start") + F.col("step") * F.col("i")).alias("c_rank")
     )

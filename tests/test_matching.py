@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from episodica.operators import matching
 from episodica.operators.matching import match_nearest, matched_rows
+from episodica.sources.tables import checkpointed
 
 
 def sequential(rows):
@@ -69,3 +71,34 @@ def test_matched_rows(spark):
     df = spark.createDataFrame([(1, 1, 0.5), (2, 0, 0.4), (3, 0, 0.9)], "id bigint, t int, distance double")
     out = {r.id: (r.pair, r.weights) for r in matched_rows(df, match_nearest(df, "id", "t"), "id").collect()}
     assert out == {1: (1, 1.0), 2: (1, 1.0)}
+
+
+def store_of(spark, rows, unit):
+    df = spark.createDataFrame(rows, "id bigint, t int, distance double")
+    groups = checkpointed(matching._score_groups(df, "t", "distance"))
+    pieces, ahead = (checkpointed(x) for x in matching._pieces(groups, unit))
+    return matching._flows(pieces, ahead, unit)
+
+
+def test_rounds_write_little_more_than_the_result(spark):
+    # every block takes from what the blocks before left, so no start is foreseen
+    rnd = random.Random(7)
+    rows = [(i, int(rnd.random() < 0.5 + 0.2 * ((i // 40) % 2) - 0.1), 10_000.0 - i + rnd.random()) for i in range(1200)]
+    flows, store = store_of(spark, rows, 40)
+    blocks = 30
+    written = store.rows()
+    assert written.where("kind = 'summary'").select("block").distinct().count() == blocks
+    latest = store.latest([(r["block"], r["m"]) for r in written.groupBy("block").agg({"round": "max"}).toDF("block", "m").collect()], "")
+    assert written.count() <= 2 * latest.count()
+    assert written.where("round > 0 AND kind = 'summary'").groupBy("block").count().where("count > 1").isEmpty()
+    assert store.rounds <= 1 + -(-blocks // matching.CHAIN)
+    assert {r.treated_id: r.control_id for r in match_nearest(
+        spark.createDataFrame(rows, "id bigint, t int, distance double"), "id", "t", block_units=40).collect()} == sequential(rows)
+
+
+def test_foreseen_starts_widen_the_round(spark):
+    # as many controls as treated in every stretch: what a block leaves hardly matters to the next but one
+    rnd = random.Random(2)
+    rows = [(i, i % 2, float(10_000 - 10 * (i // 2)) + (0.5 if i % 2 else rnd.random() * 0.1)) for i in range(1600)]
+    flows, store = store_of(spark, rows, 20)
+    assert store.rounds < 1 + 80 // matching.CHAIN
