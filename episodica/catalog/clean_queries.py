@@ -216,6 +216,15 @@ def csv_import(s: Sample) -> DataFrame:
     return read_csv(s.spark, path, rows.schema)
 
 
+@register("csv_inferred", STAGE_SQL)
+def csv_inferred(s: Sample) -> DataFrame:
+    rows, path = _stage(s), _stage_path(s, "csv-inferred")
+    emit(rows, path, "csv")
+    found = read_csv(s.spark, path)
+    # the narrowest types that hold all values, read as the stage has them
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+
+
 @register("dataset_checkpoint", STAGE_SQL)
 def dataset_checkpoint(s: Sample) -> DataFrame:
     return write_dataset(_stage(s), _stage_path(s, "stage"))

@@ -22,6 +22,7 @@ from episodica.operators.rules import (
     event_flags,
     event_flags_by_dictionary,
     exclude_flagged,
+    Source,
     exposure_flags,
     flags_for_all,
 )
@@ -389,8 +390,8 @@ def left_join_on_filter(s: Sample) -> DataFrame:
 """)
 def exposure_flag(s: Sample) -> DataFrame:
     rows = observations(s)
-    drug = in_window(rows, "day", (-60, 300)).where("quantity >= 45")
-    code = rows.where("price > 90000")
+    drug = Source(rows, F.col("day").between(-60, 300) & (F.col("quantity") >= 45))
+    code = Source(rows, F.col("price") > 90000)
     base = s.table("orders").select(F.col("o_orderkey").alias("stay"))
     return exposure_flags(base, "stay", {"exposed": [drug, code], "cooled": [code]})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -138,23 +138,50 @@ def flags_for_all(base: DataFrame, flags: DataFrame, key: str, names: Sequence[s
     )
 
 
+@dataclass(frozen=True)
+class Source:
+    """Events of a table that mean an exposure. Sources of one frame share its scan."""
+
+    frame: DataFrame
+    condition: Column | None = None
+
+
 def exposure_flags(
-    base: DataFrame, key: str, exposures: dict[str, Sequence[DataFrame]]
+    base: DataFrame, key: str, exposures: Mapping[str, Sequence[Source | DataFrame]]
 ) -> DataFrame:
     """One 0/1 column per exposure: does any source hold an event of the key?
 
-    Each source is a frame of qualifying events. They are stacked with a tag and
-    aggregated once, so several sources never multiply each other's rows.
+    A source is a frame of qualifying events, or a frame with a condition. Every frame is read once: an event carries all
+    exposures that it means as bits, events without any are dropped at the scan, and the bits of
+    all frames are merged in one aggregation, so several sources never multiply each other's rows.
     """
-    tagged = None
-    for name, sources in exposures.items():
+    names = list(exposures)
+    scans: dict[int, tuple[DataFrame, dict[int, list[Column]]]] = {}
+    for bit, sources in enumerate(exposures.values()):
         for source in sources:
-            part = source.select(key, F.lit(name).alias("_exposure"))
-            tagged = part if tagged is None else tagged.unionByName(part)
-    flags = tagged.groupBy(key).agg(
-        *[F.max(F.when(F.col("_exposure") == n, 1).otherwise(0)).alias(n) for n in exposures]
-    )
-    return flags_for_all(base, flags, key, list(exposures))
+            source = source if isinstance(source, Source) else Source(source)
+            _, tests = scans.setdefault(id(source.frame), (source.frame, {}))
+            tests.setdefault(bit, []).append(F.lit(True) if source.condition is None else F.coalesce(source.condition, F.lit(False)))
+    masks = range(0, len(names), BITS)
+    stacked = None
+    for frame, tests in scans.values():
+        hits = {bit: any_of(found) for bit, found in tests.items()}
+        bits = [
+            _or_all([F.when(hit, F.lit(1 << (bit - first))).otherwise(F.lit(0)).cast("bigint") for bit, hit in hits.items() if first <= bit < first + BITS])
+            .alias(f"_mask{first // BITS}") for first in masks
+        ]
+        part = frame.where(any_of(list(hits.values()))).select(key, *bits)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    merged = stacked.groupBy(key).agg(*[F.bit_or(f"_mask{m // BITS}").alias(f"_mask{m // BITS}") for m in masks])
+    flags = merged.select(key, *[mask_flag(f"_mask{i // BITS}", i % BITS).alias(n) for i, n in enumerate(names)])
+    return flags_for_all(base, flags, key, names)
+
+
+def _or_all(masks: Sequence[Column]) -> Column:
+    out = F.lit(0).cast("bigint")
+    for m in masks:
+        out = out.bitwiseOR(m)
+    return out
 
 
 def exclude_flagged(base: DataFrame, flagged: DataFrame, key: str) -> DataFrame:

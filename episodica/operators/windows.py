@@ -125,6 +125,34 @@ def tagged_extremes(
     return picked.select(*out)
 
 
+def tag_choices(mapping: DataFrame, name: str, tag: str, subsets: Mapping[str, Column | None]) -> DataFrame:
+    """One row per ``name`` of a mapping: for each subset of tags its first and last tag, and whether it has any.
+
+    A name mapped to several tags would repeat rows in a join; here it keeps one. An unknown tag comes before all others.
+    """
+    aggs = []
+    for suffix, condition in subsets.items():
+        inside = F.lit(True) if condition is None else condition
+        unknown = F.count_if(inside & F.col(tag).isNull()) > 0
+        aggs += [
+            (F.count_if(inside) > 0).alias(f"_in_{suffix}"), F.max(F.when(inside, F.col(tag))).alias(f"_last_{suffix}"),
+            F.when(~unknown, F.min(F.when(inside, F.col(tag)))).alias(f"_first_{suffix}"),
+        ]
+    return mapping.where(F.col(name).isNotNull()).groupBy(name).agg(*aggs)
+
+
+def merged_extremes(value: str, tag: str, subsets: Sequence[str]) -> list[Column]:
+    """Aggregates of the second level: from states with ``<value>_hi``, ``<value>_lo`` and ``tag_choices`` to the columns of ``tagged_extremes``."""
+    out = []
+    for s in subsets:
+        for how, side, choice in ((F.max, "hi", "last"), (F.min, "lo", "first")):
+            known = F.coalesce(F.col(f"_in_{s}"), F.lit(False)) & F.col(f"{value}_{side}").isNotNull()
+            best = how(F.when(known, F.struct(F.col(f"{value}_{side}").alias("v"), F.col(f"_{choice}_{s}").alias("t"))))
+            name = f"{'max' if side == 'hi' else 'min'}_{s}"
+            out += [best["v"].alias(name), best["t"].alias(f"{name}_{tag}")]
+    return out
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "row_number") -> DataFrame:
     """Every row's number within its key, in the given order, without a filter.
 

@@ -1,8 +1,8 @@
 """The ICU cohort: one 84-column record per person.
 
-Every source table is read once (vital signs twice: for the signs and for the
-sited temperatures) and reduced to one row per stay before any join, and all per-stay frames are partitioned by the stay key. First stays are
-chosen on narrow rows before the wide joins, so those carry selected stays only.
+Every source table is read once and reduced to one row per stay before any join, and all per-stay frames are partitioned by the stay key.
+Vital signs are first reduced to partial states per stay and temperature site, which get their sites from the mapping and are merged by
+stay. First stays are chosen on narrow rows before the wide joins, so those carry selected stays only.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ from episodica.operators.windows import (
     extreme_ratio,
     in_window,
     merge_series,
+    merged_extremes,
     pivot_extremes,
     ratio_of_extremes,
     summarise_window,
+    tag_choices,
     tagged_extremes,
 )
 from episodica.plans import code_lists as fixed
@@ -300,6 +302,43 @@ def _temperature_columns() -> list[Column]:
     return out
 
 
+def vital_record(t: Tables, faithful: bool = True) -> DataFrame:
+    """Day-1 vital signs and sited temperatures of every stay with a mapped day-1 temperature, from one read of the vital signs.
+
+    Same columns as ``vital_summary`` and ``temperature_extremes``. The first level has a row of sums, counts and extremes
+    per stay and site; only these rows meet the mapping.
+    """
+    day1 = F.col("chartoffset").between(*DAY_1)
+    invasive = F.col("ibp_mean") if faithful else F.when(day1, F.col("ibp_mean"))
+    cuff = F.when(day1, F.col("nibp_mean"))
+    used = day1 | F.col("ibp_mean").isNotNull() if faithful else day1
+    states, merged = [], []
+    for name, (how, column) in VITAL_OUTPUTS.items():
+        value = F.when(day1, F.col(column))
+        if how == "avg":
+            states += [F.sum(value).alias(f"_{name}_s"), F.count(value).alias(f"_{name}_n")]
+            merged.append((F.sum(f"_{name}_s") / F.nullif(F.sum(f"_{name}_n"), F.lit(0))).alias(name))
+        else:
+            states.append(AGGREGATES[how](value).alias(f"_{name}"))
+            merged.append(AGGREGATES[how](f"_{name}").alias(name))
+    temperature = F.when(day1, F.col("temperature"))
+    states += [
+        F.min(F.least(invasive, cuff)).alias("_low"), F.sum(invasive).alias("_ibp"), F.sum(cuff).alias("_nibp"),
+        (F.count(invasive) + F.count(cuff)).alias("_pressures"), F.max(temperature).alias("temp_hi"), F.min(temperature).alias("temp_lo"),
+    ]
+    pressure = F.coalesce(F.sum("_ibp"), F.lit(0.0)) + F.coalesce(F.sum("_nibp"), F.lit(0.0))
+    merged += [F.min("_low").alias("MAP_min"), (pressure / F.nullif(F.sum("_pressures"), F.lit(0))).alias("MAP_avg")]
+
+    core = F.coalesce(F.col("tempsite_flag").isin(*fixed.CORE_SITES), F.lit(False))
+    subsets = {"all": None, "peri": ~core, "core": core}
+    sites = tag_choices(t["tempsite"], "temperaturelocation", "tempsite_flag", subsets)
+    by_site = t["pivoted_vital"].where(used).groupBy(STAY, "temperaturelocation").agg(*states)
+    placed = by_site.join(bounded(sites) or sites, "temperaturelocation", "left")
+    record = placed.groupBy(STAY).agg(*merged, *merged_extremes("temp", "tempsite_flag", list(subsets)))
+    signs = [*VITAL_OUTPUTS, "MAP_min", "MAP_avg"]
+    return record.where("max_all IS NOT NULL").select(STAY, *signs, *_temperature_columns())
+
+
 def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> DataFrame:
     """The 84-column record of every eligible stay, or of first stays only.
 
@@ -308,7 +347,7 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     """
     patient = t["patient"]
     eligible = (
-        patient.join(temperature_extremes(t), STAY).join(diagnosed(t), STAY, "left")
+        patient.join(vital_record(t, faithful), STAY).join(diagnosed(t), STAY, "left")
         .where(_either("exclusion_flag") == 0).drop("exclusion_flag")
     )
     order = ["patienthealthsystemstayid", STAY, "unitvisitnumber"]
@@ -322,7 +361,7 @@ def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> Data
     out = numbered.join(hospitals(t), "hospitalid", "left")
     for frame in (
         one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t, faithful), cooling_care(t, faithful),
-        lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t), vital_summary(t, faithful),
+        lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t),
     ):
         out = out.join(frame, STAY, "left")
     out = out.withColumn("sofa", F.when(F.col("infected") == 1, F.col("_sofa")))

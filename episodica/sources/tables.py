@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from episodica.session import ensure_checkpoint_dir
 
@@ -69,12 +69,47 @@ def load_sample(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan(spark, f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """CSV with header and a stated schema. ``NA`` reads as NULL; a blank is empty in a text column and NULL in others."""
-    raw = spark.read.csv(path, header=True, schema=schema)
+#: What the text of a value must look like to be of a type, from the narrowest type to the widest; all else is text.
+_TYPES = {
+    "boolean": r"^(?:TRUE|FALSE|True|False|true|false)$",
+    "bigint": r"^[+-]?[0-9]+$",
+    "double": r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$",
+}
+_SPARK_TYPES: dict[str, DataType] = {"boolean": BooleanType(), "bigint": LongType(), "double": DoubleType(), "string": StringType()}
+UNKNOWN = "NA"
+
+
+def infer_schema(spark: SparkSession, path: str) -> StructType:
+    """Types of a CSV file with header, from all of its values in one aggregation.
+
+    A column is of the narrowest type that all its known values fit: logical, integer (if all fit a long), number or text. ``NA`` and blanks
+    fit every type; a column without any known value is a number.
+    """
+    names = spark.read.csv(path, header=True, inferSchema=False).columns
+    raw = spark.read.csv(path, header=True, schema=StructType([StructField(n, StringType()) for n in names]))
+    tests = []
+    for i, n in enumerate(names):
+        known = F.when((F.col(f"`{n}`") != "") & (F.col(f"`{n}`") != UNKNOWN), F.col(f"`{n}`"))
+        # a long is wider than its text tells: too many digits are numbers
+        fits = {t: known.rlike(pattern) for t, pattern in _TYPES.items()}
+        fits["bigint"] = fits["bigint"] & known.try_cast("bigint").isNotNull()
+        tests += [F.count(known).alias(f"{i}_n"), *[F.count_if(fit).alias(f"{i}_{t}") for t, fit in fits.items()]]
+    seen = raw.agg(*tests).first()  # four numbers for each column
+
+    def narrowest(i: int) -> str:
+        if not seen[f"{i}_n"]:
+            return "double"
+        return next((t for t in _TYPES if seen[f"{i}_{t}"] == seen[f"{i}_n"]), "string")
+
+    return StructType([StructField(n, _SPARK_TYPES[narrowest(i)]) for i, n in enumerate(names)])
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """CSV with header; types are stated, or inferred from all rows. ``NA`` reads as NULL; a blank is empty in a text column and NULL in others."""
+    raw = spark.read.csv(path, header=True, schema=schema if schema is not None else infer_schema(spark, path))
     texts = {f.name for f in raw.schema.fields if f.dataType.typeName() == "string"}
     return raw.select(*[
-        F.nullif(F.coalesce(f"`{c}`", F.lit("")), F.lit("NA")).alias(c) if c in texts else F.col(f"`{c}`") for c in raw.columns
+        F.nullif(F.coalesce(f"`{c}`", F.lit("")), F.lit(UNKNOWN)).alias(c) if c in texts else F.col(f"`{c}`") for c in raw.columns
     ])
 
 

@@ -1,5 +1,7 @@
 """Hand-made rows for the rules of the cohort that are easy to get wrong."""
 
+import random
+
 import pytest
 
 from episodica.operators.clean import adult_first_visits, clean
@@ -174,3 +176,25 @@ def test_cleaning(spark):
     assert (rows[1].age_trans, rows[1].gender_trans, round(rows[1].BMI, 4)) == (91.5, "Male", 24.2215)
     assert [rows[i].T_class for i in (1, 4, 5, 7)] == ["< 36", "36 ~ 37.1", "38.3 ~ 38.9", ">= 39"]
     assert set(by_stay(adult_first_visits(clean(plan.assemble(t))))) == {1, 5}
+
+
+@pytest.mark.parametrize("faithful", [True, False])
+def test_vitals_in_two_levels_equal_two_passes(spark, faithful):
+    rnd = random.Random(11)
+    maybe = lambda lo, hi: None if rnd.random() < 0.3 else float(rnd.randrange(lo, hi))
+    rows = [
+        (rnd.randrange(25), rnd.randrange(-300, 3000), maybe(40, 150), maybe(8, 40), maybe(70, 100), maybe(40, 110), maybe(40, 110), maybe(34, 42),
+         rnd.choice(["axillary", "rectal", "oral", "twice", "unknown", "unlisted", None]))
+        for _ in range(900)
+    ]
+    sites = [("axillary", "Axillary"), ("rectal", "Core"), ("oral", "Oral"), ("twice", "Bladder"), ("twice", "Oral"), ("twice", None), ("unknown", None), (None, "Core")]
+    t = {
+        "pivoted_vital": spark.createDataFrame(rows, CLINICAL_SCHEMAS["pivoted_vital"]),
+        "tempsite": spark.createDataFrame(sites, CLINICAL_SCHEMAS["tempsite"]),
+    }
+    once = plan.vital_record(t, faithful)
+    twice = plan.temperature_extremes(t).join(plan.vital_summary(t, faithful), plan.STAY)
+    assert set(once.columns) == set(twice.columns) and once.count() > 20
+    columns = sorted(once.columns)
+    close = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert close(once.select(columns).collect()) == close(twice.select(columns).collect())

@@ -3,10 +3,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from episodica.catalog.ward import ACETAMINOPHEN_SQL, NSAID_SQL
 from episodica.functions.pvalues import chi2_tail, t_two_sided
-from episodica.operators.rules import CodeRule, event_flags, event_flags_by_dictionary
+from episodica.operators.rules import CodeRule, Source, event_flags, event_flags_by_dictionary, exposure_flags
 from episodica.operators.summary import categorical_table
 from episodica.plans import code_lists as fixed
 from episodica.plans import cohort as plan
@@ -81,3 +82,41 @@ def test_every_level_in_every_stratum(spark):
     got = {(r.stratum, r.level): (r.n, r.pct, r.missing) for r in table.collect()}
     assert got == {("a", "x"): (1, 100.0, 1), ("a", "y"): (0, 0.0, 1), ("b", "x"): (0, None, 2), ("b", "y"): (0, None, 2),
                    ("c", "x"): (0, 0.0, 0), ("c", "y"): (1, 100.0, 0), ("Total", "x"): (1, 50.0, 3), ("Total", "y"): (1, 50.0, 3)}
+
+
+def test_exposures_of_one_table_share_its_scan(spark, tmp_path):
+    spark.createDataFrame([(k % 7, k, "x" if k % 3 else None) for k in range(60)], "stay long, v long, c string").write.parquet(f"{tmp_path}/e")
+    spark.createDataFrame([(1, 0), (3, 1), (None, 1)], "stay long, v long").write.parquet(f"{tmp_path}/o")
+    events, other = spark.read.parquet(f"{tmp_path}/e"), spark.read.parquet(f"{tmp_path}/o")
+    base = spark.createDataFrame([(k,) for k in range(9)], "stay long")
+    asked = {f"f{i}": [Source(events, F.col("v") == i)] for i in range(70)}
+    asked |= {"c": [Source(events, (F.col("c") == "x") & (F.col("v") > 50)), other.where("v = 1")], "all": [events]}
+    found = exposure_flags(base, "stay", asked)
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan parquet") == 2
+    rows = {r["stay"]: r for r in found.collect()}
+    for k in range(9):
+        for i in range(70):
+            assert rows[k][f"f{i}"] == (i < 60 and i % 7 == k)
+        assert rows[k]["c"] == (k == 3 or any(v % 7 == k and v % 3 for v in range(51, 60))) and rows[k]["all"] == (k < 7)
+
+
+def test_types_are_inferred_from_all_rows(spark, tmp_path):
+    lines = ["id,whole,real,late,mixed,flag,empty,quoted"]
+    lines += [f"{i},{'NA' if i % 5 == 0 else i * 10**9},{i}.5e-1,{i},{'' if i % 3 else i},TRUE,NA,\"a,{i}\"" for i in range(400)]
+    lines += ["400,7,,late text,1.25,FALSE,,\"\"", "401,-3,NA,,NA,NA,,NA"]
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    found = read_csv(spark, str(tmp_path / "x.csv"))
+    assert dict(found.dtypes) == {
+        "id": "bigint", "whole": "bigint", "real": "double", "late": "string", "mixed": "double", "flag": "boolean", "empty": "double", "quoted": "string"}
+    stated = read_csv(spark, str(tmp_path / "x.csv"), found.schema)
+    assert sorted(map(str, found.collect())) == sorted(map(str, stated.collect()))
+    last = found.where("id = 401").first()
+    assert (last.whole, last.real, last.late, last.mixed, last.flag, last.empty, last.quoted) == (-3, None, "", None, None, None, None)
+    assert found.where("id = 400").first().late == "late text"
+
+
+def test_numbers_too_long_for_a_long_are_doubles(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b,c,d\n9223372036854775807,99999999999999999999,1_000,+5\n1,2,3,4.\n")
+    assert dict(read_csv(spark, str(tmp_path / "x.csv")).dtypes) == {"a": "bigint", "b": "double", "c": "string", "d": "double"}
+    (tmp_path / "y.csv").write_text("a,b\n")
+    assert dict(read_csv(spark, str(tmp_path / "y.csv")).dtypes) == {"a": "double", "b": "double"}
