@@ -6,6 +6,7 @@ from episodica.catalog import (  # noqa: F401
     model_queries,
     stats_queries,
     study_queries,
+    study_tables,
     ward,
 )
 from episodica.catalog.registry import BUILDERS, ORACLES

@@ -97,6 +97,17 @@ def logit_adjusted(s: Sample) -> DataFrame:
     return rounded(fit.coefficients().select("term", "estimate", "std_error"), "estimate", "std_error")
 
 
+@register("logit_statistics", newton_sql("outcome") + f"""
+    , m AS (SELECT x.outcome AS y, 1 / (1 + exp(-(b0 + b1 * cost + b2 * visits))) AS m FROM ({CASES_SQL}) x, fit),
+    g AS (SELECT count(*) AS n, -2 * sum(CASE WHEN y = 1 THEN ln(m) ELSE ln(1 - m) END) AS deviance, CAST(sum(y) AS DOUBLE) AS yes FROM m)
+    SELECT n, round(deviance, 4) AS deviance, round(-2 * (yes * ln(yes / n) + (n - yes) * ln((n - yes) / n)), 4) AS null_deviance,
+           n - 3 AS df_residual, n - 1 AS df_null, round(deviance + 6, 4) AS aic FROM g
+""")
+def logit_statistics(s: Sample) -> DataFrame:
+    fit = fit_logistic(_cases(s), "outcome", Design(numeric=("cost", "visits")))
+    return rounded(fit.statistics(_cases(s), "outcome"), "deviance", "null_deviance", "aic", digits=4)
+
+
 def _scored(s: Sample) -> DataFrame:
     return propensity_score(_cases(s), "treated", Design(numeric=("cost", "visits")), collapse=False)
 

@@ -304,6 +304,38 @@ def logrank_test(s: Sample) -> DataFrame:
     return rounded(survival.logrank_test(rows, "days", "outcome", "grp", ["early", "late"]), "statistic", "p")
 
 
-@register("logrank_all_groups")
+def logrank_sql(base: str, groups: int) -> str:
+    """CTEs of the test over at most ``groups`` groups of a frame with grp, days and outcome, and the test as its last, q.
+
+    The quadratic form is what elimination of the covariances leaves of a matrix that has the gaps as its last row and column.
+    """
+    at_risk = AT_RISK_SQL.replace(FOLLOW_UP_SQL, base)
+    steps = ", ".join(
+        f"m{k} AS MATERIALIZED (SELECT m.i, m.j, m.v - coalesce(r.v * c.v / p.v, 0) AS v FROM m{k - 1} m LEFT JOIN m{k - 1} r ON r.i = {k} AND r.j = m.j "
+        f"LEFT JOIN m{k - 1} c ON c.j = {k} AND c.i = m.i LEFT JOIN m{k - 1} p ON p.i = {k} AND p.j = {k} WHERE m.i > {k} AND m.j > {k})"
+        for k in range(1, groups)
+    )
+    return f"""
+    a AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY grp) AS i FROM ({at_risk})),
+    b AS (SELECT *, sum(n_g) OVER (PARTITION BY days) AS n, sum(d_g) OVER (PARTITION BY days) AS d FROM a),
+    gap AS (SELECT i, sum(d_g - d * n_g / n) AS z FROM b GROUP BY 1),
+    cov AS (SELECT x.i, y.i AS j, sum(CASE WHEN x.n > 1 THEN x.d * (x.n - x.d) / (x.n - 1) / (x.n * x.n)
+                                      * (CASE WHEN x.i = y.i THEN x.n_g * (x.n - x.n_g) ELSE -x.n_g * y.n_g END) ELSE 0 END) AS v
+            FROM b x JOIN b y ON x.days = y.days GROUP BY 1, 2),
+    k AS (SELECT max(i) AS k FROM gap),
+    m0 AS MATERIALIZED (SELECT i, j, v FROM cov, k WHERE i < k AND j < k UNION ALL SELECT i, {groups}, z FROM gap, k WHERE i < k
+           UNION ALL SELECT {groups}, i, z FROM gap, k WHERE i < k UNION ALL SELECT {groups}, {groups}, 0.0),
+    {steps},
+    q AS (SELECT -v AS statistic, k - 1 AS df FROM m{groups - 1}, k)
+    """
+
+
+def logrank_all_sql(base: str = FOLLOW_UP_SQL, groups: int = 5) -> str:
+    return logrank_sql(base, groups) + f"""
+    SELECT round(statistic, 6) AS statistic, CAST(df AS INTEGER) AS df, round({chi2_tail_sql('statistic', 'df')}, 6) AS p FROM q
+    """
+
+
+@register("logrank_all_groups", "WITH " + logrank_all_sql())
 def logrank_all_groups(s: Sample) -> DataFrame:
     return rounded(survival.logrank_test(follow_up(s), "days", "outcome", "grp", GROUPS), "statistic", "p")

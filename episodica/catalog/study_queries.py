@@ -12,6 +12,7 @@ from episodica.catalog.stats_queries import (
     chi_square_sql,
     km_sql,
     kruskal_sql,
+    logrank_all_sql,
     logrank_pairs_sql,
     numeric_sql,
     pairwise_chisq_sql,
@@ -54,11 +55,22 @@ FRAMES_SQL = records_sql() + f", everyone AS MATERIALIZED ({BMI_SQL} FROM ({CLEA
 EXACT = [c for c in FRAME if c not in ("BMI", "hosp_los_days")]
 
 
+_built: dict[tuple[str, str], study.Frames] = {}
+
+
+def _frames(s: Sample) -> study.Frames:
+    """The analysis frames, built once for a session and a folder of sample tables: their records are kept by a checkpoint."""
+    key = s.spark.sparkContext.applicationId, s.sf_dir
+    if key not in _built:
+        _built[key] = study.frames(ward_tables(s))
+    return _built[key]
+
+
 @register("study_frame", FRAMES_SQL + f"""
     SELECT {', '.join(EXACT)}, round(BMI, 6) AS BMI, round(hosp_los_days, 6) AS hosp_los_days FROM everyone
 """)
 def study_frame(s: Sample) -> DataFrame:
-    everyone = study.frames(ward_tables(s)).everyone
+    everyone = _frames(s).everyone
     return rounded(everyone.select(*FRAME), "BMI", "hosp_los_days")
 
 
@@ -69,14 +81,14 @@ TABLE_VARIABLES = ("age_trans", "BMI", "apache_iv", "HR_max", "T_max", "WBC_max"
     numeric_sql(v, "everyone", "sepsis_flag") for v in TABLE_VARIABLES
 ))
 def study_table_1(s: Sample) -> DataFrame:
-    everyone = study.frames(ward_tables(s)).everyone
+    everyone = _frames(s).everyone
     out = summary.numeric_table(everyone, "sepsis_flag", TABLE_VARIABLES)
     return rounded(out, "mean", "sd", "q1", "median", "q3", digits=4)
 
 
 @register("study_table_1_tests")
 def study_table_1_tests(s: Sample) -> DataFrame:
-    numeric, categorical = study.table_1(study.frames(ward_tables(s)))
+    numeric, categorical = study.table_1(_frames(s))
     columns = ["label", "stratum", "statistic", "df", "p"]
     out = numeric.select(F.lit("").alias("level"), *columns).unionByName(categorical.select("level", *columns))
     return rounded(out, "statistic", "p")
@@ -89,7 +101,7 @@ SEPSIS_SQL = "(SELECT * FROM everyone WHERE sepsis_flag = 1)"
     f"({kruskal_sql(v, SEPSIS_SQL, 'T_class')})" for v in ("age_trans", "apache_iv", "HR_max", "icu_los_hours")
 ))
 def study_table_2_kruskal(s: Sample) -> DataFrame:
-    sepsis = study.frames(ward_tables(s)).sepsis
+    sepsis = _frames(s).sepsis
     out = hypothesis.kruskal(sepsis, "T_class", ["age_trans", "apache_iv", "HR_max", "icu_los_hours"])
     return rounded(out, "statistic", "p")
 
@@ -103,7 +115,7 @@ REGION_SQL = """SELECT CASE race WHEN 'Hispanic' THEN 'Yes-Region' ELSE 'Non-Reg
            CAST(total AS BIGINT) AS total, round({chi2_tail_sql('corrected', '1')}, 6) AS p FROM s
 """)
 def study_region_test(s: Sample) -> DataFrame:
-    return rounded(study.region_test(study.frames(ward_tables(s))), "statistic", "p")
+    return rounded(study.region_test(_frames(s)), "statistic", "p")
 
 
 @register("study_survival", FRAMES_SQL + km_sql("""
@@ -111,7 +123,7 @@ def study_region_test(s: Sample) -> DataFrame:
     WHERE sepsis_flag = 0 AND hosp_mortality IS NOT NULL
 """))
 def study_survival(s: Sample) -> DataFrame:
-    return rounded(study.survival_curves(study.frames(ward_tables(s)).nonsepsis), "survival_pct")
+    return rounded(study.survival_curves(_frames(s).nonsepsis), "survival_pct")
 
 
 SEPSIS_FOLLOW_UP = """
@@ -122,14 +134,14 @@ SEPSIS_FOLLOW_UP = """
 
 @register("study_survival_pairs", FRAMES_SQL + "," + logrank_pairs_sql(SEPSIS_FOLLOW_UP) + ADJUSTED_PAIRS_SQL)
 def study_survival_pairs(s: Sample) -> DataFrame:
-    out = study.survival_pairs(study.frames(ward_tables(s)).sepsis).where("statistic IS NOT NULL")
+    out = study.survival_pairs(_frames(s).sepsis).where("statistic IS NOT NULL")
     ordered = {"level_a": F.least("level_a", "level_b"), "level_b": F.greatest("level_a", "level_b")}
     return rounded(out.withColumns(ordered), "statistic", "p", "p_adjusted")
 
 
-@register("study_survival_test")
+@register("study_survival_test", FRAMES_SQL + "," + logrank_all_sql(f"({SEPSIS_FOLLOW_UP})", 5))
 def study_survival_test(s: Sample) -> DataFrame:
-    return rounded(study.survival_test(study.frames(ward_tables(s)).sepsis), "statistic", "p")
+    return rounded(study.survival_test(_frames(s).sepsis), "statistic", "p")
 
 
 NONSEPSIS_SQL = "SELECT * FROM everyone WHERE sepsis_flag = 0"
@@ -137,24 +149,24 @@ NONSEPSIS_SQL = "SELECT * FROM everyone WHERE sepsis_flag = 0"
 
 @register("study_stay_length_pairs", FRAMES_SQL + "," + pairwise_t_sql(NONSEPSIS_SQL, "icu_los_hours", "T_class"))
 def study_stay_length_pairs(s: Sample) -> DataFrame:
-    out = study.stay_length_pairs(study.frames(ward_tables(s)).nonsepsis)
+    out = study.stay_length_pairs(_frames(s).nonsepsis)
     return rounded(out, "statistic", "p", "p_adjusted")
 
 
 @register("study_mortality_pairs", FRAMES_SQL + "," + pairwise_chisq_sql(NONSEPSIS_SQL, "icu_mortality", "T_class"))
 def study_mortality_pairs(s: Sample) -> DataFrame:
-    out = study.mortality_pairs(study.frames(ward_tables(s)).nonsepsis)
+    out = study.mortality_pairs(_frames(s).nonsepsis)
     return rounded(out, "statistic", "p", "p_adjusted")
 
 
 @register("study_mortality_model")
 def study_mortality_model(s: Sample) -> DataFrame:
-    fit = study.mortality_model(study.frames(ward_tables(s)).sepsis)
+    fit = study.mortality_model(_frames(s).sepsis)
     return rounded(fit.odds_ratios(), "odds_ratio", "low_95", "high_95", digits=5)
 
 
 @register("study_matched_table")
 def study_matched_table(s: Sample) -> DataFrame:
-    _, matched = study.antipyretic_matching(study.frames(ward_tables(s)).nonsepsis)
+    _, matched = study.antipyretic_matching(_frames(s).nonsepsis)
     numeric, _ = study.matched_table(matched)
     return rounded(numeric.drop("label"), "mean", "sd", "q1", "median", "q3", "statistic", "p", digits=4)

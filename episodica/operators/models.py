@@ -72,6 +72,19 @@ class LogisticFit:
             "term", F.exp(e).alias("odds_ratio"), F.exp(e - half).alias("low_95"), F.exp(e + half).alias("high_95")
         )
 
+    def statistics(self, df: DataFrame, outcome: str) -> DataFrame:
+        """Cases, residual and null deviance with their degrees of freedom, and AIC, over the complete cases of a frame."""
+        y = F.col(outcome).cast("double")
+        cases = self.score(self.design.complete(df).where(F.col(outcome).isNotNull()), "_m")
+        likely = F.when(y > 0, F.log("_m")).otherwise(F.log1p(-F.col("_m")))
+        sums = cases.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("yes"), (-2 * F.sum(likely)).alias("deviance"))
+        n, yes, k = F.col("n").cast("double"), F.col("yes"), sum(e is not None for e in self.estimates)
+        share = lambda part: F.when(part > 0, part * F.log(part / n)).otherwise(0.0)
+        return sums.select(
+            "n", "deviance", (-2 * (share(yes) + share(n - yes))).alias("null_deviance"),
+            (F.col("n") - k).alias("df_residual"), (F.col("n") - 1).alias("df_null"), (F.col("deviance") + 2 * k).alias("aic"),
+        )
+
     def score(self, df: DataFrame, out: str = "distance") -> DataFrame:
         """Adds the fitted probability as a plain column expression."""
         eta = F.lit(self.estimates[0])
