@@ -206,7 +206,7 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFra
     """The pairs (x, y) that reach the threshold, compared on whole sets."""
     num, den = t.numerator, t.denominator
     pairs = staged(pairs, "pairs")
-    involved = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct()
+    involved = staged(pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct(), "involved")
     sets = docs.join(small(involved), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
     sets = staged(sets, "sets")
     both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("a")), "x").join(
@@ -252,6 +252,8 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     firsts = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"))
     rows_of = heads.mapInArrow(_prefix_rows(t, hot, bits), _ROWS).union(whole)
     prefixes = staged(rows_of.join(firsts, ["doc", "n"], "left_semi").distinct().select("token", "doc", "n", "place", "last"), "prefix")
+    hot.destroy()
+    bits.destroy()
     marks = full.join(firsts, ["doc", "n"], "left_semi").select("doc", F.col("n").alias("m"), "marks")
 
     # round 1: each document of a token against the token's leader

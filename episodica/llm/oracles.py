@@ -38,12 +38,13 @@ def quality_sql() -> str:
     near AS (SELECT doc_id, round(min(x) FILTER (kind = 'class'), 4) AS class_distance, round(min(x) FILTER (kind = 'word'), 4) AS word_distance FROM dist GROUP BY 1),
     f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                 coalesce(lang IN ({langs}), TRUE) AND 2 * (letters - lo - up) <= letters AS judged,
                  CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, coalesce(class_distance, 0.0) AS class_distance, coalesce(word_distance, 0.0) AS word_distance
-          FROM d LEFT JOIN covered v ON v.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id),
+          FROM c d LEFT JOIN covered v ON v.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id),
     b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT (base_failed OR n_words >= {quality.CLASS_WORDS} AND class_distance > {quality.CLASS_DISTANCE}
-                OR n_words >= {quality.COMMON_WORDS_NEEDED} AND word_distance > {quality.WORD_DISTANCE}) AS kept, class_distance, word_distance
+           NOT (base_failed OR judged AND (n_words >= {quality.CLASS_WORDS} AND class_distance > {quality.CLASS_DISTANCE}
+                OR n_words >= {quality.COMMON_WORDS_NEEDED} AND word_distance > {quality.WORD_DISTANCE})) AS kept, class_distance, word_distance
     FROM b
     """
 

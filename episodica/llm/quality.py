@@ -33,6 +33,7 @@ CLASSES = {
     "space": r"[ \t-\r]",
     "mark": r"[.,;:!?'\"()-]",
 }
+SPACE, ACCENTED = list(CLASSES).index("space"), list(CLASSES).index("accented")
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Guards and thresholds: words a text needs before a distance is judged, and the largest distance kept.
@@ -52,17 +53,24 @@ def _with(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _histograms(docs: DataFrame) -> DataFrame:
-    """Add the counts per character class (``_q_class``) and per common word (``_q_words``), the text and n_words."""
+    """Add the counts per character class (``_q_class``) and per common word (``_q_words``), the text, its words and what is left of it.
+
+    Classes are taken out one after another, the commonest first, so each expression reads only what the earlier ones left.
+    """
     df = _with(docs, _q_text=F.coalesce(F.col("text").cast("string"), F.lit("")))
-    left = [F.length("_q_text") - F.length(F.regexp_replace("_q_text", c + "+", "")) for c in CLASSES.values()]
+    left, names = "_q_text", []
+    for k, pattern in enumerate(CLASSES.values()):
+        df = _with(df, **{f"_q_left{k}": F.regexp_replace(left, pattern + "+", "")})
+        names.append(f"_q_left{k}")
+        left = names[-1]
+    steps = ["_q_text", *names]
+    counts = [F.length(x) - F.length(y) for x, y in zip(steps, names)]
     common = F.filter(F.regexp_extract_all(F.lower("_q_text"), F.lit(r"\p{L}+"), F.lit(0)), lambda x: x.isin(list(WORDS)))
-    df = _with(df, _q_counts=F.array(*left), _q_chars=F.length("_q_text"), _q_common=common,
+    df = _with(df, _q_class=F.array(*counts, F.length(left)), _q_common=common, _q_rest=F.col(left),
                _q_w=F.regexp_extract_all("_q_text", F.lit(WORD), F.lit(0)))
-    total = sum((F.col("_q_counts")[k] for k in range(len(CLASSES))), F.lit(0))
-    words = F.array(*[F.expr(f"size(filter(_q_common, x -> x = '{w}'))") for w in WORDS])
-    df = _with(df, _q_class=F.concat("_q_counts", F.array((F.col("_q_chars") - total).cast("int"))), _q_words=words,
-               n_words=F.size("_q_w").cast("long"))
-    return df.drop("_q_counts", "_q_chars", "_q_common")
+    n = F.size("_q_common")
+    words = F.array(*[n - F.size(F.array_remove("_q_common", w)) for w in WORDS])
+    return _with(df, _q_words=words, n_words=F.size("_q_w").cast("long")).drop("_q_common", *names)
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -116,32 +124,42 @@ def _distances(df: DataFrame, refs: dict) -> DataFrame:
 def _repetition(df: DataFrame) -> DataFrame:
     """Add the basic counts, from ``_q_text`` and its words ``_q_w``."""
     lines = F.filter(F.split("_q_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = ("array_sort(transform(slice(_q_w, 1, greatest(size(_q_w) - 2, 0)), "
+    # sort_array compares in one loop, array_sort calls a function for each comparison
+    windows = ("sort_array(transform(slice(_q_w, 1, greatest(size(_q_w) - 2, 0)), "
                "(x, i) -> struct(xxhash64(x, get(_q_w, i + 1), get(_q_w, i + 2)) AS h, i AS i)))")
     df = _with(
         df, _q_lines=lines, _q_s=F.expr(windows),
-        word_chars=F.length(F.regexp_replace("_q_text", r"[\x20\x09-\x0D]+", "")).cast("long"),
-        n_symbols=F.length(F.regexp_replace("_q_text", r"[^#*$%&|<>]+", "")).cast("long"))
+        word_chars=(F.length("_q_text") - F.col("_q_class")[SPACE]).cast("long"),
+        n_symbols=F.length(F.regexp_replace("_q_rest", r"[^#*$%&|<>]+", "")).cast("long"))
     # windows that equal a neighbour in hash order, by place; each covers three words or up to the next one
-    twice = ("array_sort(filter(transform(_q_s, (x, k) -> CASE WHEN x.h = get(_q_s, k - 1).h OR x.h = get(_q_s, k + 1).h "
+    twice = ("sort_array(filter(transform(_q_s, (x, k) -> CASE WHEN x.h = get(_q_s, k - 1).h OR x.h = get(_q_s, k + 1).h "
              "THEN x.i END), v -> v IS NOT NULL))")
     df = _with(df, _q_r=F.expr(twice), n_dup_lines=(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
     covered = "aggregate(transform(_q_r, (v, k) -> least(3, coalesce(get(_q_r, k + 1) - v, 3))), 0L, (a, v) -> a + v)"
-    return _with(df.drop("_q_s", "_q_lines", "_q_w", "_q_text"), n_repeat_words=F.expr(covered)).drop("_q_r")
+    return _with(df.drop("_q_s", "_q_lines", "_q_w", "_q_text", "_q_rest"), n_repeat_words=F.expr(covered)).drop("_q_r")
+
+
+def _judged() -> Column:
+    """Is there a reference of the document's language and script? Others pass on the basic rules.
+
+    References are of Latin script, so a text most of whose letters are not plain Latin has none; nor has one labelled with another language.
+    """
+    letters = sum((F.col("_q_class")[k] for k, c in enumerate(CLASSES) if c in ("lower", "upper", "accented")), F.lit(0))
+    return F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(True)) & (2 * F.col("_q_class")[ACCENTED] <= letters)
 
 
 def _verdict(df: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > CLASS_DISTANCE)) | (
         (F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("word_distance") > WORD_DISTANCE))
-    return _with(_with(df, base_failed=failed), kept=~(F.col("base_failed") | far))
+    return _with(_with(df, base_failed=failed), kept=~(F.col("base_failed") | (_judged() & far)))
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """A row of counts, distances and the verdict per document.
 
-    Defined cases: null or empty text has no words and fails the basic rules; a null or unknown lang
-    gives nothing to the references; without any reference the distances are 0; repeated rows and null
+    Defined cases: null or empty text has no words and fails the basic rules; a null or other lang
+    gives nothing to the references; a document of another language or script than the references have passes on the basic rules; without any reference the distances are 0; repeated rows and null
     ids are each judged; further columns are ignored. The counts are kept as a stage, so the
     text is read once.
     """
@@ -155,7 +173,12 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents whose verdict is kept, with their own columns. Cases as in ``assess``."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), F.col("text").cast("string").alias("text"))
-    judged = _verdict(_distances(_repetition(_histograms(named)), references(docs)))
-    return judged.where("kept").select("_q_row.*")
+    """The documents whose verdict is kept, with their own columns. Cases as in ``assess``.
+
+    The counts are kept as a stage beside the rows, so the texts are read once by the expressions.
+    """
+    text, lang = F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), text, lang)
+    counted = _repetition(_histograms(named)).select("_q_row", "lang", "n_words", "n_repeat_words", "_q_class", "_q_words")
+    counted = staged(counted, "quality-rows")
+    return _verdict(_distances(counted, _references(counted))).where("kept").select("_q_row.*")

@@ -66,3 +66,16 @@ def test_native_plan(make, odd):
 
 def test_empty_table(make):
     assert quality.assess(make([])).count() == 0 and quality.keep_good(make([])).count() == 0
+
+
+def test_other_languages_and_scripts_pass_on_the_basic_rules(make, prose):
+    import random
+
+    rng = random.Random(1)
+    russian = lambda n: " ".join("".join(rng.choice("абвгдежзиклмнопрстуя") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(k, russian(180), "ru" if k % 2 else None) for k in range(40)]
+    rows += [(100 + k, prose(k, 150), "en") for k in range(40)]
+    rows += [(200, "zq xv " * 10 + " ".join(f"qx{k}zv" for k in range(150)), "pl"), (201, "zq xv " * 10 + " ".join(f"qx{k}zv" for k in range(150)), "en")]
+    kept = {r.doc_id: r.kept for r in quality.assess(make(rows)).collect()}
+    assert all(kept[k] for k in range(40)) and kept[200] and not kept[201]
+    assert {r.doc_id for r in quality.keep_good(make(rows)).collect()} == {k for k, v in kept.items() if v}
