@@ -68,9 +68,11 @@ def _histograms(docs: DataFrame) -> DataFrame:
     common = F.filter(F.regexp_extract_all(F.lower("_q_text"), F.lit(r"\p{L}+"), F.lit(0)), lambda x: x.isin(list(WORDS)))
     df = _with(df, _q_class=F.array(*counts, F.length(left)), _q_common=common, _q_rest=F.col(left),
                _q_w=F.regexp_extract_all("_q_text", F.lit(WORD), F.lit(0)))
-    n = F.size("_q_common")
-    words = F.array(*[n - F.size(F.array_remove("_q_common", w)) for w in WORDS])
-    return _with(df, _q_words=words, n_words=F.size("_q_w").cast("long")).drop("_q_common", *names)
+    # every word stands between spaces of its own; one function over the list, as a loop written out would be too large to be compiled
+    df = _with(df, _q_known=F.concat(F.lit(" "), F.array_join("_q_common", "  "), F.lit(" ")))
+    cut = F.transform(F.array(*[F.lit(f" {w} ") for w in WORDS]), lambda w: F.length(F.replace(F.col("_q_known"), w, F.lit(""))))
+    words = F.zip_with(cut, F.array(*[F.lit(len(w) + 2) for w in WORDS]), lambda n, size: ((F.length("_q_known") - n) / size).cast("int"))
+    return _with(df, _q_words=words, n_words=F.size("_q_w").cast("long")).drop("_q_common", "_q_known", *names)
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
