@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.llm.shared import staged
+
 #: Headers that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not tell pages apart.
@@ -35,19 +37,22 @@ def canonical_url(url: Column) -> Column:
 def resolve_revisits(records: DataFrame, stretch: int = STRETCH, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """A row per revisit: (rec_id, address, ts, verdict, ref_id, ref_ts, headers).
 
-    ``records`` has rec_id (unique), url, ts (long, seconds), status, etag, last_modified, digest and headers, a map of lower-case
+    ``records`` has rec_id, url, ts (long, seconds), status, etag, last_modified, digest and headers, a map of lower-case
     names. verdict: ``resolved``; ``changed`` if a validator both sides have differs (etags compared weakly, then last_modified,
     then digest; the first that both have decides); ``unverified`` if they share none; ``missing`` if there is no earlier full response
     (status 200) or the url or ts is null. headers: of a resolved or unverified revisit the stored ones with permitted updates, else
     its own. Ties: of responses at one time the largest rec_id counts; a response at the revisit's own time is not earlier.
-    Rows with a null rec_id are no responses; as revisits they are returned. Further columns are ignored.
+    Rows with a null rec_id are no responses; as revisits they are returned. Repeated rows: every revisit row gives one row; of full
+    responses with equal rec_id, address and ts the one that sorts first by validators and headers counts. Further columns are ignored.
     """
     rows = records.select("rec_id", canonical_url(F.col("url")).alias("address"), "ts", "status", "etag", "last_modified", "digest", "headers")
     full = (F.col("status") == 200) & F.col("rec_id").isNotNull()
     known = F.col("address").isNotNull() & F.col("ts").isNotNull()
+    # a revisit carries its own validators and headers along, so rows need no key to be told apart
+    mine = ("etag", "last_modified", "digest", "headers")
     events = rows.where(known & (full | (F.col("status") == 304))).select(
         "rec_id", "address", "ts", F.floor(F.col("ts") / stretch).alias("part"), (F.col("status") == 304).alias("revisit"),
-        F.when(full, F.struct("ts", "rec_id")).alias("r"))
+        F.when(full, F.struct("ts", "rec_id")).alias("r"), *[F.when(F.col("status") == 304, F.col(c)).alias(c) for c in mine])
     earlier = Window.partitionBy("address", "part").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     within = events.withColumn("near", F.max("r").over(earlier)).where("revisit")
     ends = events.where("r IS NOT NULL").groupBy("address", "part").agg(F.max("r").alias("r"))
@@ -55,23 +60,26 @@ def resolve_revisits(records: DataFrame, stretch: int = STRETCH, permitted: tupl
         .groupBy("address", "part").agg(F.max("r").alias("r"))
     before = Window.partitionBy("address").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select("address", "part", F.max("r").over(before).alias("far"))
-    found = within.join(carried, ["address", "part"], "left").select("rec_id", "address", "ts", F.coalesce("near", "far").alias("r"))
-    lost = rows.where((F.col("status") == 304) & ~known).select("rec_id", "address", "ts", F.lit(None).cast(found.schema["r"].dataType).alias("r"))
-
-    own = rows.where("status = 304").select("rec_id", "etag", "last_modified", "digest", "headers")
-    ref = rows.where(full).select(F.col("rec_id").alias("ref_id"), F.col("etag").alias("etag0"), F.col("last_modified").alias("modified0"),
-                                  F.col("digest").alias("digest0"), F.col("headers").alias("headers0"))
-    out = found.unionByName(lost).select("rec_id", "address", "ts", F.col("r.rec_id").alias("ref_id"), F.col("r.ts").alias("ref_ts"))
-    out = out.join(own, "rec_id", "left").join(ref, "ref_id", "left")
+    found = within.join(carried, ["address", "part"], "left").select("rec_id", "address", "ts", F.coalesce("near", "far").alias("r"), *mine)
+    lost = rows.where((F.col("status") == 304) & ~known).select("rec_id", "address", "ts", F.lit(None).cast(found.schema["r"].dataType).alias("r"), *mine)
+
+    responses = rows.where(full & known).groupBy(F.col("rec_id").alias("ref_id"), "address", F.col("ts").alias("ref_ts"))
+    entries = F.array_sort(F.map_entries("headers"))
+    ref = responses.agg(F.min(F.struct("etag", "last_modified", "digest", entries.alias("entries"))).alias("full")).select(
+        "ref_id", "address", "ref_ts", F.col("full.etag").alias("etag0"), F.col("full.last_modified").alias("modified0"),
+        F.col("full.digest").alias("digest0"), F.map_from_entries("full.entries").alias("headers0"))
+    # kept as a stage, so that the join may split a response that very many revisits name
+    out = found.unionByName(lost).select("rec_id", "address", "ts", F.col("r.rec_id").alias("ref_id"), F.col("r.ts").alias("ref_ts"), *mine)
+    out = out.join(staged(ref, "responses"), ["ref_id", "address", "ref_ts"], "left")
 
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     agree = F.coalesce(weak(F.col("etag")) == weak(F.col("etag0")), F.col("last_modified") == F.col("modified0"), F.col("digest") == F.col("digest0"))
     verdict = F.when(F.col("ref_id").isNull(), "missing").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("changed")
-    mine, stored = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce("headers0", F.create_map().cast("map<string,string>"))
-    updates = F.map_filter(mine, lambda k, v: k.isin(*permitted))
+    new, stored = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce("headers0", F.create_map().cast("map<string,string>"))
+    updates = F.map_filter(new, lambda k, v: k.isin(*permitted))
     merged = F.map_concat(F.map_filter(stored, lambda k, v: ~F.map_contains_key(updates, k)), updates)
     return out.select("rec_id", "address", "ts", verdict.alias("verdict"), "ref_id", "ref_ts",
-                      F.when(verdict.isin("resolved", "unverified"), merged).otherwise(mine).alias("headers"))
+                      F.when(verdict.isin("resolved", "unverified"), merged).otherwise(new).alias("headers"))
 
 
 def archive_of_pages(pages: DataFrame) -> DataFrame:

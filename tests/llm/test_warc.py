@@ -45,8 +45,17 @@ def test_latest_earlier_equals_brute_force(spark, stretch):
 
 
 def test_repeated_rows_and_empty(spark):
-    rows = [rec(1, "http://a.com/", 1, 200)] + [rec(2, "http://a.com/", 2, 304)]
-    assert resolve(spark, rows)[2].verdict == "unverified"
+    rows = [rec(1, "http://a.com/", 1, 200, headers={"a": "1"}), rec(2, "http://a.com/", 2, 304)]
+    out = warc.resolve_revisits(spark.createDataFrame(rows * 3, SCHEMA)).collect()
+    assert [(r.rec_id, r.verdict, r.ref_id, r.headers) for r in out] == [(2, "unverified", 1, {"a": "1"})] * 3
+    # one id for several records: each is judged by what it says itself
+    mixed = [rec(1, "http://a.com/", 1, 200, "e1"), rec(1, "http://b.com/", 1, 200, "e2"), rec(1, "http://a.com/", 2, 304, "e1"), rec(1, "http://b.com/", 2, 304, "e1"),
+             rec(None, "http://a.com/", 3, 304, "e1", headers={"date": "3"}), rec(None, "http://a.com/", 4, 304, "e9")]
+    out = warc.resolve_revisits(spark.createDataFrame(mixed, SCHEMA)).collect()
+    assert sorted((r.address, r.ts, r.verdict, str(r.headers)) for r in out) == [
+        ("a.com", 2, "resolved", "{}"), ("a.com", 3, "resolved", "{'date': '3'}"), ("a.com", 4, "changed", "{}"), ("b.com", 2, "changed", "{}")]
+    twice = [rec(1, "http://a.com/", 1, 200, "e2"), rec(1, "http://a.com/", 1, 200, "e1"), rec(2, "http://a.com/", 2, 304, "e1")]
+    assert [r.verdict for r in warc.resolve_revisits(spark.createDataFrame(twice, SCHEMA)).collect()] == ["resolved"]
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
