@@ -6,7 +6,8 @@ documents copy is looked at in each of them. Seeds on similar diagonals open a
 window of the document. A window that holds too few of the item's words for the
 score asked for is left at once, as no alignment can reach it; the others are
 aligned with the item word by word. The score is the alignment's share of a
-perfect one, so edited, shortened and paraphrased copies count.
+perfect one, so edited, shortened and paraphrased copies count. An item of a few
+words has its start as its only seed and must stand in the document as it is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from episodica.llm.bytehash import LOWER, Ranges, column_bytes, parts, shingles,
 from episodica.llm.shared import small, staged
 
 SEED = 3
-#: Items of fewer words are not told from chance and are left out.
+#: Items of fewer words count only where the whole item stands word for word.
 LEAST_WORDS = 8
 #: Seeds up to this number are broadcast; more are joined by a shuffle.
 SEED_ROWS = 2_000_000
@@ -65,25 +66,27 @@ def _item_words(batches):
                 [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(signed(values)))], ["item_id", "words"])
 
 
-def _grams(wanted):
-    """(gram, doc, th, place) of the seeds in each document; all of them if no seeds are given."""
+def _grams(wanted, sizes):
+    """(gram, doc, th, place) of the seeds in each document, which have ``sizes`` words; all of them if no seeds are given."""
     def task(batches):
         for batch in batches:
             ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, hi, values, rows, counts in _slices(batch.column(2)):
-                grams, owner = shingles(values, rows, hi - lo, SEED)
-                place = np.arange(len(grams)) - np.searchsorted(owner, owner)
-                ok = counts[owner] >= SEED
-                if wanted is not None:
-                    seeds = wanted.value
-                    ok &= (seeds[np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)] == grams) if len(seeds) else False
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams[ok])), pa.array(ids[lo:hi][owner[ok]]), pa.array(hashes[lo:hi][owner[ok]]), pa.array(place[ok].astype(np.int32))],
-                    ["gram", "doc", "th", "place"])
+                for size in sizes:
+                    grams, owner = shingles(values, rows, hi - lo, size)
+                    place = np.arange(len(grams)) - np.searchsorted(owner, owner)
+                    ok = counts[owner] >= size
+                    if wanted is not None:
+                        seeds = wanted.value
+                        ok &= (seeds[np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)] == grams) if len(seeds) else False
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(grams[ok])), pa.array(ids[lo:hi][owner[ok]]), pa.array(hashes[lo:hi][owner[ok]]), pa.array(place[ok].astype(np.int32))],
+                        ["gram", "doc", "th", "place"])
     return task
 
 
 def _item_grams(batches):
+    """Every run of ``SEED`` words of an item; of a short item only the first, or all it has."""
     for batch in batches:
         items, lists = batch.column(0), batch.column(1)
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -91,7 +94,10 @@ def _item_grams(batches):
         counts = np.diff(at)
         grams, owner = shingles(values[at[0] : at[-1]], np.repeat(np.arange(len(items)), counts), len(items), SEED)
         place = np.arange(len(grams)) - np.searchsorted(owner, owner)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), items.take(pa.array(owner)), pa.array(place.astype(np.int32))], ["gram", "item_id", "at"])
+        ok = (counts[owner] >= LEAST_WORDS) | (place == 0)
+        size = np.minimum(counts[owner], SEED)[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(grams[ok])), items.take(pa.array(owner[ok])), pa.array(place[ok].astype(np.int32)),
+                                          pa.array(size.astype(np.int32))], ["gram", "item_id", "at", "size"])
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -122,12 +128,13 @@ def _aligned(threshold: float):
                         item = np.array(w["words"], np.int64).view(np.uint64)
                         first = max(0, w["low"] - BAND)
                         part = texts[k][first : w["high"] + len(item) + BAND]
+                        least = threshold if len(item) >= LEAST_WORDS else 1.0
                         # each matched word of the item gives MATCH at most
-                        if np.isin(item, part).sum() / len(item) < threshold:
+                        if np.isin(item, part).sum() / len(item) < least:
                             continue
                         score, i, j = align(item, part)
                         share = score / (MATCH * len(item))
-                        if share >= threshold:
+                        if share >= least:
                             _, _, back = align(item[:i][::-1], part[:j][::-1])
                             out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["item_id"], share, first + j - back, first + j))
                     texts.pop(k)
@@ -149,17 +156,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """
     keyed = _keyed(docs)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = staged(items.distinct().mapInArrow(_item_words, "item_id long, words array<long>").where(F.size("words") >= LEAST_WORDS), "items")
-    seeds = staged(items.mapInArrow(_item_grams, "gram long, item_id long, at int"), "seeds")
+    items = staged(items.distinct().mapInArrow(_item_words, "item_id long, words array<long>").where(F.size("words") > 0), "items")
+    seeds = staged(items.mapInArrow(_item_grams, "gram long, item_id long, at int, size int"), "seeds")
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # from 1 to SEED
     kinds = seeds.select("gram").distinct()
     if kinds.count() <= SEED_ROWS:
         grams = np.sort(kinds.toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
-        hits = keyed.mapInArrow(_grams(docs.sparkSession.sparkContext.broadcast(grams)), "gram long, doc long, th long, place int")
+        hits = keyed.mapInArrow(_grams(docs.sparkSession.sparkContext.broadcast(grams), sizes), "gram long, doc long, th long, place int")
     else:
-        hits = keyed.mapInArrow(_grams(None), "gram long, doc long, th long, place int").join(kinds, "gram", "left_semi")
+        hits = keyed.mapInArrow(_grams(None, sizes), "gram long, doc long, th long, place int").join(kinds, "gram", "left_semi")
     hits = staged(hits, "hits")
 
-    met = hits.join(small(seeds), "gram").withColumn("low", F.col("place") - F.col("at"))
+    met = hits.join(small(seeds.drop("size")), "gram").withColumn("low", F.col("place") - F.col("at"))
     windows = met.groupBy("doc", "th", "item_id", F.floor(F.col("low") / BAND).alias("band")).agg(
         F.min("low").cast("long").alias("low"), F.max("low").cast("long").alias("high"))
     windows = staged(windows, "windows")
@@ -177,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, first_word, end_word): documents with a copy of a test item, edited or not.
 
     Words are stretches of ASCII letters, digits and other characters, in lower case. Defined cases: null and empty texts and
-    null items match nothing; items below ``LEAST_WORDS`` words are left out; equal rows give one row; a null
+    null items match nothing, nor do items without a word; an item below ``LEAST_WORDS`` words matches only as a whole; equal rows give one row; a null
     doc_id is kept as null; an empty table on either side gives no row.
     """
     found = matches(docs, benchmark, threshold)

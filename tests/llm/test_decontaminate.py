@@ -32,7 +32,7 @@ def test_alignment_equals_plain_version():
 
 @pytest.fixture()
 def tables(spark, make, prose, odd):
-    items = [(k, prose(900 + k, 30)) for k in range(6)] + [(50, "too short an item"), (51, None), (None, prose(1, 40)), (52, ""), (0, prose(900, 30))]
+    items = [(k, prose(900 + k, 30)) for k in range(6)] + [(50, "too short an item"), (53, "Thing!"), (54, "wide gates"), (55, "a seven word item that is whole"), (51, None), (None, prose(1, 40)), (52, ""), (0, prose(900, 30))]
     benchmark = spark.createDataFrame([(i, x, "clash") for i, x in items], "item_id long, text string, doc string")
     rows = list(odd)
     for k in range(6):
@@ -43,23 +43,26 @@ def tables(spark, make, prose, odd):
         rows.append((300 + k, " ".join(prose(900 + k, 30).split()[:15]) + " " + prose(60 + k, 30)))  # half
     rows += [(400 + k, prose(2000 + k, 200)) for k in range(30)]
     rows += [(500, " ".join(prose(900 + k, 30) for k in range(6)))]
+    rows += [(600, "Too short: an item."), (601, "too short a thing an item"), (602, prose(1, 60) + " wide gates " + prose(2, 60) + " wide gates"), (603, "gates wide"),
+             (604, prose(3, 33) + " a seven word item that is whole " + prose(4, 9)), (605, "a seven word item that was whole"), (606, "a seven word item")]
     return make(rows), benchmark, rows
 
 
 def test_equals_brute_force(tables):
     docs, benchmark, rows = tables
-    items = {r.item_id: words(r.text) for r in benchmark.collect() if r.item_id is not None and len(words(r.text)) >= dc.LEAST_WORDS}
+    items = {r.item_id: words(r.text) for r in benchmark.collect() if r.item_id is not None and words(r.text)}
     got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(docs, benchmark).collect()}
     for i, x in rows:
         if len(x or "") > 10_000:
             continue
         for k, item in items.items():
             score = best_score(item, words(x)) / (dc.MATCH * len(item))
-            if score >= dc.THRESHOLD:
+            if score >= (dc.THRESHOLD if len(item) >= dc.LEAST_WORDS else 1):
                 assert abs(got[i, k] - score) < 1e-6, (i, k)
             else:
                 assert (i, k) not in got
     assert {(100 + k, k) for k in range(6)} | {(200 + k, k) for k in range(6)} <= set(got)
+    assert {(600, 50), (602, 54), (604, 55), (601, 53)} == {p for p in got if p[1] >= 50}
 
 
 def test_spans_hold_the_copy(tables):
