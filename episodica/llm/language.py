@@ -8,9 +8,8 @@ reported as not confident.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,13 +19,12 @@ from episodica.llm.shared import small, staged
 #: Bounds of the sample a dictionary is made of: pieces per language and bytes per piece.
 PIECES = 256
 PIECE_CHARS = 512
-#: Texts up to this many bytes get the thorough level, which searches longer for matches.
-THOROUGH_BYTES = 512
-THOROUGH, QUICK = 12, 5
+#: Compression level of all texts, short or long.
+LEVEL = 12
 #: Margins below this are narrow.
 NARROW = 0.01
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def dictionaries(labelled: DataFrame, pieces: int = PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
@@ -52,12 +50,11 @@ def _classify(content):
     def task(batches):
         langs = sorted(content.value)
         presses = {}
-        for level in (THOROUGH, QUICK):
-            for lang in langs:
-                held = zstandard.ZstdCompressionDict(content.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(level=level)
-                presses[level, lang] = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False,
-                                                                write_checksum=False, write_dict_id=False)
+        for lang in langs:
+            held = zstandard.ZstdCompressionDict(content.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=LEVEL)
+            presses[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False,
+                                                     write_dict_id=False)
         for batch in batches:
             out = []
             for text in batch.column(2):
@@ -66,8 +63,7 @@ def _classify(content):
                     out.append(("und", 0.0, False))
                     continue
                 raw = text.lower().encode()
-                level = THOROUGH if len(raw) <= THOROUGH_BYTES else QUICK
-                sizes = sorted((len(presses[level, lang].compress(raw)), lang) for lang in langs)
+                sizes = sorted((len(presses[lang].compress(raw)), lang) for lang in langs)
                 best = sizes[0]
                 margin = 1.0 - best[0] / sizes[1][0] if len(sizes) > 1 else 1.0
                 out.append((best[1], margin, margin >= NARROW))
@@ -81,7 +77,7 @@ def _classify(content):
 def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, confident) of whole texts; ``docs`` has (doc_id, held_out, text).
 
-    score is the margin over the runner-up, 0 to 1. Null text, text without a letter, and any text when no language was
+    score is the margin over the runner-up, 0 to 1. Null text, text without a letter (Unicode class L), and any text when no language was
     learned give ``und``, score 0. Equal sizes give the language that sorts first, with score 0.
     """
     return docs.select("doc_id", "held_out", "text").mapInArrow(

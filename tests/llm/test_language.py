@@ -40,6 +40,21 @@ def test_und(make, odd):
     assert {r.lang_pred for r in language.learn_and_identify(alone).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters(make):
+    spark = make([]).sparkSession
+    rows = [(k, False, x) for k, x in enumerate(["\u00b2 \u00bd", "\u2460 \u0663", "\u216b", "x\u00b2", "\u4e2d", "\u00aa"])]
+    out = language.identify(spark, spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), {"en": b"the of and"}).collect()
+    assert [r.lang_pred for r in sorted(out, key=lambda r: r.doc_id)] == ["und", "und", "und", "en", "en", "en"]
+
+
+def test_ties_take_the_language_that_sorts_first(make):
+    spark = make([]).sparkSession
+    rows = [(1, False, text("en", 3, 50)), (1, False, text("en", 3, 5000))]
+    same = text("en", 1, 400).encode()
+    out = language.identify(spark, spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), {"b": same, "a": same}).collect()
+    assert len(out) == 2 and {(r.lang_pred, r.score, r.confident) for r in out} == {("a", 0.0, False)}
+
+
 def test_only_text_decides(make):
     content = {k: text(k, "dict", 3000).encode() for k in STEMS}
     spark = make([]).sparkSession
