@@ -3,6 +3,7 @@
 from episodica.catalog import (  # noqa: F401
     clean_queries,
     feature_queries,
+    index_queries,
     model_queries,
     stats_queries,
     study_queries,

@@ -16,6 +16,7 @@ from episodica.functions.columns import (
     numeric_text,
     override_where,
 )
+from episodica.operators.factors import as_factor
 from episodica.plans import code_lists as fixed
 
 
@@ -36,7 +37,8 @@ def clean(df: DataFrame) -> DataFrame:
         "T_class_ordinal": bin_ordinal("T_max", fixed.TEMPERATURE_BREAKS),
         "hosp_los_days": F.col("hosp_los_hours") / F.lit(24.0),
     })
-    derived = ranged.withColumn(
+    ordered = as_factor(as_factor(ranged, "T_class", fixed.TEMPERATURE_CLASSES), "gender_trans", fixed.SEXES)
+    derived = ordered.withColumn(
         "BMI", keep_range(mass_index("admissionweight", "admissionheight"), *fixed.BMI_RANGE)
     )
     return derived.na.drop(subset=["gender_trans", "age_trans"])

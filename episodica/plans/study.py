@@ -32,12 +32,11 @@ TABLE_4 = (
      "T_max", "WBC_max", "LAC_max", "NLR_max", "uo_24h"),
     ("gender_trans", "icu_mortality", "hosp_mortality", "ventilation_flag", "dialysis_flag", "vasopressor_flag"),
 )
-SEXES = ("Female", "Male")
 OUTCOME_MODEL = Design(
     numeric=("age_trans", "BMI", "apache_iv"),
-    factors={"T_class": (fixed.TEMPERATURE_CLASSES, fixed.REFERENCE_CLASS), "gender_trans": (SEXES, "Female")},
+    factors={"T_class": (fixed.TEMPERATURE_CLASSES, fixed.REFERENCE_CLASS), "gender_trans": (fixed.SEXES, "Female")},
 )
-TREATMENT_MODEL = Design(numeric=("age_trans", "apache_iv"), factors={"gender_trans": (SEXES, "Female")})
+TREATMENT_MODEL = Design(numeric=("age_trans", "apache_iv"), factors={"gender_trans": (fixed.SEXES, "Female")})
 
 
 @dataclass(frozen=True)
