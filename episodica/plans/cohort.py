@@ -7,7 +7,7 @@ stay. First stays are chosen on narrow rows before the wide joins, so those carr
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ from episodica.operators.windows import (
     tagged_extremes,
 )
 from episodica.plans import code_lists as fixed
+from episodica.sources.stages import StageStore
 
 Tables = Mapping[str, DataFrame]
 
@@ -339,31 +340,50 @@ def vital_record(t: Tables, faithful: bool = True) -> DataFrame:
     return record.where("max_all IS NOT NULL").select(STAY, *signs, *_temperature_columns())
 
 
-def assemble(t: Tables, faithful: bool = True, first_only: bool = False) -> DataFrame:
-    """The 84-column record of every eligible stay, or of first stays only.
-
-    Eligible: no exclusion diagnosis and a mapped day-1 temperature. Stays are
-    numbered per person among the eligible ones, before any other filter.
-    """
-    patient = t["patient"]
+def _numbered_stays(t: Tables, faithful: bool, first_only: bool) -> DataFrame:
+    """Eligible stays with their number among those of the person, diagnoses, vital signs and region."""
     eligible = (
-        patient.join(vital_record(t, faithful), STAY).join(diagnosed(t), STAY, "left")
+        t["patient"].join(vital_record(t, faithful), STAY).join(diagnosed(t), STAY, "left")
         .where(_either("exclusion_flag") == 0).drop("exclusion_flag")
     )
     order = ["patienthealthsystemstayid", STAY, "unitvisitnumber"]
     numbered = number_episodes(eligible, PERSON, order)
     if first_only:
         numbered = numbered.where("seqnum = 1")
-    one_score = t["apachepatientresult"].groupBy(STAY).agg(F.max("apachescore").alias("apache_iv"))
-    one_group = t["apache_groups"].groupBy(STAY).agg(F.max("apachedxgroup").alias("apachedxgroup"))
-    enough = t["sofascore"].where(F.col("sofatotal") >= fixed.MIN_SOFA)
-    one_sofa = enough.groupBy(STAY).agg(F.max("sofatotal").alias("_sofa"))
-    out = numbered.join(hospitals(t), "hospitalid", "left")
-    for frame in (
-        one_sofa, one_score, one_group, treatment_flags(t), medication_flags(t, faithful), cooling_care(t, faithful),
-        lab_extremes(t, faithful), urine_output(t), oxygenation(t), haemodynamics(t),
-    ):
-        out = out.join(frame, STAY, "left")
+    return numbered.join(hospitals(t), "hospitalid", "left")
+
+
+def _largest(t: Tables, table: str, column: str, name: str, least: int | None = None) -> DataFrame:
+    rows = t[table] if least is None else t[table].where(F.col(column) >= least)
+    return rows.groupBy(STAY).agg(F.max(column).alias(name))
+
+
+def assemble(t: Tables, faithful: bool = True, first_only: bool = False, store: StageStore | None = None, inputs: str = "") -> DataFrame:
+    """The 84-column record of every eligible stay, or of first stays only.
+
+    Eligible: no exclusion diagnosis and a mapped day-1 temperature. Stays are
+    numbered per person among the eligible ones, before any other filter.
+
+    With a ``store`` every part is a stage in buckets of the stay, built once for the same ``inputs`` (a text that names
+    the tables and their state), and the star of left joins shuffles nothing.
+    """
+    parts: dict[str, Callable[[], DataFrame]] = {
+        "stays_first" if first_only else "stays": lambda: _numbered_stays(t, faithful, first_only),
+        "sofa": lambda: _largest(t, "sofascore", "sofatotal", "_sofa", fixed.MIN_SOFA),
+        "score": lambda: _largest(t, "apachepatientresult", "apachescore", "apache_iv"),
+        "diagnosis_group": lambda: _largest(t, "apache_groups", "apachedxgroup", "apachedxgroup"),
+        "treatment": lambda: treatment_flags(t),
+        "medication": lambda: medication_flags(t, faithful),
+        "cooling": lambda: cooling_care(t, faithful),
+        "labs": lambda: lab_extremes(t, faithful),
+        "urine": lambda: urine_output(t),
+        "oxygenation": lambda: oxygenation(t),
+        "haemodynamics": lambda: haemodynamics(t),
+    }
+    out = None
+    for name, build in parts.items():
+        part = build() if store is None else store.keep(name, f"{inputs} faithful={faithful}", build, STAY)
+        out = part if out is None else out.join(part, STAY, "left")
     out = out.withColumn("sofa", F.when(F.col("infected") == 1, F.col("_sofa")))
     derived = {
         "hosp_mortality": vital_status("hospitaldischargestatus"),

@@ -13,6 +13,7 @@ from episodica.operators.matching import match_nearest, matched_rows
 from episodica.operators.models import Design, LogisticFit, fit_logistic, propensity_score
 from episodica.plans import code_lists as fixed
 from episodica.plans.cohort import STAY, assemble, select_cohort
+from episodica.sources.stages import StageStore
 from episodica.sources.tables import checkpointed, write_dataset
 
 # --- fixed values: variables of the study's tables and models ----------------
@@ -51,10 +52,16 @@ class Frames:
         return stack_cohorts(self.sepsis, self.nonsepsis)
 
 
-def frames(t: Mapping[str, DataFrame], workdir: str | None = None) -> Frames:
-    """Builds the records once, keeps them in files, and derives both frames from there."""
-    records = assemble(t, first_only=True)
-    kept = write_dataset(records, f"{workdir}/records") if workdir else checkpointed(records)
+def frames(t: Mapping[str, DataFrame], workdir: str | None = None, store: StageStore | None = None, inputs: str = "") -> Frames:
+    """Builds the records once, keeps them in files, and derives both frames from there.
+
+    With a ``store`` the records and their parts are stages made from ``inputs``, which later sessions find again.
+    """
+    if store is not None:
+        kept = store.keep("records", inputs, lambda: assemble(t, first_only=True, store=store, inputs=inputs), STAY)
+    else:
+        records = assemble(t, first_only=True)
+        kept = write_dataset(records, f"{workdir}/records") if workdir else checkpointed(records)
     return Frames(*(adult_first_visits(clean(select_cohort(kept, sepsis))) for sepsis in (True, False)))
 
 

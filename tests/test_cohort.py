@@ -4,8 +4,12 @@ import random
 
 import pytest
 
+from episodica.operators import factors
 from episodica.operators.clean import adult_first_visits, clean
+from episodica.plans import code_lists as fixed
 from episodica.plans import cohort as plan
+from episodica.plans import study
+from episodica.sources.stages import StageStore
 from episodica.sources.tables import CLINICAL_SCHEMAS
 
 DAY = 1440
@@ -160,6 +164,28 @@ def test_record_layout(small_ward):
     assert {(r.patientunitstayid, r.seqnum) for r in records.collect()} == {(1, 1), (2, 2), (3, 1), (4, 2), (6, 1)}
 
 
+def test_records_from_bucketed_stages(spark, small_ward, tmp_path):
+    want = sorted(map(str, plan.assemble(small_ward).collect()))
+    store = StageStore(spark, str(tmp_path), buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = plan.assemble(small_ward, store=store, inputs="ward 1")
+        assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, records.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # nothing is built again for the same inputs: no table is needed any more
+    assert sorted(map(str, plan.assemble({}, store=store, inputs="ward 1").collect())) == want
+    with pytest.raises(KeyError):
+        plan.assemble({}, store=store, inputs="ward 2")
+    both = study.frames(small_ward), study.frames(small_ward, store=store, inputs="ward 1")
+    for name in ("sepsis", "nonsepsis"):
+        plain, kept = (getattr(f, name) for f in both)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect()))
+        assert factors.levels_of(kept, "T_class") == list(fixed.TEMPERATURE_CLASSES)
+
+
 def test_cleaning(spark):
     t = tables(
         spark,
