@@ -52,7 +52,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_stretches(t) for t in texts]
-        fresh = {w for words in split for w in words if w not in self._words}
+        fresh = set().union(*split).difference(self._words)
         new = self._learn(fresh)
         get = self._words.__getitem__
         out = [b"".join(map(get, words)) for words in split]
@@ -68,18 +68,19 @@ class Encoder:
         other = [w for w in fresh if w not in plain]
         for w, e in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self._words[w] = np.array(e.ids, "<u4").tobytes()
-        new = list({p for parts in plain.values() for p in parts if p not in self._parts})
+        new = list(set().union(*plain.values()).difference(self._parts))
         for k in range(0, len(new), 1024):
             some = new[k : k + 1024]
             joined = self._tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, owner = np.array(joined.ids, "<u4"), np.array(joined.word_ids, np.int64)
             ends = np.searchsorted(owner, np.arange(1, len(some) + 1))
             starts = np.concatenate([[0], ends[:-1]])
-            for p, i, j in zip(some, starts.tolist(), ends.tolist()):
-                self._parts[p] = ids[i:j].tobytes()
+            raw = ids.tobytes()
+            for p, i, j in zip(some, (4 * starts).tolist(), (4 * ends).tolist()):
+                self._parts[p] = raw[i:j]
         get = self._parts.__getitem__
         for w, parts in plain.items():
-            self._words[w] = b"".join(map(get, parts))
+            self._words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
         return new
 
 
