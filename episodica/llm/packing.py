@@ -10,6 +10,8 @@ number of windows per task.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,7 +33,7 @@ MERGED = 20_000
 #: Words, and as many parts of words, whose ids a worker remembers.
 REMEMBERED = 500_000
 
-_tokenizers: dict = {}
+_KEPT = "episodica_worker_encoders"
 
 
 class Encoder:
@@ -97,10 +99,11 @@ _PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+    """One per worker process. This package travels with every task anew, so the encoder is kept in a module that stays."""
+    kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class Windows:

@@ -1,8 +1,10 @@
 import collections
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from episodica.llm import packing
@@ -75,3 +77,14 @@ def test_encoder_equals_the_tokenizer_on_any_characters():
 
 def test_empty_table(make):
     assert packing.pack(make([]), tokenizer_path()).count() == 0
+
+
+def test_tasks_of_one_worker_share_an_encoder(spark):
+    path = tokenizer_path()
+
+    def task(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * len(batch)), pa.array([id(packing.encoder(path))] * len(batch))], ["pid", "at"])
+
+    seen = spark.range(0, 64, 1, 16).mapInArrow(task, "pid long, at long").distinct().collect()
+    assert len(seen) == len({r.pid for r in seen})
