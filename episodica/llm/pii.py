@@ -3,17 +3,18 @@
 High-recall generators propose overlapping candidate spans (digit clusters and
 the runs of digit groups inside them, as numbers may stand side by side;
 written-out or bracketed addresses, near misses of the basic formats). Every
-candidate gets features of its format and of the text around it. Boosted trees,
-trained on a bounded sample of candidates of the corpus, score them; the score
-is calibrated on candidates that were not trained on, and a threshold per kind
+candidate gets features of its format and of the text around it. Boosted trees
+score them, trained on one half of all candidates of the corpus; the score
+is calibrated on the whole other half, and a threshold per kind
 is the lowest one with the precision asked for. Spans of the basic formats stay
-whatever the score.
+whatever the score. Features are cut into bins, and candidates with equal bins
+become one row with a weight; trees grow from sums over these rows.
 
 Nobody labels the corpus: a candidate that a basic rule confirms is a positive,
 one of the same shape that fails its checks is a negative, and each positive also
-gives a negative with a damaged digit. Some confirmed numbers are also shown beside
-another number, and parts of a card as what is no phone. Other candidates are scored,
-not learned from.
+gives a negative with a damaged digit. Confirmed numbers are also shown beside
+another number, and parts of a card as what is no phone, with a quarter of the weight. Other
+candidates are scored, not learned from.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.shared import staged
-from episodica.llm.trees import Trees, calibrated, fit_trees
+from episodica.llm.trees import BINS, Rows, Trees, binned, boosted, calibrated, cuts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the training sample: candidates, chosen by the smallest hash of their text and surroundings.
-TRAIN_ROWS = 20_000
+#: Different rows of bins up to which the sums that trees grow from are taken on the driver; beyond it by tasks, with the same result.
+LOCAL_ROWS = 50_000
+#: Weight of numbers shown beside another one, so that what is learned is mostly what the corpus has.
+SHOWN = 0.25
 #: Precision that the threshold of each kind must have on the calibration half.
 PRECISION = 0.99
 #: Candidates of a text that are scored together.
@@ -222,16 +225,76 @@ def _learnable(batches):
             for kind, a, b, ok in shaped(text):
                 around = hashlib.blake2b(text[max(0, a - 8) : b + 8].encode(), digest_size=8).digest()
                 h = int.from_bytes(around, "big", signed=True)
-                rows.append((h, features(text, kind, a, b), float(ok)))
+                rows.append((h, features(text, kind, a, b), float(ok), 1.0))
                 wrong = _damaged(kind, text[a:b]) if ok else None
                 if wrong is not None and not _valid(kind, wrong):
-                    rows.append((h ^ 1, features(text, kind, a, b, wrong), 0.0))
-                if h >> 8 & 3 == 0:  # a quarter, so that the sample stays mostly of what the corpus has
-                    # the changed bits leave the half that calibrates as it is
-                    rows += [(h ^ k << 2, x, y) for k, (x, y) in enumerate(_side_by_side(text, kind, a, b, ok), 1)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.float64())), pa.array(cols[2], pa.float64())],
-                                         ["h", "x", "y"])
+                    rows.append((h ^ 1, features(text, kind, a, b, wrong), 0.0, 1.0))
+                # the changed bits leave the half that calibrates as it is
+                rows += [(h ^ k << 2, x, y, SHOWN) for k, (x, y) in enumerate(_side_by_side(text, kind, a, b, ok), 1)]
+        cols = list(zip(*rows)) or [()] * 4
+        types = pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "x", "y", "n"])
+
+
+def _binned(cuts):
+    """Rows of bins as bytes, with the number of the kind."""
+
+    def task(batches):
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+            bins = np.ascontiguousarray(binned(x, cuts))
+            keys = pa.array([r.tobytes() for r in bins], pa.binary())
+            kind = pa.array(x[:, : len(KINDS)].argmax(axis=1), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, kind, *[batch.column(k) for k in (1, 2, 3)]], ["bins", "kind", "held", "y", "n"])
+
+    return task
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Rows:
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return Rows(bins, batch.column("y").to_numpy(), batch.column("n").to_numpy())
+
+
+def _summed(start, trees, feature, cut, depth):
+    """The sums of a task as one row of bytes."""
+
+    def task(batches):
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + _rows(batch).sums(start, trees, feature, cut, depth)
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return task
+
+
+def _grow(rows: DataFrame, cuts: list[np.ndarray], share: float, local: int) -> Trees:
+    """Trees from rows of bins: many are added up by tasks, once for each level of a tree."""
+    rows = rows.select("bins", "y", "n")
+    if rows.limit(local + 1).count() <= local:
+        return boosted(cuts, share, _rows(rows.toArrow().combine_chunks()).sums)
+    rows = staged(rows, "learned")
+
+    def sums(*state) -> np.ndarray:
+        found = rows.mapInArrow(_summed(*state), "sums binary").collect()  # a table of the model's size for each task
+        return sum(np.frombuffer(r["sums"]) for r in found).reshape(3, 2 ** state[-1], len(cuts), BINS + 1)
+
+    return boosted(cuts, share, sums)
+
+
+def _scores(trees: Trees, cuts: list[np.ndarray]):
+    """Log-odds of rows of bins."""
+    edges = [np.append(c, np.inf) for c in cuts]
+
+    def task(batches):
+        for batch in batches:
+            # the cut above a bin lies in the same bin, so it stands for all its values
+            bins = _rows(batch).bins if batch.num_rows else np.empty((0, len(cuts)), np.uint8)
+            x = np.stack([e[bins[:, k]] for k, e in enumerate(edges)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(trees.raw(x)), *[batch.column(c) for c in ("kind", "y", "n")]], ["raw", "kind", "y", "n"])
+
+    return task
 
 
 def _covered(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
@@ -289,26 +352,36 @@ class Detector:
         return sorted(base, key=key), sorted(base + added, key=key)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Detector:
-    """Fit on at most ``rows`` candidates drawn by hash from all texts; half of them calibrate."""
-    drawn = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_learnable, "h long, x array<double>, y double")
-    # copies of one candidate and its surroundings count once, or a text of very many copies could fill the sample
-    drawn = staged(drawn.groupBy("h", "y").agg(F.min("x").alias("x")), "candidates")
-    found = drawn.count()
-    if found > 4 * rows:
-        # hashes are uniform: about twice as many as needed pass, wherever they come from
-        drawn = drawn.where(F.col("h") <= -(1 << 63) + int((1 << 64) * (2 * rows / found)))
-    sample = drawn.orderBy("h", "y", "x").limit(rows).collect()
-    if len({r["y"] for r in sample}) < 2:
-        return Detector(None, {})
-    x, y = np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample])
+def train(docs: DataFrame, rows: int = LOCAL_ROWS, precision: float = PRECISION) -> Detector:
+    """Fit on all candidates of all texts: by hash one half grows the trees, the other calibrates them and sets the thresholds.
+
+    ``rows`` only decides where sums are taken; the result does not depend on it, nor on how documents are dealt.
+    """
+    drawn = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_learnable, "h long, x array<double>, y double, n double")
+    # copies of one candidate and its surroundings count once, or a text of very many copies would outweigh all others
+    drawn = staged(drawn.groupBy("h", "y").agg(F.min("x").alias("x"), F.max("n").alias("n")), "candidates")
     # by hash, so that repeated candidates lie in one half and only there
-    held = np.array([r["h"] >> 1 & 1 for r in sample], bool)
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
-    trees = fit_trees(x[~held], y[~held])
-    check = held if held.any() else ~held
-    trees, thresholds = calibrated(trees, x[check], y[check], [x[check][:, k] > 0 for k in range(len(KINDS))], precision)
+    drawn = drawn.withColumn("held", F.shiftright("h", 1).bitwiseAND(F.lit(1)) == 1)
+    sizes = {(r["held"], r["y"]): r["n"] for r in drawn.groupBy("held", "y").agg(F.sum("n").alias("n")).collect()}
+    if len({y for _, y in sizes}) < 2:
+        return Detector(None, {})
+    if len(sizes) < 4:
+        drawn, sizes = drawn.withColumn("held", F.lit(False)), {(False, y): sum(n for (_, z), n in sizes.items() if z == y) for _, y in sizes}
+    both = len(sizes) == 4
+    learned = drawn.where("NOT held")
+    # the values of a feature are digits, lengths and flags: few, whatever the number of candidates
+    values = learned.select("n", F.posexplode("x").alias("k", "v")).groupBy("k", "v").agg(F.sum("n").alias("n")).toPandas()
+    cuts = [cuts_of(own["v"].to_numpy(), own["n"].to_numpy()) for _, own in values.groupby("k")]
+    counted = drawn.select("x", "held", "y", "n").mapInArrow(_binned(cuts), "bins binary, kind int, held boolean, y double, n double")
+    counted = staged(counted.groupBy("bins", "kind", "held", "y").agg(F.sum("n").alias("n")), "binned")
+    share = sizes[False, 1.0] / (sizes[False, 0.0] + sizes[False, 1.0])
+    trees = _grow(counted.where("NOT held").groupBy("bins", "y").agg(F.sum("n").alias("n")), cuts, share, rows)
+    checked = counted.where("held") if both else counted
+    scores = checked.select("bins", "kind", "y", "n").mapInArrow(_scores(trees, cuts), "raw double, kind int, y double, n double")
+    # log-odds have three digits, so their table has a bounded size
+    table = scores.groupBy("raw", "kind", "y").agg(F.sum("n").alias("n")).orderBy("raw", "kind", "y").toPandas()
+    kinds = [table["kind"].to_numpy() == k for k in range(len(KINDS))]
+    trees, thresholds = calibrated(trees, *(table[c].to_numpy() for c in ("raw", "y", "n")), kinds, precision)
     return Detector(trees, dict(zip(KINDS, thresholds)))
 
 

@@ -113,6 +113,25 @@ def test_training_sample_is_bounded_and_stable(make, prose):
     assert a.thresholds == b.thresholds and np.allclose(a.trees.probability(x), b.trees.probability(x))
 
 
+def test_every_candidate_counts_wherever_sums_are_taken(make, prose, monkeypatch):
+    weights = []
+    grow = pii._grow
+
+    def seen(rows, cuts, share, local):
+        weights.append(rows.agg({"n": "sum"}).first()[0])
+        return grow(rows, cuts, share, local)
+
+    monkeypatch.setattr(pii, "_grow", seen)
+    monkeypatch.setattr("episodica.llm.trees.ROUNDS", 4)
+    docs = make(corpus(prose))
+    own = docs.select("text").mapInArrow(pii._learnable, "h long, x array<double>, y double, n double").dropDuplicates(["h", "y"])
+    whole = own.where("shiftright(h, 1) & 1 = 0").agg({"n": "sum"}).first()[0]
+    by_tasks, here = pii.train(docs, rows=10), pii.train(docs.repartition(5))
+    assert weights == [whole, whole] and whole > 200
+    assert by_tasks.thresholds == here.thresholds
+    assert all((a == b).all() for s, t in zip(by_tasks.trees.trees, here.trees.trees, strict=True) for a, b in zip(s, t))
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
