@@ -24,6 +24,7 @@ a chain of blocks.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +37,11 @@ from episodica.session import ensure_checkpoint_dir
 from episodica.sources.tables import checkpointed
 
 BLOCK_UNITS = 50_000
-#: Blocks that one task settles one after another.
-CHAIN = 4
+#: Blocks that one task settles one after another: less than a million units, which a task can hold.
+CHAIN = 16
+
+#: Blocks whose numbers are written into a filter.
+FEW = 400
 
 _OUTPUT = "block bigint, kind string, score double, t_start bigint, c_start bigint, n bigint, step int, pos bigint"
 
@@ -199,21 +203,35 @@ class _Store:
         self._path = f"{ensure_checkpoint_dir(spark)}/matching-{uuid.uuid4().hex}"
         self.rounds = 0
 
+    def keep(self, rows: DataFrame, name: str, part: str) -> DataFrame:
+        """Input of the rounds in a folder per block or chunk, so that a round reads only its own."""
+        path = f"{self._path}-{name}"
+        rows.repartitionByRange(part, "start").write.partitionBy(part).parquet(path)
+        return self._spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
     def add(self, rows: DataFrame) -> list:
         """Keeps a round and returns its summaries: one short row per block."""
         path = f"{self._path}/round={self.rounds}"
-        rows.write.parquet(path)
+        rows.write.partitionBy("kind").parquet(path)
         self.rounds += 1
-        return self._spark.read.schema(_OUTPUT).parquet(path).where("kind = 'summary'").collect()
+        return self._read([self.rounds - 1], "summary").collect()
+
+    def _read(self, rounds: Iterable[int], kind: str | None) -> DataFrame:
+        paths = [f"{self._path}/round={r}" for r in sorted(set(rounds))]
+        found = self._spark.read.schema(f"{_OUTPUT}, round int").option("basePath", self._path).parquet(*paths)
+        return found.where(F.col("kind") == kind) if kind else found
 
     def rows(self) -> DataFrame:
         """All that was ever written."""
         return self._spark.read.schema(f"{_OUTPUT}, round int").parquet(self._path)
 
-    def latest(self, blocks: list[tuple], schema: str) -> DataFrame:
-        """Rows of given (block, round, ...): blocks are few, so their list is broadcast."""
+    def latest(self, blocks: list[tuple], schema: str, kind: str | None = None) -> DataFrame:
+        """Rows (of a kind) of given (block, round, ...): blocks are few, so their list is broadcast; other rounds are not opened."""
         wanted = self._spark.createDataFrame(blocks, f"block bigint, round int{schema}")
-        return self.rows().join(F.broadcast(wanted), ["block", "round"])
+        rows = self._read((b[1] for b in blocks), kind)
+        if len(blocks) <= FEW:
+            rows = rows.where(F.col("block").isin([b[0] for b in blocks]))
+        return rows.join(F.broadcast(wanted), ["block", "round"])
 
 
 def _chains(blocks: list[_Block], starts: dict, window: int) -> list[list[int]]:
@@ -243,10 +261,14 @@ def _round(pieces: DataFrame, ahead: DataFrame, store: _Store, blocks: list[_Blo
         refs += [(o, blocks[o].round, first, used, left) for o, left, _ in behind[first][1]]
     members_df = F.broadcast(spark.createDataFrame(members, "block bigint, chain bigint, used bigint"))
     nothing = F.lit(0).cast("bigint")
+    if len(members) <= FEW:
+        pieces = pieces.where(F.col("block").isin([m[0] for m in members]))
     parts = pieces.join(members_df, "block").select("chain", "block", "role", "score", "start", "n", nothing.alias("pos"), "used")
     parts = parts.unionByName(spark.createDataFrame(members, "block bigint, chain bigint, used bigint").select(
         "chain", "block", F.lit("B").alias("role"), F.lit(0.0).alias("score"), nothing.alias("start"), nothing.alias("n"), nothing.alias("pos"), "used"))
     if look:
+        if len({x[1] for x in look}) <= FEW:
+            ahead = ahead.where(F.col("chunk").isin(sorted({x[1] for x in look})))
         look_df = spark.createDataFrame(look, "chain bigint, chunk bigint, used bigint, low bigint, high bigint")
         begin, end = F.greatest("start", "low"), F.least(F.col("start") + F.col("n"), F.col("high"))
         parts = parts.unionByName(
@@ -256,7 +278,7 @@ def _round(pieces: DataFrame, ahead: DataFrame, store: _Store, blocks: list[_Blo
             )
         )
     if refs:
-        free = store.latest(refs, ", chain bigint, used bigint, left bigint").where("kind = 'free' AND pos < left")
+        free = store.latest(refs, ", chain bigint, used bigint, left bigint", "free").where("pos < left")
         parts = parts.unionByName(free.select(
             "chain", "block", F.lit("S").alias("role"), "score", F.col("c_start").alias("start"),
             F.least(F.col("n"), F.col("left") - F.col("pos")).alias("n"), (F.col("block") * F.lit(4 * unit) + F.col("pos")).alias("pos"), "used",
@@ -267,6 +289,8 @@ def _round(pieces: DataFrame, ahead: DataFrame, store: _Store, blocks: list[_Blo
 def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> tuple[DataFrame, _Store]:
     """Runs of matched ranks, after repeating blocks until all starts agree, and the store they are in."""
     spark = pieces.sparkSession
+    store = _Store(spark)
+    pieces, ahead = store.keep(pieces, "pieces", "block"), store.keep(ahead, "ahead", "chunk")
     is_t, is_c = F.col("role") == "T", F.col("role") == "C"
     facts = pieces.groupBy("block").agg(
         F.sum(F.when(is_t, F.col("n")).otherwise(0)).alias("treated"),
@@ -279,7 +303,7 @@ def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> tuple[DataFrame, _
         first = reached if row.first is None else row.first
         reached = reached if row.end is None else row.end
         blocks.append(_Block(row.treated, first, reached))
-    store, window = _Store(spark), 0
+    window = 0
     starts = _starts(blocks)
     chains = [[b] for b in range(len(blocks))]
     while chains:
@@ -295,7 +319,7 @@ def _flows(pieces: DataFrame, ahead: DataFrame, unit: int) -> tuple[DataFrame, _
         starts, chains = after, _chains(blocks, after, window)
     if not blocks:
         return spark.createDataFrame([], f"{_OUTPUT}, round int"), store
-    return store.latest([(b, info.round) for b, info in enumerate(blocks)], "").where("kind = 'flow'"), store
+    return store.latest([(b, info.round) for b, info in enumerate(blocks)], "", "flow"), store
 
 
 def _right_starts(blocks: list[_Block], starts: dict, chains: list[list[int]]) -> dict[int, tuple[int, tuple]]:
@@ -350,8 +374,7 @@ def match_nearest(
     ``id_col`` must be unique; treatment is 0/1 and the score known on all rows.
     """
     groups = checkpointed(_score_groups(scored, treatment, score))
-    pieces, ahead = (checkpointed(df) for df in _pieces(groups, block_units))
-    flows, _ = _flows(pieces, ahead, block_units)
+    flows, _ = _flows(*_pieces(groups, block_units), block_units)
     units = repeat_rows(flows, "n", "i", ["t_start"]).select(
         (F.col("t_start") + F.col("i")).alias("rank"), (F.col("c_start") + F.col("step") * F.col("i")).alias("c_rank")
     )

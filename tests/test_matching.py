@@ -102,3 +102,20 @@ def test_foreseen_starts_widen_the_round(spark):
     rows = [(i, i % 2, float(10_000 - 10 * (i // 2)) + (0.5 if i % 2 else rnd.random() * 0.1)) for i in range(1600)]
     flows, store = store_of(spark, rows, 20)
     assert store.rounds < 1 + 80 // matching.CHAIN
+
+
+def test_blocks_lie_in_folders_of_their_own(spark, monkeypatch):
+    seen = []
+    chain = matching._round
+
+    def watched(pieces, ahead, store, blocks, starts, chains, unit):
+        out = chain(pieces, ahead, store, blocks, starts, chains, unit)
+        inputs = {f.rsplit("block=", 1)[1].split("/")[0] for f in pieces.inputFiles() if "block=" in f}
+        seen.append((len(inputs), len(chains)))
+        return out
+
+    monkeypatch.setattr(matching, "_round", watched)
+    rnd = random.Random(11)
+    rows = [(i, int(rnd.random() < 0.5), rnd.random()) for i in range(400)]
+    store_of(spark, rows, 10)
+    assert seen[0] == (40, 40) and len(seen) > 1
