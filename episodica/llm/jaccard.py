@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm.bytehash import LOWER, Ranges, column_bytes, mix, parts, shingles, signed, words
 from episodica.llm.components import components
-from episodica.llm.shared import small, staged, text_rows
+from episodica.llm.shared import dropped, small, staged, text_rows
 
 #: Most tokens that may rank as frequent: 8 MB as sorted longs.
 HOT_TOKENS = 1 << 20
@@ -41,6 +41,8 @@ BITMAP = 26
 #: Bits of a document's parity marks. Each token that two sets do not share changes one bit at most, so the
 #: number of different bits is a lower bound of the number of such tokens, close to it for similar sets.
 MARKS = 2048
+#: Parity marks of a document in an opened pair: at least so many bits per token, so that long sets do not fill them.
+WIDE = 4
 #: Longs to which the marks are folded for the matrix; folding keeps the bound.
 FOLDED = 4
 #: A token of fewer documents never ranks as frequent.
@@ -107,6 +109,21 @@ def _full_sets(size: int):
     return task
 
 
+def _wide_marks(size: int):
+    """Parity marks of each document, a power of two of longs with ``WIDE`` to 2 * ``WIDE`` bits a token."""
+    def task(batches):
+        for batch in batches:
+            for ids, tokens, at in _sets(batch, size):
+                n = np.diff(at)
+                longs = 1 << np.ceil(np.log2(np.maximum(n * WIDE / 64, 1))).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(longs)])
+                spot = np.repeat(ends[:-1] * 64, n) + (tokens & np.repeat(longs * 64 - 1, n).astype(np.uint64)).astype(np.int64)
+                odd = (np.bincount(spot, minlength=ends[-1] * 64) & 1).astype(np.uint8)
+                marks = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), marks], ["doc", "m", "marks"])
+    return task
+
+
 def _held(sorted_tokens: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     if not len(sorted_tokens):
         return np.zeros(len(tokens), bool)
@@ -202,18 +219,41 @@ def _close(t: Fraction, na: str, nb: str, a: str, b: str) -> str:
             f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) * {den + num}L <= ({na} + {nb}) * {den - num}L")
 
 
+def _of_pairs(pairs: DataFrame, docs: DataFrame, task, schema: str, name: str) -> DataFrame:
+    """What ``task`` makes of the texts of all documents in the pairs."""
+    involved = staged(pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct(), "involved")
+    out = staged(docs.join(small(involved), "doc", "left_semi").mapInArrow(task, schema), name)
+    dropped(involved)
+    return out
+
+
+def _folded(marks: str) -> str:
+    """SQL: wide marks folded to ``longs`` longs. As the place of a token is its last bits, folding gives the marks of that length."""
+    return (f"transform(sequence(0, longs - 1), i -> aggregate(sequence(0, cast(size({marks}) / longs as int) - 1), 0L, "
+            f"(s, k) -> s ^ {marks}[i + k * longs]))")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The pairs (x, y) that reach the threshold, compared on whole sets."""
+    """The pairs (x, y) that reach the threshold, compared on whole sets.
+
+    A set moves once for each pair it is in, so marks as wide as the sets need go first, at a sixteenth of the size at
+    most: long sets fill the fixed marks, which then exclude none of their pairs.
+    """
     num, den = t.numerator, t.denominator
     pairs = staged(pairs, "pairs")
-    involved = staged(pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct(), "involved")
-    sets = docs.join(small(involved), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
-    sets = staged(sets, "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("a")), "x").join(
+    wide = _of_pairs(pairs, docs, _wide_marks(size), "doc long, m long, marks array<long>", "wide")
+    both = pairs.join(wide.selectExpr("doc AS x", "m AS mx", "marks AS bx"), "x").join(wide.selectExpr("doc AS y", "m AS my", "marks AS by"), "y")
+    both = both.selectExpr("*", "least(size(bx), size(by)) AS longs")
+    close = staged(both.where(_close(t, "mx", "my", _folded("bx"), _folded("by"))).select("x", "y").distinct(), "close")
+    dropped(pairs, wide)
+    sets = _of_pairs(close, docs, _full_sets(size), "doc long, tokens array<long>", "sets")
+    both = close.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("a")), "x").join(
         sets.select(F.col("doc").alias("y"), F.col("tokens").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     both = both.select("x", "y", shared.alias("c"), (F.size("a") + F.size("b")).alias("s"))
-    return staged(both.where(f"c * {den}L >= (s - c) * {num}L").select("x", "y").distinct(), "links")
+    links = staged(both.where(f"c * {den}L >= (s - c) * {num}L").select("x", "y").distinct(), "links")
+    dropped(close, sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -245,7 +285,8 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     # prefixes: from the heads, or from whole sets where a head has too few rare tokens
     heads = full.select("doc", "n", "head")
     poor = heads.mapInArrow(_undecided(t, hot), "doc long").distinct()
-    whole = keyed.join(small(staged(poor, "poor")), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
+    poor = staged(poor, "poor")
+    whole = keyed.join(small(poor), "doc", "left_semi").mapInArrow(_full_sets(size), "doc long, tokens array<long>")
     whole = whole.select("doc", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0")
     whole = staged(whole.mapInArrow(_prefix_rows(t, hot, None), _ROWS), "whole")
     bits = spark.sparkContext.broadcast(_bitmap(counts.select("token").union(whole.select("token"))))
@@ -254,12 +295,15 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     prefixes = staged(rows_of.join(firsts, ["doc", "n"], "left_semi").distinct().select("token", "doc", "n", "place", "last"), "prefix")
     hot.destroy()
     bits.destroy()
-    marks = full.join(firsts, ["doc", "n"], "left_semi").select("doc", F.col("n").alias("m"), "marks")
+    marks = staged(full.join(firsts, ["doc", "n"], "left_semi").select("doc", F.col("n").alias("m"), "marks"), "marks")
+    # each stage goes as soon as all that is made of it is kept
+    dropped(sketch, counts, poor, whole)
 
     # round 1: each document of a token against the token's leader
     lead = F.min(F.struct("place", "doc", "n", "last")).alias("lead")
     lists = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), lead).where("docs > 1")
     shared = staged(prefixes.join(lists, "token"), "shared")
+    dropped(prefixes)
     star = shared.where("doc != lead.doc AND " + _possible(t, "place", "lead.place", "n", "lead.n")).selectExpr(
         "doc AS x", "lead.doc AS y", "place AS i", "lead.place AS j", "n AS nx", "lead.n AS ny", "last AS lx", "lead.last AS ly")
     one = marks.selectExpr("doc AS x", "m AS mx", "marks AS bx")
@@ -273,6 +317,7 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
                         lambda s, x: s.bitwiseXOR(x)).alias(f"m{k}") for k in range(FOLDED)]
     placed = shared.select("token", "doc", "n", "place").join(groups, "doc", "left").join(marks.select("doc", *fold), "doc")
     placed = staged(placed.withColumn("own", F.coalesce("component", "doc")).drop("component"), "placed")
+    dropped(shared)
     folds = range(FOLDED)
     matrix = placed.groupBy("token", F.col("own").alias("other")).agg(
         F.min("place").alias("best"), F.min("n").alias("least"), F.max("n").alias("most"),
@@ -288,6 +333,7 @@ def similar_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     members = placed.select(F.col("doc").alias("y"), F.col("own").alias("other")).distinct().join(two, "y")
     pairs = opened.join(one, "x").join(members, "other").where(_close(t, "mx", "my", "bx", "by")).select("x", "y").distinct()
     far = _links(pairs, keyed, size, t)
+    dropped(placed, marks)
 
     reps = member.where("rep IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
     split = member.where("rep IS NOT NULL").join(reps.where("x != y").select("doc", "x"), "doc").select("x", F.col("rep").alias("y"))

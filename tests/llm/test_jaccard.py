@@ -4,6 +4,7 @@ import re
 import pytest
 
 from episodica.llm import jaccard
+from episodica.session import ensure_checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +84,43 @@ def test_odd_rows(make, odd, prose):
 
 def test_empty_table(make):
     assert jaccard.similar_groups(make([])).count() == 0
+
+
+def test_long_sets_move_only_for_pairs_that_wide_marks_allow(make, prose, monkeypatch):
+    # a document's 2048 marks are full at this length: they allow every pair, and each moved a whole set
+    base = prose(11, 6000).split()
+    near = [w if k % 200 else f"edit{k}" for k, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near))] + [(10 + k, " ".join(base[:2000] + prose(20 + k, 4000).split())) for k in range(6)]
+    moved, real = [], jaccard.staged
+
+    def staged(df, name):
+        out = real(df, name)
+        if name == "sets":
+            moved.extend(r.doc for r in out.select("doc").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    docs = make(rows).selectExpr("doc_id AS doc", "text")
+    pairs = docs.selectExpr("doc AS x").join(docs.selectExpr("doc AS y")).where("x > y")
+    got = jaccard._links(pairs, docs, 5, jaccard.Fraction("0.8"))
+    assert [(r.x, r.y) for r in got.collect()] == [(2, 1)] and sorted(moved) == [1, 2]
+    check(make, rows, 5, 80)
+
+
+def test_marks_of_sets_on_both_sides_of_a_power_of_two(make, prose):
+    rows = [(k, " ".join(prose(31, 700).split()[: 490 + 6 * k])) for k in range(12)] + [(20 + k, prose(32, 126 + k)) for k in range(8)]
+    check(make, rows, 3, 90)
+    check(make, rows, 3, 30)
+
+
+def test_stages_go_when_they_are_used_up(spark, make, prose):
+    def kept():
+        jvm = spark._jvm
+        here = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+        return {s.getPath().getName() for s in here.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(here)}
+
+    ensure_checkpoint_dir(spark)
+    before = kept()
+    out = jaccard.similar_groups(make(family(prose, 7, 30, 0, 4)), 3, 0.9)
+    left = {name.rsplit("-", 1)[0] for name in kept() - before if "-" in name and len(name.rsplit("-", 1)[1]) == 32}
+    assert left <= {"member", "links"} and out.count() == 30
