@@ -16,10 +16,12 @@ the shards' remaining room by running sums.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import running, staged
+from episodica.llm.shared import BROADCAST_ROWS, running, staged
 
 #: A document of more than 1 / HEAVY of a shard's size is placed by the driver; there are fewer than shards * HEAVY.
 HEAVY = 256
@@ -27,6 +29,8 @@ HEAVY = 256
 PATIENCE = 8
 #: The smallest documents, so many a shard, are placed last and one by one.
 FILLERS = 16
+#: Tasks that write a round's wishes if the linked documents are few (``BROADCAST_ROWS``): a file for each partition would take most of the round.
+FEW_TASKS = 8
 #: Share of a shard that linked documents may fill; the rest evens out sizes.
 LINKED_SHARE = 0.97
 
@@ -44,36 +48,50 @@ def propagate(vertices: DataFrame, edges: DataFrame, shards: int, capacity: floa
     """(id, size, shard) of linked ``vertices`` (id, size) after label propagation over ``edges`` (u, v)."""
     both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     placed = staged(vertices.select("id", "size", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")), "labels")
+    # a table of few rows meets the links without a shuffle; beyond that the same joins shuffle
+    few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     turn, fewest, since = 0, None, 0
     while True:
-        near = both.join(placed.select(F.col("id").alias("v"), F.col("shard").alias("near")), "v")
-        votes = near.groupBy("u", "near").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("u").agg(F.max(F.struct("n", (-F.col("near")).alias("near"))).alias("best"))
-        now = placed.join(best, placed["id"] == best["u"]).join(
-            votes.select(F.col("u").alias("id"), F.col("near").alias("shard"), F.col("n").alias("here")), ["id", "shard"], "left")
+        beside = placed.select(F.col("id").alias("v"), F.col("shard").alias("near"))
+        votes = both.join(F.broadcast(beside) if few else beside, "v").select(
+            "u", "near", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("size"))
+        # a row of its own shard and size for each vertex, so that votes and place meet in one aggregation
+        votes = votes.union(placed.select("id", "shard", F.lit(0).cast("long"), "size"))
+        votes = votes.groupBy("u", "near").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+        own = F.col("size").isNotNull()
+        best = votes.groupBy(F.col("u").alias("id")).agg(
+            F.max("size").alias("size"), F.max(F.when(own, F.col("near"))).alias("shard"), F.max(F.when(own, F.col("n"))).alias("here"),
+            F.max(F.struct("n", (-F.col("near")).alias("near"))).alias("best")).where("shard IS NOT NULL")
         target = (-F.col("best.near")).cast("int")
-        wishes = staged(now.where((target != F.col("shard")) & (F.col("best.n") > F.coalesce("here", F.lit(0)))).select(
-            "id", "size", "shard", target.alias("target")), "wishes")
-        load, wanted = _loads(placed), {r["target"]: int(r["n"]) for r in wishes.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wish = F.when((target != F.col("shard")) & (F.col("best.n") > F.col("here")), target)
+        now = best.select("id", "size", "shard", wish.alias("target"))
+        now = staged(now.coalesce(FEW_TASKS) if few else now, "wishes")
+        wishes = now.where("target IS NOT NULL")
+        load, wanted = defaultdict(int), defaultdict(int)
+        for r in now.groupBy("shard", "target").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect():
+            load[r["shard"]] += int(r["s"])
+            if r["target"] is not None:
+                wanted[r["target"]] += r["n"]
         count = sum(wanted.values())
         fewest, since = (count, 0) if fewest is None or count < fewest else (fewest, since + 1)
-        if not any(load.get(t, 0) < capacity for t in wanted) or since >= patience:
+        if not any(load[t] < capacity for t in wanted) or since >= patience:
             return placed
         # who would change places with a neighbour of a greater id stays
+        held = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
         mine = wishes.select(F.col("id").alias("u"), "shard", "target")
         theirs = wishes.select(F.col("id").alias("v"), F.col("shard").alias("target"), F.col("target").alias("shard"))
-        swaps = mine.join(both.where("u < v"), "u").join(theirs, ["v", "shard", "target"]).select(F.col("u").alias("id")).distinct()
-        movers = wishes.join(swaps, "id", "left_anti").where((_draw(F.col("id"), turn) < 0.5) if turn else F.lit(True))
+        swaps = both.where("u < v").join(held(mine), "u").join(held(theirs), ["v", "shard", "target"]).select(F.col("u").alias("id")).distinct()
+        movers = wishes.join(held(swaps), "id", "left_anti").where((_draw(F.col("id"), turn) < 0.5) if turn else F.lit(True))
         movers = staged(movers, "movers")
         demand = {r["target"]: int(r["s"]) for r in movers.groupBy("target").agg(F.sum("size").alias("s")).collect()}
         turn += 1
         if not demand:
             continue
         # room that leavers make counts in the next round only
-        share = {t: max(0.0, min(1.0, (capacity - load.get(t, 0)) / max(s, 1))) for t, s in demand.items()}
+        share = {t: max(0.0, min(1.0, (capacity - load[t]) / max(s, 1))) for t, s in demand.items()}
         admitted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("target"))
         moved = movers.where(_draw(F.col("id"), turn + 1000) < admitted).select("id", "target")
-        placed = staged(placed.join(moved, "id", "left").select("id", "size", F.coalesce("target", "shard").alias("shard")), "labels")
+        placed = staged(placed.join(held(moved), "id", "left").select("id", "size", F.coalesce("target", "shard").alias("shard")), "labels")
 
 
 def cut_links(placed: DataFrame, edges: DataFrame) -> int:

@@ -92,3 +92,38 @@ def test_propagation_settles(spark):
     before = sharding.cut_links(vertices.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(4))), links)
     placed = sharding.propagate(vertices, links, 4, 300.0)
     assert sharding.cut_links(placed, links) < before / 3
+
+
+def test_a_round_over_few_links_shuffles_votes_only(spark, monkeypatch):
+    # each join of a round was a shuffle, and each shuffle's partitions a file: hundreds of tasks for a few rows
+    seen, real = [], sharding.staged
+
+    def staged(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        out = real(df, name)
+        if name == "wishes":
+            assert len(out.inputFiles()) <= sharding.FEW_TASKS
+        return out
+
+    monkeypatch.setattr(sharding, "staged", staged)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        vertices = spark.range(600).selectExpr("id", "10L AS size")
+        links = spark.range(600).selectExpr("id AS u", "id - id % 6 AS v").where("u != v")
+        placed = {r.id: r.shard for r in sharding.propagate(vertices, links, 4, 6000.0).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(placed[k] == placed[k - k % 6] for k in range(600))
+    assert max(n for name, n in seen if name == "wishes") <= 2 and max(n for name, n in seen if name == "movers") <= 1
+
+
+def test_propagation_by_shuffles_alone_gives_the_same(spark, monkeypatch):
+    vertices = spark.range(200).selectExpr("id", "id % 7 + 1 AS size")
+    links = spark.range(200).selectExpr("id AS u", "id - id % 5 AS v").union(spark.range(1, 200, 9).selectExpr("id AS u", "id - 1 AS v")).where("u != v")
+    want = sorted(map(tuple, sharding.propagate(vertices, links, 4, 250.0).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, sharding.propagate(vertices, links, 4, 250.0).collect())) == want and len(want) == 200
