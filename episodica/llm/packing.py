@@ -30,8 +30,10 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 16
 #: Windows that one task merges at most.
 MERGED = 20_000
-#: Words, and as many parts of words, whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words and parts of words together whose ids a worker remembers.
+REMEMBERED = 700_000
+#: Texts that a worker takes apart at a time.
+TEXTS = 128
 
 _KEPT = "episodica_worker_encoders"
 
@@ -49,8 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # a part that stands alone is a word of the same ids
         self._words: dict[str, bytes] = {"": b""}
-        self._parts: dict[str, bytes] = {}
+        self._parts = self._words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_stretches(t) for t in texts]
@@ -59,10 +62,9 @@ class Encoder:
         get = self._words.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         # what came first is most frequent; later words leave again once the memory is full
-        for known, added in ((self._words, fresh), (self._parts, new)):
-            if len(known) > REMEMBERED:
-                for w in added:
-                    del known[w]
+        if len(self._words) > REMEMBERED:
+            for w in fresh.union(new):
+                del self._words[w]
         return out
 
     def _learn(self, fresh: set[str]) -> list[str]:
@@ -70,7 +72,7 @@ class Encoder:
         other = [w for w in fresh if w not in plain]
         for w, e in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self._words[w] = np.array(e.ids, "<u4").tobytes()
-        new = list(set().union(*plain.values()).difference(self._parts))
+        new = list(set().union(*plain.values()).difference(self._words))
         for k in range(0, len(new), 1024):
             some = new[k : k + 1024]
             joined = self._tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -163,14 +165,17 @@ def _pack(path: str, end_id: int, size: int, most: int):
         encode = encoder(path).encode
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 1024):
+            for lo in range(0, len(ids), TEXTS):
                 rows = []
-                for doc, tokens in zip(ids[lo : lo + 1024], encode([x or "" for x in texts.slice(lo, 1024).to_pylist()])):
+                for doc, tokens in zip(ids[lo : lo + TEXTS], encode([x or "" for x in texts.slice(lo, TEXTS).to_pylist()])):
                     tokens = memoryview(tokens + tail)
                     n = len(tokens) // 4
                     for start, length, window, offset in windows.place(n):
                         rows.append((doc, start, length, zlib.crc32(tokens[4 * start : 4 * (start + length)]), n, window, offset))
                 yield _batch(rows)
+        # the worker stays for later tasks: what it no longer needs goes back
+        batch = texts = None
+        pa.default_memory_pool().release_unused()
         # what is left open: a row without document
         yield _batch([(None, 0, used, 0, -1, window, 0) for window, used in windows.left()])
 

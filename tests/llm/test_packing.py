@@ -88,3 +88,10 @@ def test_tasks_of_one_worker_share_an_encoder(spark):
 
     seen = spark.range(0, 64, 1, 16).mapInArrow(task, "pid long, at long").distinct().collect()
     assert len(seen) == len({r.pid for r in seen})
+
+
+def test_a_word_that_is_its_own_part_is_remembered_once():
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.encode(["stone river garden stone"])
+    kept = {id(d): d for d in (encoder._words, encoder._parts)}
+    assert sorted(w for d in kept.values() for w in d if w) == ["garden", "river", "stone"]
